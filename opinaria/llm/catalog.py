@@ -1,15 +1,23 @@
-"""The registered queries of the numbered operators and the pipeline, and their SQL."""
+"""The registered queries of the numbered operators, and their SQL."""
 from __future__ import annotations
 
-from . import bpe, mixing
+from . import bpe, embeddings, line_dedup, lm, minhash, mixing, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_lm_mixing": lm.query,
         "op2_mix_sources": mixing.query,
+        "op3_quality_rules": quality.query,
+        "op4_secret_scan": secrets.query,
+        "op5_toxicity": toxicity.query,
+        "op6_line_dedup": line_dedup.query,
+        "op7_sharding": sharding.query,
         "op8_bpe": bpe.query,
+        "op9_minhash": minhash.query,
+        "op10_embedding_dedup": embeddings.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.SQL}
+    return {"op2_mix_sources": mixing.SQL, "op6_line_dedup": line_dedup.SQL}
