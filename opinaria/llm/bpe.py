@@ -16,14 +16,18 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import slices
 
+#: Characters of the texts whose pieces are merged together.
+PART = 1 << 24
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Bytes to rank, from a file of base64 bytes and rank in each line."""
@@ -32,80 +36,108 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Replay:
-    """Encodes tables of pieces. Keeps what it has learned of pairs, at most one entry for two ranks that met."""
+    """Encodes tables of pieces. A bucket of the index is worked off as arrays, so a merge that stands in thousands of
+    pieces costs as many steps as one that stands in a single one."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.spelled = ranks, {r: b for b, r in ranks.items()}
-        self.single = [ranks[bytes([i])] for i in range(256)]
-        self.pairs: dict[int, int] = {}
+        self.spelled, self.ranks = {r: b for b, r in ranks.items()}, ranks
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.shift = max(ranks.values()).bit_length()
+        # every way to put a token together from two others
+        found = {ranks[t[:i]] << self.shift | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.pairs = np.array(sorted(found), np.int64)
+        self.joined = np.array([found[k] for k in self.pairs.tolist()], np.int64)
 
-    def pair(self, a: int, b: int) -> int:
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of two neighbours joined, -1 if they don't merge."""
+        if not len(self.pairs):
+            return np.full(len(a), -1)
         key = a << self.shift | b
-        found = self.pairs.get(key)
-        if found is None:
-            found = self.pairs[key] = self.ranks.get(self.spelled[a] + self.spelled[b], -1)
-        return found
+        at = np.searchsorted(self.pairs, key)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == key, self.joined[at], -1)
 
     def encode(self, pieces: Iterable[bytes]) -> list[list[int]]:
-        pieces, single, pair, whole = list(pieces), self.single, self.pair, self.ranks
-        tok: list[int] = []  # token at a position, -1 where it has gone into its left neighbour
-        end: list[int] = []  # of a position: where its piece ends
-        starts = []
-        for p in pieces:
-            starts.append(len(tok))
-            if p in whole:  # a piece that is a token needs no merges
-                tok.append(whole[p])
-            else:
-                tok.extend(map(single.__getitem__, p))
-            end.extend([len(tok)] * (len(tok) - starts[-1]))
-        n = len(tok)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if end[i] != i + 1 and (r := pair(tok[i], tok[i + 1])) >= 0:
-                index.setdefault(r, []).append(i)
-        queue = list(index)
-        heapify(queue)
+        pieces = list(pieces)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        n = int(sizes.sum())
+        if not n:
+            return [[] for _ in pieces]
+        starts = np.cumsum(sizes) - sizes
+        tok = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        piece = np.repeat(np.arange(len(pieces)), sizes)
+        alive = np.ones(n, bool)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[starts + sizes - 1], before[starts] = n, -1  # n and -1: no neighbour
+        here = np.full(n + 1, -1)  # rank of the pair that starts at a position
+        inner = np.flatnonzero(after < n)
+        here[inner] = self.rank(tok[inner], tok[inner + 1])
+        index: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def file(at: np.ndarray, ranks: np.ndarray) -> None:
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+                r = int(ranks[lo])
+                if r not in index:
+                    index[r] = []
+                    heappush(queue, r)
+                index[r].append(at[lo:hi])
+
+        inner = inner[here[inner] >= 0]
+        if len(inner):
+            file(inner, here[inner])
         while queue:
-            rank = heappop(queue)
-            places = index.pop(rank, None)
-            if places is None:
+            r = heappop(queue)
+            places = index.pop(r)
+            at = np.sort(np.concatenate(places)) if len(places) > 1 else places[0]
+            at = at[here[at] == r]  # a neighbour of the others has merged meanwhile
+            if len(at) > 1:
+                at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+                # of pairs that overlap, as in aaa, every second one from the left
+                follows = np.concatenate(([False], after[at[:-1]] == at[1:]))
+                if follows.any():
+                    number = np.arange(len(at))
+                    at = at[(number - np.maximum.accumulate(np.where(follows, 0, number))) % 2 == 0]
+            if not len(at):
                 continue
-            places.sort()
-            held = -1  # end of the piece whose next merge has a lower rank
-            for i in places:
-                stop = end[i]
-                if stop == held:
-                    if rank not in index:
-                        index[rank] = []
-                        heappush(queue, rank)
-                    index[rank].append(i)
-                    continue
-                if tok[i] < 0 or (j := after[i]) >= stop or pair(tok[i], tok[j]) != rank:
-                    continue  # a neighbour has merged meanwhile
-                tok[i], tok[j] = rank, -1
-                after[i] = k = after[j]
-                if k < stop:
-                    before[k] = i
-                    if (r := pair(rank, tok[k])) >= 0:
-                        if r not in index:
-                            index[r] = []
-                            heappush(queue, r)
-                        index[r].append(i)
-                        if r < rank:
-                            held = stop
-                h = before[i]
-                if h >= 0 and end[h] == stop and (r := pair(tok[h], rank)) >= 0:
-                    if r not in index:
-                        index[r] = []
-                        heappush(queue, r)
-                    index[r].append(h)
-                    if r < rank:
-                        held = stop
-        bounds = [*starts, n]
-        return [[t for t in tok[a:b] if t >= 0] for a, b in zip(bounds, bounds[1:])]
+            if len(at) > 1 and (again := piece[at[1:]] == piece[at[:-1]]).any():
+                # several in one piece: only the first may merge if that brings up a lower rank next to it
+                first = ~np.concatenate(([False], again))
+                right, left, new = after[after[at]], before[at], np.full(len(at), r)
+                lower = np.zeros(len(at), bool)
+                k, m = np.flatnonzero(right < n), np.flatnonzero(left >= 0)
+                for at_k, x in ((k, self.rank(new[k], tok[right[k]])), (m, self.rank(tok[left[m]], new[m]))):
+                    lower[at_k] |= (x >= 0) & (x < r)
+                twice = self.rank(new[:1], new[:1])[0]
+                lower |= 0 <= twice < r
+                wait = np.isin(piece[at], piece[at[lower]]) & ~first
+                if wait.any():
+                    index[r] = [at[wait]]
+                    heappush(queue, r)
+                    at = at[~wait]
+            gone = after[at]
+            right, left = after[gone], before[at]
+            tok[at], alive[gone], here[gone] = r, False, -1
+            after[at] = right
+            k = right < n
+            before[right[k]] = at[k]
+            # touched neighbours: the pair that starts here, and the one that ends here
+            here[at] = -1
+            both = np.concatenate((at[k], left[left >= 0]))
+            both = both[alive[both]]
+            if len(both):
+                both = np.unique(both) if len(both) > 1 else both
+                ranks = self.rank(tok[both], tok[after[both]])
+                here[both] = ranks
+                yes = ranks >= 0
+                if yes.any():
+                    file(both[yes], ranks[yes])
+        left = tok[alive].tolist()
+        ends = np.cumsum(np.bincount(piece[alive], minlength=len(pieces))).tolist()
+        return [left[a:b] for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.spelled.__getitem__, ids))
@@ -124,7 +156,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         import regex
 
         replay, split = Replay(read_ranks(ranks_path)), regex.compile(pattern).findall
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches, text, PART):
             cols: tuple[list, ...] = ([], []) if not digest else ([], [], [])
             split_texts = [split(t) for t in texts]
             distinct = list(dict.fromkeys(p for pieces in split_texts for p in pieces))
