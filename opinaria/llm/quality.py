@@ -25,13 +25,14 @@ from opinaria.sources.scratch import cut
 from .common import slices, small
 
 SYMBOLS, SPACE, UPPER = b"#*$%&|<>", b" \t\n\x0b\x0c\r", bytes(range(65, 91))
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "n_echo")
 #: Feature: (numerator, denominator, floor of the quartile range, whether low values fail too).
 FEATURES = {
     "mean_length": ("word_chars", "n_words", 0.5, True),
     "symbols": ("n_symbols", "n_words", 0.02, False),
     "upper": ("n_upper", "word_chars", 0.05, False),
-    "repeats": ("n_repeat_words", "n_words", 0.05, False),
+    "repeats": ("n_repeat_words", "n_words", 0.075, False),
+    "echo": ("n_echo", "n_words", 0.02, False),
     "dup_lines": ("n_dup_lines", "n_lines", 0.1, False),
 }
 ALPHA, WIDTH, MIN_ROWS = 0.01, 4.0, 100
@@ -71,10 +72,12 @@ def count_texts(texts: list[str]) -> np.ndarray:
         lines = [x for x in b.split(b"\n") if x.strip(SPACE)]
         out[:, i] = (
             len(words), len(t) - (len(b) - len(b.translate(None, SPACE))), len(b) - len(b.translate(None, SYMBOLS)),
-            len(lines) - len(set(lines)), 0, len(b) - len(b.translate(None, UPPER)), len(lines),
+            len(lines) - len(set(lines)), 0, len(b) - len(b.translate(None, UPPER)), len(lines), 0,
         )
     doc = np.repeat(np.arange(len(texts)), out[0])
-    out[4] = np.bincount(doc[repeat_words(np.array(ids, np.int64), doc)], minlength=len(texts))
+    ids_of = np.array(ids, np.int64)
+    out[4] = np.bincount(doc[repeat_words(ids_of, doc)], minlength=len(texts))
+    out[7] = np.bincount(doc[1:][(ids_of[1:] == ids_of[:-1]) & (doc[1:] == doc[:-1])], minlength=len(texts))
     return out
 
 
