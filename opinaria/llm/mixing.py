@@ -31,7 +31,8 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     `share` of all sizes, and no target exceeds `most` times its source; what would is dealt to the rest by weight.
 
     With a price L, source i gets the lesser of its cap and weight_i * L. Ordered by cap / weight, the capped sources come
-    first, so L is the least (budget - caps before) / (weights from here) that is below its own source's cap / weight.
+    first, so L is (budget - caps before) / (weights from here) at the first source where that isn't above cap / weight;
+    from there on it only falls, so that is the largest of those.
     One row for each source: the only step that is not distributed."""
     order = W.orderBy(F.col("source").asc_nulls_last())
     pick = F.array(*[F.lit(float(w)) for w in weights])
@@ -40,7 +41,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     by_ratio = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before, after = by_ratio.rowsBetween(W.unboundedPreceding, -1), by_ratio.rowsBetween(0, W.unboundedFollowing)
     level = (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    rows = rows.select("*", level.alias("level")).select("*", F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(W.partitionBy()).alias("price"))
+    rows = rows.select("*", level.alias("level")).select("*", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(W.partitionBy()).alias("price"))
     return rows.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * F.col("price")), F.col("cap")).alias("target"))
 
 
@@ -103,7 +104,7 @@ l as (
             / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level
   from w),
 g as (
-  select source, source_size, coalesce(least(cap, weight * min(case when level <= cap / weight then level end) over ()), cap) target
+  select source, source_size, coalesce(least(cap, weight * max(case when level <= cap / weight then level end) over ()), cap) target
   from l),
 e as (
   select *, cast(floor(target) as bigint) goal,
