@@ -72,9 +72,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "
     found = cut(spans(docs, [key, repo, owner], text).withColumn("id", F.xxhash64("k0", "k1", "k2", F.to_json("spans"))), "secret-spans")
     held = found.where(F.size("spans") > 0)
     verdict = F.when(F.col("owners") >= many, "example").when((F.col("owners") == 1), "live").otherwise("shared")
-    judged = ownership(held, "k1", "k2").select("hash", verdict.alias("verdict"))
+    judged = cut(ownership(held, "k1", "k2").select("hash", verdict.alias("verdict")), "secret-verdicts")
     # rows with the same key, repository, owner and spans get the same map, so it is made once for all of them
-    each = held.select("id", F.explode(F.array_distinct(F.col("spans.hash"))).alias("hash")).distinct()
+    each = cut(held.select("id", F.explode(F.array_distinct(F.col("spans.hash"))).alias("hash")).distinct(), "secret-hashes")
     maps = each.join(judged, "hash").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("hash", "verdict"))).alias("verdicts"))
     return found.join(maps, "id", "left").select(F.col("k0").alias(key), "spans", "verdicts")
 
