@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by random-hyperplane signs.
 
 1. sets: equal vectors of a label are one, with a count, so copies never meet.
-2. codes: in each of `tables` tables, the signs of `bits` fixed random projections. Vectors of one label with the same
-   code meet in a bucket. A pair at cosine 0.98 (11.5 degrees) agrees in 14 signs with the chance 0.40, and misses all 24
-   tables with the chance 5e-6.
+2. codes: in each of several tables, the signs of fixed random projections. Vectors of one label with the same code meet
+   in a bucket. The number of signs follows the number of vectors, so that unrelated ones seldom meet, and the number of
+   tables follows from it: a pair at the least cosine misses all with a chance below 1e-5 (at 0.98, 11.5 degrees, it
+   agrees in 14 signs with the chance 0.40, which takes 23 tables).
 3. links: a bucket is compared block by block (`BLOCK` vectors against as many), cosine in double precision. A pair that
    shares several tables counts in the first. Out of a block come, for each vector, how many others it links to and one
    vector that it is connected with, so a group of near copies never turns into rows of pairs.
@@ -14,6 +15,7 @@ nothing. Vectors of different lengths aren't compared. Repeated rows are vectors
 A component is named by its smallest id; null ids are never the smallest. Empty table: no rows."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +27,25 @@ from opinaria.sources.scratch import cut
 
 from .components import components
 
-TABLES, BITS, SEED, BLOCK = 24, 14, 7, 512
+MISSED, SEED, BLOCK = 1e-5, 7, 512
 
 
 def planes(dim: int, tables: int, bits: int, seed: int = SEED) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([seed, dim])).standard_normal((dim, tables * bits))
 
 
-def codes(vectors: DataFrame, tables: int = TABLES, bits: int = BITS) -> DataFrame:
+def shape(n: int, least: float) -> tuple[int, int]:
+    """Tables and signs for n vectors."""
+    bits = min(60, max(14, n.bit_length()))
+    agree = (1 - math.acos(min(1.0, least)) / math.pi) ** bits
+    return (1 if agree == 1 else math.ceil(math.log(MISSED) / math.log(1 - agree))), bits
+
+
+def codes(vectors: DataFrame, tables: int, bits: int) -> DataFrame:
     """(set_id, label, n, v array<double>) -> (set_id, label, n, dim, v as bytes, codes array<long>)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[int, np.ndarray] = {}
-        powers = 1 << np.arange(bits)
+        powers = np.int64(1) << np.arange(bits)
         for x in batches:
             raw, made = [], []
             for v in x.column(3):
@@ -107,7 +116,7 @@ def links(coded: DataFrame, least: float) -> DataFrame:
     return left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(compare, "set_id binary, links long, near binary")
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, tables: int = TABLES, bits: int = BITS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98) -> DataFrame:
     """(id, n_links, component_id) for every row of vectors."""
     v = F.col(vector).cast("array<double>")
     fine = F.col(label).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -115,7 +124,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     rows = rows.withColumn("set_id", F.when(F.col("v").isNotNull(), F.unhex(F.md5(F.to_json(F.struct(F.col("label").alias("l"), "v"))))))
     sets = rows.where("set_id is not null").groupBy("set_id").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.min("id").alias("least"))
     sets = cut(sets, "cosine-sets")
-    coded = cut(codes(sets, tables, bits), "cosine-codes")
+    coded = cut(codes(sets, *shape(sets.count(), least)), "cosine-codes")
     found = cut(links(coded, least), "cosine-links")
     names = components(found.select(F.col("set_id").alias("a"), F.col("near").alias("b")))
     total = found.groupBy("set_id").agg(F.sum("links").alias("links"))
