@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import slices
 
 #: Characters of the texts whose pieces are merged together.
-PART = 1 << 24
+PART = 1 << 23
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -172,7 +172,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
             else:
                 table = dict(zip(distinct, merged))
                 for pieces in split_texts:
-                    cols[0].append(ids := [i for p in pieces for i in table[p]])
+                    ids = [i for p in pieces for i in table[p]]
+                    cols[0].append(np.array(ids, np.int32))
                     cols[1].append(replay.decode(ids))
             kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=out.names)
