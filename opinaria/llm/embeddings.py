@@ -19,7 +19,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -91,29 +90,46 @@ def links(coded: DataFrame, least: float) -> DataFrame:
     left = rows.select(*cols, F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), F.lit(True).alias("first"))
     right = rows.where("own > 0").select(*cols, F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("own").alias("j"), F.lit(False).alias("first"))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside = pdf.i.iat[0] == pdf.j.iat[0]
-        x = pdf[pdf["first"]]
-        y = x if inside else pdf[~pdf["first"]]
-        if x.empty or y.empty:
-            return pd.DataFrame({"set_id": [], "links": [], "near": []})
-        stack = lambda d: np.frombuffer(b"".join(d.v)).reshape(len(d), -1)
+    def compare(inside: bool, at: int, rows: list[tuple]) -> pa.RecordBatch | None:
+        """rows: (first, set_id, n, vector, codes) of two blocks, or of one with itself."""
+        x = [r for r in rows if r[0]]
+        y = x if inside else [r for r in rows if not r[0]]
+        if not x or not y or len(x) + len(y) == 2 and inside:
+            return None
+        stack = lambda d: np.frombuffer(b"".join(r[3] for r in d)).reshape(len(d), -1)
         yes = stack(x) @ stack(y).T >= least
         if inside:
             yes = np.triu(yes, 1)
         a, b = np.nonzero(yes)
-        cx, cy, at = np.stack(x.codes.to_numpy()), np.stack(y.codes.to_numpy()), int(pdf["at"].iat[0])
-        if at:
-            earlier = (cx[a, :at] == cy[b, :at]).any(1)
+        if at and len(a):
+            cx, cy = (np.array([r[4][:at] for r in d], np.int64) for d in (x, y))
+            earlier = (cx[a] == cy[b]).any(1)
             a, b = a[~earlier], b[~earlier]
-        ids = x.set_id.to_numpy() if inside else np.concatenate([x.set_id.to_numpy(), y.set_id.to_numpy()])
-        nx, ny, shift = x.n.to_numpy(), y.n.to_numpy(), 0 if inside else len(x)
+        if not len(a):
+            return None
+        ids = [r[1] for r in x] + ([] if inside else [r[1] for r in y])
+        nx, ny, shift = np.array([r[2] for r in x]), np.array([r[2] for r in y]), 0 if inside else len(x)
         total = np.bincount(a, ny[b], len(ids)) + np.bincount(b + shift, nx[a], len(ids))
         name = _connected(len(ids), a, b + shift)
-        keep = np.flatnonzero(total)
-        return pd.DataFrame({"set_id": ids[keep], "links": total[keep].astype(np.int64), "near": ids[name[keep]]})
+        keep = np.flatnonzero(total).tolist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([ids[i] for i in keep], pa.binary()), pa.array([int(total[i]) for i in keep], pa.int64()), pa.array([ids[name[i]] for i in keep], pa.binary())], names=["set_id", "links", "near"])
 
-    return left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(compare, "set_id binary, links long, near binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[:4] != key:
+                    if held and (out := compare(key[1] == key[2], key[3], held)) is not None:
+                        yield out
+                    key, held = r[:4], []
+                held.append(r[4:])
+        if held and (out := compare(key[1] == key[2], key[3], held)) is not None:
+            yield out
+
+    # two blocks' rows, a thousand or so, stand on end
+    both = left.unionByName(right).select("bucket", "i", "j", "at", "first", "set_id", "n", "v", "codes")
+    return both.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "set_id binary, links long, near binary")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98) -> DataFrame:
