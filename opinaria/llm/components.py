@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame, functions as F
 from opinaria.sources.scratch import cut
 
 
+def _stars(edges: DataFrame) -> bool:
+    """True if every node has edges on one side only, and one edge if it is the larger end."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b), any order, repeats and loops allowed -> (id, component): each node that has an edge to another and
     the least node of its component."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
-    state = None
-    while True:
-        new = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if new == state:
-            break
-        state = new
+    while not _stars(edges):
         both = edges.union(edges.select("b", "a"))
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

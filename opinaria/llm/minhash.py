@@ -5,11 +5,13 @@
 2. sets: documents with the same words are one set, whose members never meet each other again.
 3. pivots: sets that share a band meet in its bucket. In each of `rounds` rounds the members of a bucket are compared
    with one of them, unless the two are known to be connected, and what is confirmed is joined into components. That
-   settles groups of near copies with a pair for each member.
+   settles most of a group of near copies with a pair for each member.
 4. rest: members of a bucket that are in different components after that are all compared, block by block: those outside
-   the bucket's largest component with every member of another component. Blocks hold signatures, and only pairs whose
-   signatures agree well enough come out, so no pair that shares a band and isn't connected goes unchecked.
-5. confirm: exact Jaccard of the whole shingle sets, as strings.
+   the bucket's largest component with every member of another component. Only links that join components come out of
+   a block, so a group never turns into rows of pairs, yet no pair that shares a band goes unchecked unless its two
+   members are known to be connected.
+5. Links are confirmed by the exact Jaccard of the whole shingle sets, as strings, for pairs whose signatures agree well
+   enough.
 
 A pair at the least similarity s = 0.8 shares no band with the chance (1 - s^rows)^bands = 7e-6 for 30 bands of 5, and
 agrees in less than 65 % of 150 coordinates with the chance 1e-5.
@@ -24,7 +26,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -34,7 +35,7 @@ from opinaria.sources.scratch import cut
 from .common import slices, whole
 from .components import components
 
-BANDS, ROWS, ROUNDS = 30, 5, 3
+BANDS, ROWS, ROUNDS = 30, 5, 1
 #: Least share of equal coordinates of a pair that is worth reading, below the least similarity by five deviations.
 SLACK = 0.15
 BLOCK = 512
@@ -147,35 +148,74 @@ def confirm(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, p
     return likely.join(side(texts, "a", "t"), "a").join(side(texts, "b", "t"), "b").select("a", "b", "t_a", "t_b").mapInArrow(equal, "a binary, b binary")
 
 
-def rest_of_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) still to be confirmed among members (bucket, set_id, n, component) of open buckets."""
+def compare_block(rows: list[tuple], at: int, shingle: int, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join components, among the rows (left, set_id, n, component, coordinates, bands, text) of two blocks of a
+    bucket of band `at`: those marked left against the others. Pairs that share an earlier band meet there; pairs that
+    are connected by now are passed over."""
+    left, right = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+    if not left or not right:
+        return []
+    parent: dict[bytes, bytes] = {}
+
+    def root(c: bytes) -> bytes:
+        while c in parent:
+            c = parent[c]
+        return c
+
+    coordinates = np.frombuffer(b"".join(r[4] for r in right), np.uint16).reshape(len(right), -1)
+    n, bands = np.array([r[2] for r in right]), np.array([r[5] for r in right], np.int64)
+    sets: list[set[bytes] | None] = [None] * len(right)
+    out = []
+    for _, x, size, component, mine, bx, text in left:
+        ok = np.flatnonzero(100 * np.minimum(n, size) >= percent * np.maximum(n, size))
+        alike = (coordinates[ok] == np.frombuffer(mine, np.uint16)).mean(1)
+        fine = (alike >= percent / 100 - SLACK) & ~(bands[ok, :at] == np.array(bx[:at], np.int64)).any(1)
+        p = None
+        for i in ok[fine][np.argsort(-alike[fine], kind="stable")].tolist():
+            if root(component) == root(right[i][3]):
+                continue
+            p = shingle_set(words_of(text), shingle) if p is None else p
+            q = sets[i]
+            if q is None:
+                q = sets[i] = shingle_set(words_of(right[i][6]), shingle)
+            common = len(p & q)
+            if 100 * common >= percent * (len(p) + len(q) - common):
+                out.append((x, right[i][1]))
+                parent[root(component)] = root(right[i][3])
+    return out
+
+
+def rest_of_buckets(members: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) among members (bucket, at, set_id, n, component) of open buckets that join their components."""
     sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
     sizes = cut(sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.max_by("component", F.struct("c", "component")).alias("largest")), "minhash-rest-sizes")
-    rows = members.join(sizes, "bucket").join(sets.select("set_id", "coordinates"), "set_id")
-    rows = rows.withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    rows = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cols = ["bucket", "set_id", "n", "component", "coordinates"]
+    cols = ["bucket", "at", "set_id", "n", "component"]
     left = rows.where("component <> largest").select(*cols, F.col("own").alias("i"), others.alias("j"), F.lit(True).alias("left"))
     right = rows.select(*cols, others.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"))
-    least = percent / 100 - SLACK
+    whole_rows = left.unionByName(right).join(sets.select("set_id", "coordinates", "bands"), "set_id").join(texts, "set_id")
+    whole_rows = whole_rows.select("bucket", "i", "j", "at", "left", "set_id", "n", "component", "coordinates", "bands", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = compare_block(held, key[3], shingle, percent) if held else []
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        for x in batches:
+            for r in zip(*(c.to_pylist() for c in x.columns)):
+                if r[:4] != key:
+                    yield from done()
+                    key, held = r[:4], []
+                held.append(r[4:])
+        yield from done()
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.left], pdf[~pdf.left]
-        if x.empty or y.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        stack = lambda d: np.frombuffer(b"".join(d.coordinates), np.uint16).reshape(len(d), -1)
-        numbers = {c: i for i, c in enumerate(pdf.component.unique())}
-        cy, ny, sy = y.component.map(numbers).to_numpy(), y.n.to_numpy(), stack(y)
-        out = []
-        for k, sx in enumerate(stack(x)):
-            n = x.n.iat[k]
-            ok = np.flatnonzero((cy != numbers[x.component.iat[k]]) & (100 * np.minimum(ny, n) >= percent * np.maximum(ny, n)))
-            ok = ok[(sy[ok] == sx).mean(1) >= least]
-            out += [(x.set_id.iat[k], y.set_id.iat[i]) for i in ok]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    found = left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # two blocks' rows, some thousand at most, stand on end
+    return whole_rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
@@ -184,9 +224,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     sets = marks.where("set_id is not null").groupBy("set_id").agg(
         F.min("id").alias("least"), F.min("uid").alias("uid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("coordinates").alias("coordinates"))
     sets = cut(sets, "minhash-sets")
-    places = sets.select("set_id", "n", F.posexplode("bands").alias("band", "h")).select("set_id", "n", F.xxhash64("band", "h").alias("bucket"))
+    places = sets.select("set_id", "n", F.posexplode("bands").alias("at", "h")).select("set_id", "n", "at", F.xxhash64("at", "h").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
-    places = cut(places.join(shared, "bucket"), "minhash-places")
+    places = cut(places.join(cut(shared, "minhash-shared"), "bucket"), "minhash-places")
     wanted = places.select("set_id").distinct().join(sets.select("set_id", "uid"), "set_id")
     texts = docs.select(F.xxhash64(F.col(key).cast("string"), whole(text)).alias("uid"), whole(text).alias("t")).join(wanted, "uid")
     texts = cut(texts.select("set_id", "t").dropDuplicates(["set_id"]), "minhash-texts")
@@ -201,9 +241,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         if r < rounds:
             pairs = members.join(spread, "bucket").where(F.col("component") != F.col("pivot.component")).where(_sizes_allow("n", "pivot.n", percent))
             pairs = pairs.select(F.col("pivot.set_id").alias("a"), F.col("set_id").alias("b")).distinct()
+            found = confirm(pairs, sets, texts, shingle, percent)
         else:
-            pairs = rest_of_buckets(cut(members.join(spread.select("bucket"), "bucket"), "minhash-rest"), sets, percent)
-        found = cut(confirm(cut(pairs, "minhash-pairs"), sets, texts, shingle, percent), "minhash-links")
+            found = rest_of_buckets(cut(members.join(spread.select("bucket"), "bucket"), "minhash-rest"), sets, texts, shingle, percent)
+        found = cut(found, "minhash-links")
         if found.isEmpty():
             continue
         edges = found if edges is None else edges.union(found)
