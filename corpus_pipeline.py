@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, line dedup, near-duplicates, mixing, tokens.
+"""The corpus pipeline: toxicity, line dedup, passage dedup, near-duplicates, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents."""
@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opinaria.llm import bpe, line_dedup, minhash, mixing, toxicity
+from opinaria.llm import bpe, line_dedup, minhash, mixing, passages, toxicity
 from opinaria.sources.scratch import scratch_dir
 
 THRESHOLD = 0.3
@@ -28,6 +28,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.where(left).select(*docs.columns)
 
 
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later repeats of passages of 50 words out of the texts, also inside lines; a document of which nothing is left
+    goes."""
+    out = passages.dedup(docs)
+    return out.where(~F.col("_cut") | F.col("text").rlike(line_dedup.A_WORD)).select(*docs.columns)
+
+
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest id. Ids name documents here."""
     found = minhash.near_duplicates(docs, shingle=5)
@@ -52,12 +59,13 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("toxicity", keep_not_toxic),
     ("line_dedup", drop_repeated_lines),
+    ("passages", drop_repeated_passages),
     ("near_duplicates", keep_one_of_near_duplicates),
     ("mixing", mix_sources),
     ("tokens", encode_tokens),
 ]
 
-#: The toxicity, near-duplicate and token stages can't be said in SQL.
+#: The toxicity, passage, near-duplicate and token stages can't be said in SQL.
 ORACLE_SQL = None
 
 

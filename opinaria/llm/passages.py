@@ -1,0 +1,153 @@
+"""Dedup of passages of 50 words, wherever in a line they start or end.
+
+Texts are compared as words, lowered, with white space made single. Of every window of 50 words that stands in more than
+one place, the first place stays, by id and then position; words covered by a later place go. A passage of 50 words or
+more that repeats is nothing but such windows, so each copy but the first goes as a whole, however it is broken into lines.
+
+How windows that stand once are kept from being moved:
+1. marks: each window is represented by the least hash of its 26 runs of 25 words (winnowing). That depends on the window's
+   words alone, so equal windows have equal marks. A text has about one mark for each 13 words, whatever it shares.
+2. windows: only where a window's mark stands in more than one place is the window hashed itself (md5).
+3. places: later places of each hash meet their texts again.
+
+Where a window overlaps its own first place, in text that repeats at once, the first place's words stay.
+
+Defined cases. Null or empty text: comes back as it is. Repeated rows (same id and text) are one document: what stays in one
+stays in all. Null ids come after all others. Extra columns pass through."""
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from opinaria.sources.scratch import cut
+
+from .common import WORD, slices, whole
+
+WORDS, GRAM = 50, 25
+_BASE = 0x9E3779B97F4A7C15
+_WORD = re.compile(WORD)
+
+
+def lay_out(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of all texts, each closed by a space, where they start (and the end), and the text of each."""
+    words = [t.lower().encode().split() for t in texts]
+    flat = b"".join(b" ".join(x) + b" " for x in words if x)
+    starts = np.concatenate([[0], np.flatnonzero(np.frombuffer(flat, np.uint8) == 32) + 1])
+    return flat, starts, np.repeat(np.arange(len(texts)), [len(x) for x in words])
+
+
+def sliding(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """The least or greatest of every `width` values on end."""
+    out, done = x, 1
+    while done < width:
+        step = min(done, width - done)
+        out = of(out[:-step], out[step:])
+        done += step
+    return out
+
+
+def grams(flat: bytes, starts: np.ndarray) -> np.ndarray:
+    """A hash of every GRAM words on end."""
+    n = len(flat)
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((np.frombuffer(flat, np.uint8).astype(np.uint64) + np.uint64(1)) * np.cumprod(up))])
+    first = starts[:-GRAM]
+    h = (total[starts[GRAM:]] - total[first]) * np.cumprod(down)[first]
+    for shift in (32, 29, 32):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def marked(flat: bytes, starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of every gram, the mark of every window, and which windows lie in one text."""
+    if len(doc) < WORDS:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    h = grams(flat, starts)
+    return h, sliding(h, WORDS - GRAM + 1, np.minimum), doc[: len(doc) - WORDS + 1] == doc[WORDS - 1 :]
+
+
+def marks(rows: DataFrame) -> DataFrame:
+    """rows: uid, t. (uid, mark, n): the marks of each text and in how many places."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "t", 1 << 18):
+            flat, starts, doc = lay_out(texts)
+            h, least, inside = marked(flat, starts, doc)
+            if not inside.any():
+                continue
+            edge = np.zeros(WORDS - GRAM, np.uint64)
+            at = np.flatnonzero(sliding(np.concatenate([edge, np.where(inside, least, 0), edge]), WORDS - GRAM + 1, np.maximum) == h)
+            pairs, n = np.unique(np.stack([doc[at], h[at].view(np.int64)], 1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([part.column("uid").take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1]), pa.array(n)], names=["uid", "mark", "n"])
+
+    return rows.select("uid", "t").mapInArrow(run, "uid long, mark long, n long")
+
+
+def windows(rows: DataFrame, id_type: str) -> DataFrame:
+    """rows: id, uid, t, and `again`, the marks of the text that stand in more places. (id, uid, p, hash) of their windows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "t", 1 << 18):
+            flat, starts, doc = lay_out(texts)
+            _, least, inside = marked(flat, starts, doc)
+            again = part.column("again").flatten().to_numpy(zero_copy_only=False)
+            found = np.flatnonzero(inside & np.isin(least.view(np.int64), again))
+            first = np.searchsorted(doc, np.arange(len(texts)))
+            for lo in range(0, len(found), 1 << 16):
+                at = found[lo : lo + (1 << 16)]
+                of = pa.array(doc[at])
+                hashes = [hashlib.md5(flat[a:b]).digest() for a, b in zip(starts[at].tolist(), starts[at + WORDS].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(of), part.column("uid").take(of), pa.array((at - first[doc[at]]).astype(np.int32)), pa.array(hashes, pa.binary())], names=["id", "uid", "p", "hash"])
+
+    return rows.select("id", "uid", "t", "again").mapInArrow(run, f"id {id_type}, uid long, p int, hash binary")
+
+
+def without(text: str, gone: np.ndarray) -> str:
+    """`text` without its words from..to of each (from << 32 | to). A line break on either side of what goes stays."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    edge = np.zeros(len(spans) + 1, np.int64)
+    np.add.at(edge, gone >> 32, 1)
+    np.add.at(edge, gone & 0xFFFFFFFF, -1)
+    cuts = np.diff(np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]]))
+    out, at = [], 0
+    for a, b in zip(np.flatnonzero(cuts == 1).tolist(), np.flatnonzero(cuts == -1).tolist()):
+        start, end = spans[a][0], spans[b - 1][1]
+        before = spans[a - 1][1] if a else 0
+        after = spans[b][0] if b < len(spans) else len(text)
+        if "\n" in text[before:start] or b == len(spans):
+            out.append(text[at:start])
+            at = after if b < len(spans) else end
+        else:
+            out.append(text[at:before])
+            at = end if a else after
+    return "".join(out) + text[at:]
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with later repeats of passages cut out of `text`, and a boolean column `_cut`. docs is read three times."""
+    uid = F.xxhash64(F.col(key).cast("string"), whole(text))
+    rows = docs.select(F.col(key).alias("id"), uid.alias("uid"), whole(text).alias("t"))
+    found = cut(marks(rows), "passage-marks")
+    several = found.groupBy("mark").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.max("n").alias("n")).where("a <> b or n > 1")
+    again = cut(found.join(cut(several.select("mark"), "passage-several"), "mark").groupBy("uid").agg(F.collect_set("mark").alias("again")), "passage-again")
+    places = cut(windows(rows.join(again, "uid"), docs.schema[key].dataType.simpleString()), "passage-windows")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "p")
+    firsts = places.select("hash", place.alias("place")).groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("final"))
+    firsts = cut(firsts.where("first <> final").select("hash", "first"), "passage-firsts")
+    later = places.join(firsts, "hash").where(place != F.col("first"))
+    start = F.when(F.col("uid") == F.col("first.uid"), F.greatest("p", F.col("first.p") + WORDS)).otherwise(F.col("p"))
+    later = later.select("uid", start.cast("long").alias("a"), (F.col("p") + WORDS).cast("long").alias("b")).where("a < b")
+    gone = later.groupBy(F.col("uid").alias("_uid")).agg(F.collect_set(F.shiftleft("a", 32).bitwiseOR(F.col("b"))).alias("_gone"))
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([None if g is None else without(t, np.asarray(g, np.int64)) for t, g in zip(texts, gone)], dtype=object)
+
+    out = docs.withColumn("_uid", uid).join(gone, "_uid", "left")
+    shorter = left(F.when(F.col("_gone").isNotNull(), whole(text)), F.col("_gone"))
+    return out.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(shorter).alias(text) if c == text else c for c in docs.columns], F.col("_gone").isNotNull().alias("_cut"))

@@ -1,0 +1,52 @@
+import random
+
+import pytest
+
+import corpus_pipeline as P
+from opinaria.llm import passages as L
+
+
+def brute(rows, size=50):
+    first, later = {}, {}
+    for i, t in sorted(rows):
+        words = (t or "").lower().encode().split()
+        for p in range(len(words) - size + 1):
+            j, q = first.setdefault(tuple(words[p : p + size]), (i, p))
+            if (j, q) != (i, p):
+                later.setdefault(i, set()).update(range(max(p, q + size) if j == i else p, p + size))
+    return sorted((i, [w for p, w in enumerate((t or "").split()) if p not in later.get(i, ())]) for i, t in rows)
+
+
+def words(seed, n):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+
+
+PASSAGE = words(0, 51)
+ROWS = [
+    (1, f"{words(1, 9)} {PASSAGE} {words(2, 30)}\nlast"), (2, f"{words(3, 70)} {PASSAGE.upper()}\n{words(4, 12)}"),  # inside lines
+    (3, "x y\n" + PASSAGE.replace(" ", "\n", 1).replace(" w", "\t w", 2) + "\nz"), (4, words(0, 49)), (5, None), (6, ""),
+    (7, "a b " * 200), (8, f"{words(5, 60)} é {words(5, 60)}"), (9, words(6, 400)), (10, f"q {words(6, 400)}"), (11, f"{words(7, 20)} " + " ".join(words(6, 400).split()[100:260])),
+]
+
+
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_brute(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as p", "2 as hash")
+    got = L.dedup(df)
+    assert got.columns == ["doc_id", "text", "p", "hash", "_cut"]
+    assert sorted((r.doc_id, (r.text or "").split()) for r in got.collect()) == brute(rows)
+
+
+def test_line_breaks_and_repeated_rows(spark):
+    rows = [(1, PASSAGE), (1, PASSAGE), (2, f"a {PASSAGE}\nb"), (3, f"c\n{PASSAGE} d"), (4, f"e {PASSAGE} f"), (None, PASSAGE)]
+    got = L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, ""), (1, PASSAGE), (1, PASSAGE), (2, "a\nb"), (3, "c\nd"), (4, "e f")]
+
+
+def test_stages_cut_a_passage_inside_lines(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in ROWS[:2]], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in P.STAGES[1:-2]:
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert sum(PASSAGE in r.text.lower() for r in docs.collect()) == 1
