@@ -103,8 +103,8 @@ def top_k(df: DataFrame, k: int, by: str, tie: str) -> DataFrame:
 
 
 def reviewed(business: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Businesses that some review names."""
-    return business.join(reviews.select("business_id"), "business_id", "left_semi")
+    """Businesses that some review names. Reviews are reduced to distinct businesses before the join (batch only)."""
+    return business.join(reviews.select("business_id").distinct(), "business_id", "left_semi")
 
 
 def sample_reviews(reviews: DataFrame, n: int, *extra: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ def queries() -> dict:
         "funniest_cities": lambda s, d: P.funniest_cities(r(s, d), b(s, d), CITIES),
         "user_profile": lambda s, d: P.user_profile(r(s, d)),
         "reviewed_businesses": lambda s, d: O.reviewed(b(s, d), o(s, d).where("user_id < 10")),
+        "reviewed_businesses_all": lambda s, d: O.reviewed(b(s, d), r(s, d)),
         "report_top_users": lambda s, d: P.report_top_users(r(s, d), USERS),
         "report_best_users": lambda s, d: P.report_best_users(o(s, d), BEST),
         "report_bot_users": lambda s, d: P.report_bot_users(a(s, d), BOTS),
@@ -76,6 +77,7 @@ def oracle_sql() -> dict[str, str]:
         "funniest_cities": top,
         "user_profile": "select user_id, count(*) reviews, count(*) filter (where stars = 5) five_star, min(md5(text)) min_text, max(md5(text)) max_text from reviews group by user_id",
         "reviewed_businesses": "select * from business where business_id in (select business_id from reviews_by_order where user_id < 10)",
+        "reviewed_businesses_all": "select * from business where business_id in (select business_id from reviews)",
         "report_top_users": f"select case when users = 0 then 'no users accomplish that requirements.' else printf('Users with +{USERS} reviews: %d, with %d total reviews (average: %3.2f per user).', users, reviews, average) end report from ({summary})",
         "report_best_users": named(f"Users with +{BEST} reviews (only 5-stars): ", best),
         "report_bot_users": named(f"Users with +{BOTS} reviews (all with same text): ", bots),
