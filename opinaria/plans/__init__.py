@@ -75,20 +75,26 @@ def _joined(df: DataFrame, number: str, label: str, item: Column) -> DataFrame:
     return df.agg(F.array_join(F.transform(rows, lambda x: x["item"]), " ; ").alias("items"))
 
 
-def _report_users(users: DataFrame, head: str, limit: int) -> DataFrame:
+def _report_users(users: DataFrame, head: str) -> DataFrame:
+    """Names all users. They are dealt out by range, largest number first, and each range is made one text where it lies, so
+    that the last task reads a row for each range, not for each user."""
     item = F.format_string("%s (%d)", F.col("user_id").cast("string"), F.col("reviews"))
-    out = _joined(O.top_k(users, limit, "reviews", "user_id"), "reviews", "user_id", item)
+    ranges = users.repartitionByRange(F.desc("reviews"), F.asc("user_id")).withColumn("range", F.spark_partition_id())
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("reviews")).alias("n"), F.col("user_id").alias("label"), item.alias("item"))))
+    texts = ranges.groupBy("range").agg(F.array_join(F.transform(rows, lambda x: x["item"]), " ; ").alias("items"))
+    parts = F.array_sort(F.collect_list(F.struct("range", "items")))
+    out = texts.agg(F.array_join(F.transform(parts, lambda x: x["items"]), " ; ").alias("items"))
     return out.select(F.when(F.col("items") == "", "no users accomplish that requirements.").otherwise(F.concat(F.lit(head), "items")).alias("report"))
 
 
-def report_best_users(reviews: DataFrame, n: int = USERS_MIN, limit: int = 10_000) -> DataFrame:
-    """The text names `limit` users at most; best_users() has them all."""
-    return _report_users(best_users(reviews, n), f"Users with +{n} reviews (only 5-stars): ", limit)
+def report_best_users(reviews: DataFrame, n: int = USERS_MIN) -> DataFrame:
+    """The text names all of best_users()."""
+    return _report_users(best_users(reviews, n), f"Users with +{n} reviews (only 5-stars): ")
 
 
-def report_bot_users(reviews: DataFrame, n: int = BOTS_MIN, limit: int = 10_000) -> DataFrame:
-    """The text names `limit` users at most; bot_users() has them all."""
-    return _report_users(bot_users(reviews, n), f"Users with +{n} reviews (all with same text): ", limit)
+def report_bot_users(reviews: DataFrame, n: int = BOTS_MIN) -> DataFrame:
+    """The text names all of bot_users()."""
+    return _report_users(bot_users(reviews, n), f"Users with +{n} reviews (all with same text): ")
 
 
 def report_weekdays(reviews: DataFrame) -> DataFrame:
