@@ -4,8 +4,9 @@
 2. ownership: each candidate's hash with the number of distinct repositories and owners that have it, over the whole
    corpus. Repeated (hash, owner, repository) are dropped before they are counted, so a value that a third of all rows
    carry costs each task one row.
-3. scan: spans joined with their value's ownership. A value held by `many` or more owners is a copied example; one that a
-   single owner holds looks live; others are shared.
+3. scan: spans joined with their value's ownership. A value that `many` or more owners hold, or that stands in `wide` or
+   more repositories, is a copied example; one that a single owner holds in `few` repositories at most looks live; others
+   are shared.
 
 Positions come without Python: the pieces between matches and the matches themselves are cut by the same pattern, and
 their lengths add up.
@@ -66,12 +67,13 @@ def ownership(found: DataFrame, repo: str, owner: str) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"), F.sum("rows").alias("rows"))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", many: int = 3) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", many: int = 3, wide: int = 10, few: int = 3) -> DataFrame:
     """A row for each row of docs: key, spans (start, rank, end, kind, hash), and verdicts: a map from each value's hash to
     live, shared or example. Pass the columns that tell repositories and owners apart."""
     found = cut(spans(docs, [key, repo, owner], text).withColumn("id", F.xxhash64("k0", "k1", "k2", F.to_json("spans"))), "secret-spans")
     held = found.where(F.size("spans") > 0)
-    verdict = F.when(F.col("owners") >= many, "example").when((F.col("owners") == 1), "live").otherwise("shared")
+    copied, own = (F.col("owners") >= many) | (F.col("repos") >= wide), (F.col("owners") == 1) & (F.col("repos") <= few)
+    verdict = F.when(copied, "example").when(own, "live").otherwise("shared")
     judged = cut(ownership(held, "k1", "k2").select("hash", verdict.alias("verdict")), "secret-verdicts")
     # rows with the same key, repository, owner and spans get the same map, so it is made once for all of them
     each = cut(held.select("id", F.explode(F.array_distinct(F.col("spans.hash"))).alias("hash")).distinct(), "secret-hashes")
