@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opinaria.llm import bpe, line_dedup, minhash, mixing, passages, toxicity
-from opinaria.sources.scratch import scratch_dir
+from opinaria.llm.common import whole
+from opinaria.sources.scratch import cut, scratch_dir
 
 THRESHOLD = 0.3
 
@@ -36,10 +37,15 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id. Ids name documents here."""
-    found = minhash.near_duplicates(docs, shingle=5)
-    gone = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group stays: that with the smallest id, null ids last, then the smallest hash of id and text. Of rows
+    that repeat id and text, the least in all columns stays. Documents without shingles are in no group and stay."""
+    found = cut(minhash.near_duplicates(docs, shingle=5).where("component is not null").groupBy("uid").agg(F.first("id").alias("id"), F.first("component").alias("component"), F.count(F.lit(1)).alias("rows")), "near-uids")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "uid")).alias("kept")).select(F.col("kept.uid").alias("uid"))
+    gone = found.join(kept, "uid", "left_anti").select(F.col("uid").alias("_uid"))
+    again = cut(found.where("rows > 1").join(kept, "uid", "left_semi").select(F.col("uid").alias("_uid")), "near-again")
+    rows = docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("string"), whole()))
+    one = rows.join(again, "_uid").groupBy("_uid").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
+    return rows.join(gone.unionByName(again), "_uid", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

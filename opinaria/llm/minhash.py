@@ -219,7 +219,9 @@ def rest_of_buckets(members: DataFrame, sets: DataFrame, texts: DataFrame, shing
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """(id, n_shingles, set_id, component_id) for every row of docs."""
+    """(id, n_shingles, set_id, component_id, uid, component) for every row of docs. component_id is the least id of a
+    component; where ids repeat or are null, `component` tells components apart (null: no shingles), and `uid` (a hash of id
+    and text) rows."""
     marks = cut(signatures(docs, key, text, shingle, bands, rows), "minhash-marks")
     sets = marks.where("set_id is not null").groupBy("set_id").agg(
         F.min("id").alias("least"), F.min("uid").alias("uid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("coordinates").alias("coordinates"))
@@ -254,14 +256,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         if r < rounds:
             members = cut(places.join(spread.select("bucket"), "bucket").join(names.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "minhash-members")
     if names is None:
-        of_set = sets.select("set_id", F.col("least").alias("component_id"))
+        of_set = sets.select("set_id", F.col("set_id").alias("component"), F.col("least").alias("component_id"))
     else:
         of = sets.select("set_id", "least").join(names.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         of = cut(of, "minhash-of")
         least = cut(of.groupBy("component").agg(F.min("least").alias("component_id")), "minhash-least")
-        of_set = cut(of.join(least, "component").select("set_id", "component_id"), "minhash-names")
-    out = marks.select("id", "n_shingles", "set_id").join(of_set, "set_id", "left")
-    return out.select("id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        of_set = cut(of.join(least, "component").select("set_id", "component", "component_id"), "minhash-names")
+    out = marks.select("id", "n_shingles", "set_id", "uid").join(of_set, "set_id", "left")
+    return out.select("id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "uid", "component")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
