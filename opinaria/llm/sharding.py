@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from opinaria.sources.scratch import cut
 
-from .common import whole
+from .common import numbers, whole
 
 SPACE, FANOUT, INTERVALS = 1 << 63, 64, 512
 
@@ -26,11 +26,6 @@ def sort_key(key: str, text: str) -> Column:
     return F.shiftleft(high, 23).bitwiseOR(low)
 
 
-def numbers(xs: list[int]) -> Column:
-    """A constant array; as one text it doesn't cost the driver a call for each number."""
-    return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-
-
 def interval(key: str, bounds: list[int]) -> Column:
     """How many of the sorted boundaries are at or below the key: a binary search. `bounds` is some thousand long."""
     top = 1 << max(1, len(bounds).bit_length())
