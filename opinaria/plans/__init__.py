@@ -36,10 +36,8 @@ def funniest_cities(reviews: DataFrame, business: DataFrame, k: int = CITIES) ->
     return O.top_k(O.funny_by_city(reviews, business), k, "funny", "city")
 
 
-def user_profile(reviews: DataFrame) -> DataFrame:
-    """Everything that the three user flows ask about a user, in one shuffle."""
-    digest = F.coalesce(text_digest(), F.lit(""))
-    return O.guard(reviews).groupBy("user_id").agg(
+def _profile(reviews: DataFrame, digest: Column) -> DataFrame:
+    return reviews.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("reviews"),
         F.count_if(F.col("stars") == 5.0).alias("five_star"),
         F.min(digest).alias("min_text"),
@@ -47,26 +45,54 @@ def user_profile(reviews: DataFrame) -> DataFrame:
     )
 
 
+def user_profile(reviews: DataFrame) -> DataFrame:
+    """Everything that the three user flows ask about a user, in one shuffle."""
+    return _profile(O.guard(reviews), F.coalesce(text_digest(), F.lit("")))
+
+
+def sorted_users(users: DataFrame) -> DataFrame:
+    """All rows of a user query, most reviews first, then by id: a range sort, so nothing passes through one task."""
+    return users.orderBy(F.desc("reviews"), F.asc("user_id"))
+
+
 def run_all(reviews: DataFrame, business: DataFrame, users_min: int = USERS_MIN, bots_min: int = BOTS_MIN, k: int = CITIES) -> dict[str, DataFrame]:
-    """All five flows. The three user flows read one profile, which is kept while they run; call
-    `["profile"].unpersist()` when done."""
-    profile = user_profile(reviews).persist()
+    """All five flows from one scan: what they need of a review (ids, stars, funny votes, date, and the text's digest in
+    place of the text) is kept while they run, and so is the profile that the three user flows share. Call `unpersist()` on
+    ["scan"] and ["profile"] when done."""
+    scan = reviews.select("user_id", "business_id", "stars", "funny", "review_date", F.coalesce(text_digest(), F.lit("")).alias("digest")).persist()
+    profile = _profile(O.guard(scan), F.col("digest")).persist()
     many = O.having_at_least(profile, users_min)
     return {
+        "scan": scan,
         "profile": profile,
         "top_users": many.select("user_id", "reviews"),
         "best_users": many.where("reviews = five_star").select("user_id", "reviews"),
         "bot_users": O.having_at_least(profile, bots_min).where("min_text = max_text").select("user_id", "reviews"),
-        "weekday_histogram": O.weekday_histogram(O.weekday_counts(reviews)),
-        "funniest_cities": funniest_cities(reviews, business, k),
+        "weekday_histogram": O.weekday_histogram(O.weekday_counts(scan)),
+        "funniest_cities": funniest_cities(scan, business, k),
     }
 
 
+def all_flows(reviews: DataFrame, business: DataFrame, users_min: int = USERS_MIN, bots_min: int = BOTS_MIN, k: int = CITIES) -> DataFrame:
+    """(flow, name, value): the rows of all five flows."""
+    flows = run_all(reviews, business, users_min, bots_min, k)
+    named = [("top_users", "user_id", "reviews"), ("best_users", "user_id", "reviews"), ("bot_users", "user_id", "reviews"), ("weekday_histogram", "weekday", "reviews"), ("funniest_cities", "city", "funny")]
+    parts = [flows[f].select(F.lit(f).alias("flow"), F.col(name).cast("string").alias("name"), F.col(value).alias("value")) for f, name, value in named]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # Reports: one row with one column `report`.
 
+#: Fixed text, after a report's head.
+NOBODY = "no users accomplish that requirements."
+
+
 def report_top_users(reviews: DataFrame, n: int = USERS_MIN) -> DataFrame:
-    said = F.format_string(f"Users with +{n} reviews: %d, with %d total reviews (average: %3.2f per user).", "users", "reviews", "average")
-    return top_users_summary(reviews, n).select(F.when(F.col("users") == 0, "no users accomplish that requirements.").otherwise(said).alias("report"))
+    said = F.format_string("%d, with %d total reviews (average: %3.2f per user).", "users", "reviews", "average")
+    return top_users_summary(reviews, n).select(F.concat(F.lit(f"Users with +{n} reviews: "), F.when(F.col("users") == 0, NOBODY).otherwise(said)).alias("report"))
 
 
 def _joined(df: DataFrame, number: str, label: str, item: Column) -> DataFrame:
@@ -84,7 +110,7 @@ def _report_users(users: DataFrame, head: str) -> DataFrame:
     texts = ranges.groupBy("range").agg(F.array_join(F.transform(rows, lambda x: x["item"]), " ; ").alias("items"))
     parts = F.array_sort(F.collect_list(F.struct("range", "items")))
     out = texts.agg(F.array_join(F.transform(parts, lambda x: x["items"]), " ; ").alias("items"))
-    return out.select(F.when(F.col("items") == "", "no users accomplish that requirements.").otherwise(F.concat(F.lit(head), "items")).alias("report"))
+    return out.select(F.concat(F.lit(head), F.when(F.col("items") == "", NOBODY).otherwise(F.col("items"))).alias("report"))
 
 
 def report_best_users(reviews: DataFrame, n: int = USERS_MIN) -> DataFrame:

@@ -2,14 +2,20 @@
 from __future__ import annotations
 
 from .. import operators as O, plans as P
+from ..sources import messages, read_businesses, read_reviews, stream_reviews
 from ..streaming import drain
 from . import testviews as V
 
 USERS, BEST, BOTS, CITIES = 50, 2, 3, 10
+NONE = 1_000_000  # a threshold that nobody meets
+URGENT = "stars = 5 and funny >= 5 and text = '1-URGENT'"
 
 
 def queries() -> dict:
     r, o, b, a = V.reviews, V.reviews_by_order, V.business, V.activity
+    scan = lambda s, d: read_reviews(s, V.review_lines(s, d))
+    live = lambda s, d: stream_reviews(s, V.review_lines(s, d))
+    queue = lambda s, d: messages(s.readStream.format("text").load(V.review_lines(s, d)))
     return {
         "user_review_counts": lambda s, d: O.count_by(O.guard(r(s, d)), "user_id"),
         "top_users": lambda s, d: P.top_users(r(s, d), USERS),
@@ -29,13 +35,26 @@ def queries() -> dict:
         "funny_city": lambda s, d: O.funny_by_city(r(s, d), b(s, d)),
         "funniest_cities": lambda s, d: P.funniest_cities(r(s, d), b(s, d), CITIES),
         "user_profile": lambda s, d: P.user_profile(r(s, d)),
-        "reviewed_businesses": lambda s, d: O.reviewed(b(s, d), o(s, d).where("user_id < 10")),
+        "reviewed_businesses": lambda s, d: O.reviewed(b(s, d), r(s, d).where(URGENT)),
         "reviewed_businesses_all": lambda s, d: O.reviewed(b(s, d), r(s, d)),
         "report_top_users": lambda s, d: P.report_top_users(r(s, d), USERS),
         "report_best_users": lambda s, d: P.report_best_users(o(s, d), BEST),
         "report_bot_users": lambda s, d: P.report_bot_users(a(s, d), BOTS),
         "report_weekdays": lambda s, d: P.report_weekdays(r(s, d)),
         "report_cities": lambda s, d: P.report_cities(r(s, d), b(s, d), CITIES),
+        "best_users_sorted": lambda s, d: P.sorted_users(P.best_users(o(s, d), BEST)),
+        "bot_users_sorted": lambda s, d: P.sorted_users(P.bot_users(a(s, d), BOTS)),
+        "report_top_users_none": lambda s, d: P.report_top_users(r(s, d), NONE),
+        "report_best_users_none": lambda s, d: P.report_best_users(o(s, d), NONE),
+        "report_bot_users_none": lambda s, d: P.report_bot_users(a(s, d), NONE),
+        "all_flows": lambda s, d: P.all_flows(r(s, d), b(s, d), USERS, BOTS, CITIES),
+        "scan_top_users": lambda s, d: P.top_users(scan(s, d), BOTS),
+        "scan_best_users": lambda s, d: P.best_users(scan(s, d), BEST),
+        "scan_weekday_counts": lambda s, d: O.weekday_counts(scan(s, d)),
+        "scan_funniest_cities": lambda s, d: P.funniest_cities(scan(s, d), read_businesses(s, V.business_lines(s, d)), CITIES),
+        "stream_scan_best_users": lambda s, d: drain(P.best_users(live(s, d), BEST)),
+        "stream_scan_funniest_cities": lambda s, d: drain(P.funniest_cities(live(s, d), read_businesses(s, V.business_lines(s, d)), CITIES)),
+        "stream_messages_top_users": lambda s, d: drain(P.top_users(queue(s, d), BOTS)),
         "stream_top_users": lambda s, d: drain(P.top_users(r(s, d, True), USERS)),
         "stream_best_users": lambda s, d: drain(P.best_users(o(s, d, True), BEST)),
         "stream_bot_users": lambda s, d: drain(P.bot_users(a(s, d, True), BOTS)),
@@ -48,19 +67,21 @@ def oracle_sql() -> dict[str, str]:
     label = "concat(coalesce(city, ''), ' (', coalesce(state, ''), ')')"
     cities = f"select {label} city, count(*) funny from reviews join business using (business_id) where funny > 0 group by 1"
     counts = "select user_id, count(*) reviews from reviews group by user_id"
-    best = f"select user_id, count(*) reviews from reviews_by_order group by user_id having count(*) >= {BEST} and count(*) = count(*) filter (where stars = 5)"
-    bots = f"select user_id, count(*) reviews from activity group by user_id having count(distinct md5(text)) = 1 and count(*) >= {BOTS}"
+    best_of = lambda n: f"select user_id, count(*) reviews from reviews_by_order group by user_id having count(*) >= {n} and count(*) = count(*) filter (where stars = 5)"
+    bots_of = lambda n: f"select user_id, count(*) reviews from activity group by user_id having count(distinct md5(text)) = 1 and count(*) >= {n}"
+    best, bots = best_of(BEST), bots_of(BOTS)
+    top_report = lambda n: f"select concat('Users with +{n} reviews: ', case when users = 0 then 'no users accomplish that requirements.' else printf('%d, with %d total reviews (average: %3.2f per user).', users, reviews, average) end) report from ({summary(n)})"
     days = "(values (0, 'Sunday'), (1, 'Monday'), (2, 'Tuesday'), (3, 'Wednesday'), (4, 'Thursday'), (5, 'Friday'), (6, 'Saturday')) d(position, weekday)"
     byday = "select dayname(date) weekday, count(*) reviews from reviews group by 1"
     week = f"select d.position, d.weekday, cast(coalesce(c.reviews, 0) as bigint) reviews from {days} left join ({byday}) c on d.weekday = c.weekday"
-    summary = f"select count(*) users, cast(coalesce(sum(reviews), 0) as bigint) reviews, sum(reviews) / count(*) average from ({counts} having count(*) >= {USERS})"
+    summary = lambda n: f"select count(*) users, cast(coalesce(sum(reviews), 0) as bigint) reviews, sum(reviews) / count(*) average from ({counts} having count(*) >= {n})"
     users = "concat(cast(user_id as varchar), ' (', cast(reviews as varchar), ')')"
-    named = lambda head, sql: f"select case when count(*) = 0 then 'no users accomplish that requirements.' else concat('{head}', string_agg({users}, ' ; ' order by reviews desc, user_id)) end report from ({sql})"
+    named = lambda head, sql: f"select concat('{head}', coalesce(string_agg({users}, ' ; ' order by reviews desc, user_id), 'no users accomplish that requirements.')) report from ({sql})"
     top = f"{cities} order by funny desc, city limit {CITIES}"
     sql = {
         "user_review_counts": counts,
         "top_users": f"{counts} having count(*) >= {USERS}",
-        "top_users_summary": summary,
+        "top_users_summary": summary(USERS),
         "five_star_counts": "select user_id, count(*) reviews from reviews where stars = 5 group by user_id",
         "best_users": best,
         "best_users_by_join": best,
@@ -76,13 +97,35 @@ def oracle_sql() -> dict[str, str]:
         "funny_city": cities,
         "funniest_cities": top,
         "user_profile": "select user_id, count(*) reviews, count(*) filter (where stars = 5) five_star, min(md5(text)) min_text, max(md5(text)) max_text from reviews group by user_id",
-        "reviewed_businesses": "select * from business where business_id in (select business_id from reviews_by_order where user_id < 10)",
+        "reviewed_businesses": f"select * from business where business_id in (select business_id from reviews where {URGENT})",
         "reviewed_businesses_all": "select * from business where business_id in (select business_id from reviews)",
-        "report_top_users": f"select case when users = 0 then 'no users accomplish that requirements.' else printf('Users with +{USERS} reviews: %d, with %d total reviews (average: %3.2f per user).', users, reviews, average) end report from ({summary})",
+        "report_top_users": top_report(USERS),
         "report_best_users": named(f"Users with +{BEST} reviews (only 5-stars): ", best),
         "report_bot_users": named(f"Users with +{BOTS} reviews (all with same text): ", bots),
         "report_weekdays": f"select concat('Reviews by Weekday: ', string_agg(concat(upper(weekday[1:3]), ' (', cast(reviews as varchar), ')'), ', ' order by position)) report from ({week})",
         "report_cities": f"select case when count(*) = 0 then 'no cities have funny points.' else concat('Top Funniest Cities: ', string_agg(concat(city, ' w/ ', cast(funny as varchar), 'p'), ' ; ' order by funny desc, city)) end report from ({top})",
     }
+    text_key = lambda q: f"select * replace (cast(user_id as varchar) as user_id) from ({q})"
+    many = f"select user_id, count(*) reviews from reviews_by_order group by user_id having count(*) >= {BOTS}"
+    flow = lambda name, key, value, q: f"select '{name}' flow, cast({key} as varchar) as name, {value} as value from ({q})"
+    best_plain = f"select user_id, count(*) reviews from reviews group by user_id having count(*) >= {USERS} and count(*) = count(*) filter (where stars = 5)"
+    bots_plain = f"select user_id, count(*) reviews from reviews group by user_id having count(distinct md5(text)) = 1 and count(*) >= {BOTS}"
+    sql |= {
+        "best_users_sorted": best,
+        "bot_users_sorted": bots,
+        "report_top_users_none": top_report(NONE),
+        "report_best_users_none": named(f"Users with +{NONE} reviews (only 5-stars): ", best_of(NONE)),
+        "report_bot_users_none": named(f"Users with +{NONE} reviews (all with same text): ", bots_of(NONE)),
+        "all_flows": " union all ".join((
+            flow("top_users", "user_id", "reviews", sql["top_users"]), flow("best_users", "user_id", "reviews", best_plain), flow("bot_users", "user_id", "reviews", bots_plain),
+            flow("weekday_histogram", "weekday", "reviews", week), flow("funniest_cities", "city", "funny", top))),
+        "scan_top_users": text_key(many),
+        "scan_best_users": text_key(best),
+        "scan_weekday_counts": byday,
+        "scan_funniest_cities": top,
+        "stream_scan_best_users": text_key(best),
+        "stream_scan_funniest_cities": top,
+        "stream_messages_top_users": text_key(many),
+    }
     sql |= {f"stream_{k}": sql[k] for k in ("top_users", "best_users", "bot_users", "weekday_counts", "funniest_cities")}
     return {k: V.CTE + v for k, v in sql.items()}

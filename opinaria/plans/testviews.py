@@ -1,8 +1,12 @@
 """`reviews` and `business` over the order tables, for checks against SQL on the same tables."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.scratch import scratch_dir
+
 _REVIEW = [
     "concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) review_id",
     "l_orderkey", "o_custkey user_id", "l_suppkey business_id",
@@ -45,6 +49,24 @@ def activity(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFram
     )
 
 
+def _lines(df: DataFrame, name: str) -> str:
+    """`df` as a folder of NDJSON files."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return path
+
+
+def review_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The `reviews_by_order` view as NDJSON in the shape of real reviews: ids as text, numbers plain or quoted."""
+    return _lines(reviews_by_order(spark, sf_dir).selectExpr(
+        "review_id", "cast(user_id as string) user_id", "cast(business_id as string) business_id", "cast(stars as double) stars",
+        "0 useful", "cast(funny as string) funny", "0 cool", "text", "concat(cast(review_date as string), ' 10:00:00') date"), "review-lines")
+
+
+def business_lines(spark: SparkSession, sf_dir: str) -> str:
+    return _lines(business(spark, sf_dir).selectExpr("cast(business_id as string) business_id", "city", "state", "map('Monday', '9-5') hours"), "business-lines")
+
+
 #: The same views for DuckDB.
 CTE = """with reviews as (
   select concat(cast(l_orderkey as varchar), '-', cast(l_linenumber as varchar)) review_id, o_custkey user_id, l_suppkey business_id,

@@ -1,5 +1,6 @@
 """Readers, writers and shared scratch space."""
 from .readers import (
+    messages,
     normalize_businesses,
     normalize_reviews,
     read_businesses,
@@ -9,9 +10,9 @@ from .readers import (
     union_streams,
 )
 from .sinks import write_results
-from .scratch import cut, scratch_dir
+from .scratch import cut, free, scoped, scratch_dir
 
 __all__ = [
-    "cut", "normalize_businesses", "normalize_reviews", "read_businesses", "read_reviews",
-    "read_reviews_with_rejects", "scratch_dir", "stream_reviews", "union_streams", "write_results",
+    "cut", "free", "messages", "normalize_businesses", "normalize_reviews", "read_businesses", "read_reviews",
+    "read_reviews_with_rejects", "scoped", "scratch_dir", "stream_reviews", "union_streams", "write_results",
 ]

@@ -37,13 +37,22 @@ def read_reviews(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame
     return normalize_reviews(_scan(spark, path, fmt, REVIEW_RAW))
 
 
+def _parsed(df: DataFrame, value: str) -> DataFrame:
+    schema = T.StructType([*REVIEW_RAW, T.StructField(CORRUPT, T.StringType())])
+    return df.select(F.col(value).alias("value"), F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+
+
+def messages(df: DataFrame, value: str = "value") -> DataFrame:
+    """Reviews from messages, each one JSON object in column `value` (text or bytes), of any batch or streaming source.
+    Null, blank and malformed messages give no review."""
+    lines = df.where(F.trim(F.col(value).cast("string")) != "")
+    return normalize_reviews(_parsed(lines, value).where(F.col(f"r.{CORRUPT}").isNull()).select(*[f"r.{f.name}" for f in REVIEW_RAW]))
+
+
 def read_reviews_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(reviews, rejected lines) of an NDJSON file. A malformed line is only in the second, as column `line`."""
     lines = spark.read.text(path).where("trim(value) <> ''")
-    schema = T.StructType([*REVIEW_RAW, T.StructField(CORRUPT, T.StringType())])
-    parsed = lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-    bad = F.col(f"r.{CORRUPT}").isNotNull()
-    return normalize_reviews(parsed.where(~bad).select(*[f"r.{f.name}" for f in REVIEW_RAW])), parsed.where(bad).select(F.col("value").alias("line"))
+    return messages(lines), _parsed(lines, "value").where(F.col(f"r.{CORRUPT}").isNotNull()).select(F.col("value").alias("line"))
 
 
 def read_businesses(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

@@ -1,44 +1,75 @@
 """Tables written to the folder that all executors share, to cut lineage.
 
-A table there survives the loss of executors, is computed once however often it is read, and is deleted when the
-Python process ends."""
+A table there survives the loss of executors and is computed once however often it is read. It is deleted by `free`, at the
+end of the `scoped` block it was written in, or when the Python process ends."""
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_roots: dict[int, tuple[SparkSession, str]] = {}
+_roots: dict[str, str] = {}
+#: Paths written in each open scope, innermost last.
+_scopes: list[list[str]] = []
 
 
-def _remove(spark: SparkSession, root: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_at_exit(spark: SparkSession, root: str) -> None:
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, root)
     except Exception:  # noqa: BLE001  the session is gone, and nothing is left to delete with
         pass
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A folder of this application's own in spark.checkpoint.dir; where that is unset (tests), in a local temporary folder."""
-    key = id(spark.sparkContext)
-    if key not in _roots:
+    application = spark.sparkContext.applicationId
+    if application not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="opinaria-")
             spark.conf.set("spark.checkpoint.dir", base)
-        root = f"{base.rstrip('/')}/opinaria-{uuid.uuid4().hex}"
-        _roots[key] = (spark, root)
-        atexit.register(_remove, spark, root)
-    return _roots[key][1]
+        _roots[application] = f"{base.rstrip('/')}/opinaria-{uuid.uuid4().hex}"
+        atexit.register(_remove_at_exit, spark, _roots[application])
+    return _roots[application]
 
 
 def cut(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it again."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` returned, once all that was made of them is written."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+@contextmanager
+def scoped(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside the block are deleted at its end: write what is to be kept elsewhere before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)

@@ -3,26 +3,47 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.scratch import scratch_dir
+from ..sources.scratch import remove, scratch_dir
+
+
+def _results(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the results that are written whole, oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*/_SUCCESS")
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
 
 def start(df: DataFrame, out: str, state: str, mode: str = "complete", **trigger) -> StreamingQuery:
-    """Writes each result of a streaming aggregate to the folder `out`, which then holds the newest one. `state` keeps
-    the query's progress and counts, from which it resumes after a failure."""
-    def sink(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    """Writes each result of a streaming aggregate to a folder of its own under `out`, where `newest` finds it; the one
+    before is kept for those who still read it. `state` keeps the query's progress and counts, from which it resumes after a
+    failure. Only complete results are written: `update` and `append` give a part of the result at a time, which would
+    stand for the whole here."""
+    if mode != "complete":
+        raise ValueError(f"only complete results are kept, not those of mode {mode!r}; write the stream with writeStream instead")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        for old in _results(batch.sparkSession, out)[:-2]:
+            remove(batch.sparkSession, f"{out}/batch={old}")
 
     return df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(**(trigger or {"processingTime": "10 seconds"})).foreachBatch(sink).start()
 
 
+def newest(df: DataFrame, out: str) -> DataFrame:
+    """The newest whole result of a query that `start` runs for the plan `df`; no rows before there is one."""
+    spark = df.sparkSession
+    numbers = _results(spark, out)
+    return spark.read.schema(df.schema).parquet(f"{out}/batch={numbers[-1]}") if numbers else spark.createDataFrame([], df.schema)
+
+
 def drain(df: DataFrame) -> DataFrame:
-    """Takes in what is there, stops, and returns the result; a batch DataFrame passes through."""
+    """Takes in what is there, stops, and returns the result; a batch DataFrame passes through. An input without files gives
+    what the plan gives without rows, as no batch runs: no rows."""
     if not df.isStreaming:
         return df
-    spark = df.sparkSession
-    where = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    where = f"{scratch_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
     start(df, f"{where}/out", f"{where}/state", availableNow=True).awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{where}/out")
+    return newest(df, f"{where}/out")

@@ -1,13 +1,14 @@
 """The five user groups, dirty input, boundaries, and streams against batch."""
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from opinaria import operators as O, plans as P
-from opinaria.sources import read_businesses, read_reviews, read_reviews_with_rejects, stream_reviews, union_streams, write_results
-from opinaria.streaming import drain
+from opinaria.sources import cut, free, messages, read_businesses, read_reviews, read_reviews_with_rejects, scoped, stream_reviews, union_streams, write_results
+from opinaria.streaming import drain, newest, start
 
 
 def review(user, i, text, stars=5.0, funny=0, date="2019-12-07 13:32:11", **more):
@@ -56,11 +57,15 @@ def test_groups(data):
 def test_run_all_and_sink(data, spark, tmp_path):
     r, b, _ = data
     out = P.run_all(r, b)
-    profile = out.pop("profile")
+    profile, scan = out.pop("profile"), out.pop("scan")
+    assert "text" not in scan.columns and scan.storageLevel.useMemory
+    for df in out.values():  # every flow starts from what is kept
+        assert "InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString() and rows(df) is not None
     assert rows(out["best_users"]) == rows(P.best_users(r)) and rows(out["bot_users"]) == rows(P.bot_users(r)) and rows(out["top_users"]) == rows(P.top_users(r))
     write_results(out, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/funniest_cities")).count() == out["funniest_cities"].count()
     profile.unpersist()
+    scan.unpersist()
 
 
 def test_forms_agree(data):
@@ -94,7 +99,8 @@ def test_dirty(spark, tmp_path):
     assert rows(O.weekday_counts(r)) == [("Saturday", 4)]
     assert O.funny_reviews(r).count() == 1 and r.where("stars = 5").count() == 7
     assert rows(P.top_users(r.limit(0))) == [] and P.report_cities(r.limit(0), r.limit(0).selectExpr("business_id", "text city", "text state")).first()[0] == "no cities have funny points."
-    assert P.report_bot_users(r.limit(0)).first()[0] == "no users accomplish that requirements."
+    assert P.report_bot_users(r.limit(0)).first()[0] == "Users with +5 reviews (all with same text): no users accomplish that requirements."
+    assert P.report_top_users(r.limit(0)).first()[0] == "Users with +50 reviews: no users accomplish that requirements."
 
 
 def test_case_and_space_count(spark):
@@ -113,3 +119,49 @@ def test_ties_and_semi_join(data, spark):
     assert [x.city for x in O.top_k(df, 2, "funny", "city").collect()] == ["a", "m"]
     r, b, _ = data
     assert O.reviewed(b, O.sample_reviews(r, 3)).count() >= 1
+
+
+def test_sorted_users(spark):
+    df = spark.createDataFrame([("b", 2), ("a", 2), ("c", 9)], "user_id string, reviews long")
+    assert [x.user_id for x in P.sorted_users(df).collect()] == ["c", "a", "b"]
+
+
+def test_empty_stream(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert rows(drain(P.top_users(stream_reviews(spark, str(tmp_path / "none"))))) == []
+
+
+def test_newest_result(spark, tmp_path):
+    """Two runs over a growing folder: the second result stands for all, and nothing is lost between; other modes are
+    refused."""
+    (tmp_path / "in").mkdir()
+    plan = O.count_by(O.guard(stream_reviews(spark, str(tmp_path / "in"))), "user_id")
+    assert newest(plan, str(tmp_path / "out")).count() == 0
+    for i in range(4):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps(review("u", j, "t")) for j in range(3)) + "\n" + json.dumps(review(f"v{i}", 0, "t")))
+        start(plan, str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True).awaitTermination()
+        assert rows(newest(plan, str(tmp_path / "out"))) == sorted([("u", 3 * i + 3), *((f"v{j}", 1) for j in range(i + 1))])
+    assert len(list((tmp_path / "out").iterdir())) == 2
+    for mode in ("update", "append"):
+        with pytest.raises(ValueError):
+            start(plan, str(tmp_path / "out"), str(tmp_path / "state2"), mode)
+
+
+def test_messages(spark):
+    """Text or bytes, as a queue gives them; what isn't a review gives none."""
+    good = json.dumps(review("u", 1, "x", "5", "3"))
+    for kind in ("string", "binary"):
+        df = spark.createDataFrame([(good,), (None,), (" ",), ("not json",)], "value string").selectExpr(f"cast(value as {kind}) value")
+        assert [(x.user_id, x.stars, x.funny) for x in messages(df).collect()] == [("u", 5.0, 3)]
+
+
+def test_scoped_tables(spark):
+    """Tables cut in a block are gone after it, freed ones at once, others stay."""
+    with scoped(spark):
+        inside = cut(spark.range(3), "t")
+        assert inside.count() == 3
+    outside = cut(spark.range(4), "t")
+    assert outside.count() == 4
+    free(outside, spark.range(1))
+    for df in (inside, outside):
+        assert not os.path.exists(df._scratch_path)

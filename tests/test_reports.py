@@ -7,4 +7,4 @@ def test_reports_name_every_user(spark):
     want = ["most (3)", *(f"{u} (2)" for u in sorted(map(str, range(12_000))))]
     for report in (P.report_best_users(rows, 2), P.report_bot_users(rows, 2)):
         assert report.first()[0].split(": ", 1)[1].split(" ; ") == want
-    assert P.report_best_users(rows, 9).first()[0] == "no users accomplish that requirements."
+    assert P.report_best_users(rows, 9).first()[0] == "Users with +9 reviews (only 5-stars): no users accomplish that requirements."
