@@ -20,6 +20,18 @@ def n_words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def numbers(xs: list[int]) -> Column:
     """A constant array; as one text it doesn't cost the driver a call for each number."""
     return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from opinaria.sources.scratch import cut
+from opinaria.sources.scratch import cut, free
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -21,11 +21,14 @@ def components(edges: DataFrame) -> DataFrame:
     the least node of its component."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     while not _stars(edges):
+        old = edges
         both = edges.union(edges.select("b", "a"))
         least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = cut(large, "cc-large")
+        free(least)
         least = cut(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
         joined = large.join(least, "a")
         edges = cut(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(joined.select("a", F.col("m").alias("b"))).distinct(), "cc-edges")
+        free(old, large, least)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

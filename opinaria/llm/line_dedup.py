@@ -5,30 +5,38 @@ of `long_line` words or more is a window of its own, since a passage of that len
 chance. The first place of each hash, by id and then position, stays; every line covered by a later place goes, where
 overlapping windows cover the run of lines once. Lines without a word are no part of windows and stay.
 
+With `sentences`, lines are cut further at the ends of sentences (`.`, `!` or `?` before spaces), so that a window may start
+and end inside a line; a passage that repeats inside longer lines is then found, but for the sentences it cuts at its edges.
+
 Only hashes that are found more than once are looked up again. A hash that stands in a third of all documents costs each
-task one row in the counts, and its lookup join is one that Spark can split.
+task one row in the counts, and its lookup join is one that Spark can split. A document's covered positions are merged, and
+its text cut, in one pass over its lines.
 
-Defined cases. Null or empty text: no lines with words, comes back as it is. Repeated rows (same id and text) are one
-document: what stays in one stays in all. Null ids come after all others. Extra columns pass through."""
+Defined cases. Null or empty text: no lines with words, comes back as it is. Very long texts: their windows are rows like
+any others; the time grows with the lines. Ties: equal lines in one document are told apart by position. Repeated rows (same
+id and text) are one document: what stays in one stays in all. Null ids come after all others. Empty table: no rows. Extra
+columns pass through whatever their names; one named like the added column (`into`) is replaced by it."""
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opinaria.sources.scratch import cut
 
-from .common import n_words, whole
+from .common import columns, n_words, whole
 
 A_WORD = r"[^\x20\x09-\x0D]"
+_SPACE = " \t\n\x0b\x0c\r"
+#: What stands between units: a line's end, or the spaces after a sentence's end.
+LINES, SENTENCES = r"\n", r"\n|(?<=[.!?])\x20+"
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(text, "\n", -1)
-
-
-def content(text: Column) -> Column:
-    """Array of (i, x): the lines with a word and their numbers."""
-    numbered = F.transform(lines_of(text), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    return F.filter(numbered, lambda s: s["x"].rlike(A_WORD))
+def content(text: Column, between: str = LINES) -> Column:
+    """Array of the lines with a word."""
+    return F.filter(F.split(text, between, -1), lambda x: x.rlike(A_WORD))
 
 
 def windows(lines: Column, size: int, long_line: int) -> Column:
@@ -36,29 +44,63 @@ def windows(lines: Column, size: int, long_line: int) -> Column:
     hashed = lambda p, n, tag, text: F.struct(p.alias("p"), F.lit(n).alias("n"), F.unhex(F.md5(F.concat(F.lit(tag), text))).alias("hash"))
     several = F.transform(
         F.when(F.size(lines) >= size, F.sequence(F.lit(0), F.size(lines) - size)).otherwise(F.array().cast("array<int>")),
-        lambda p: hashed(p, size, "window|", F.concat_ws("\n", *[F.get(lines, p + j)["x"] for j in range(size)])),
+        lambda p: hashed(p, size, "window|", F.concat_ws("\n", *[F.get(lines, p + j) for j in range(size)])),
     )
-    alone = F.transform(lines, lambda s, p: F.when(n_words(s["x"]) >= long_line, hashed(p, 1, "line|", s["x"])))
+    alone = F.transform(lines, lambda x, p: F.when(n_words(x) >= long_line, hashed(p, 1, "line|", x)))
     return F.concat(several, F.array_compact(alone))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, long_line: int = 50) -> DataFrame:
-    """`docs` with the later repeats cut out of `text`, and a struct column `_lines`: n_lines, n_removed."""
-    uid = F.xxhash64(F.col(key).cast("string"), whole(text))
-    found = docs.select(F.col(key).alias("id"), uid.alias("uid"), content(whole(text)).alias("lines"))
+def covered(starts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n lines with a word some window covers."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + sizes, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def without(text: str, starts: np.ndarray, sizes: np.ndarray, between: re.Pattern) -> tuple[str, int]:
+    """`text` without the covered lines, and how many those are. Where lines go, one of the line breaks between their
+    neighbours stays."""
+    parts = between.split(text)  # lines and, between them, what stood between
+    lines = parts[::2]
+    full = [i for i, x in enumerate(lines) if x.strip(_SPACE)]
+    gone = np.zeros(len(lines), bool)
+    gone[full] = covered(starts, sizes, len(full))
+    kept = np.flatnonzero(~gone).tolist()
+    out = [lines[i] for i in kept[:1]]
+    for i, j in zip(kept, kept[1:]):
+        gaps = parts[2 * i + 1 : 2 * j : 2]
+        out += ("\n" if "\n" in gaps else gaps[0], lines[j])
+    return "".join(out), int(gone.sum())
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, long_line: int = 50, sentences: bool = False, into: str = "_lines") -> DataFrame:
+    """`docs` with the later repeats cut out of `text`, and a struct column named `into`: n_lines, n_removed."""
+    between = SENTENCES if sentences else LINES
+    split = re.compile(f"({between})")
+    uid = F.xxhash64(F.col(key).cast("string"), whole(text)).alias("uid")
+    found = docs.select(F.col(key).alias("id"), uid, content(whole(text), between).alias("lines"))
     found = found.select("id", "uid", F.explode(windows(F.col("lines"), size, long_line)).alias("w")).select("id", "uid", "w.*")
     found = cut(found, "line-windows")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "p")
     places = found.select("hash", place.alias("place")).groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("final"))
     repeated = cut(places.where("first <> final").select("hash", "first"), "line-repeated")
     later = found.join(repeated, "hash").where(place != F.col("first"))
-    gone = later.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("p", F.expr("p + n - 1"))))).alias("_gone"))
-    rows = docs.withColumn("_uid", uid).join(gone.withColumnRenamed("uid", "_uid"), "_uid", "left")
-    lines = content(whole(text))
-    dropped = F.transform(F.filter(F.transform(lines, lambda s, p: F.struct(s["i"].alias("i"), p.alias("p"))), lambda s: F.array_contains("_gone", s["p"])), lambda s: s["i"])
-    left = F.array_join(F.filter(lines_of(whole(text)), lambda x, i: ~F.array_contains(dropped, i)), "\n")
-    rows = rows.withColumn("_lines", F.struct(F.size(lines_of(whole(text))).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed")))
-    return rows.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)).drop("_uid", "_gone").select(*docs.columns, "_lines")
+    # start and size in one number
+    gone = later.groupBy("uid").agg(F.collect_set(F.shiftleft(F.col("p").cast("long"), 16).bitwiseOR(F.col("n").cast("long"))).alias("gone"))
+
+    @F.pandas_udf("text string, n int")
+    def left(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        done = [(None, 0) if g is None else without(t, np.asarray(g, np.int64) >> 16, np.asarray(g, np.int64) & 0xFFFF, split) for t, g in zip(texts, gone)]
+        return pd.DataFrame(done, columns=["text", "n"])
+
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), uid).join(gone, "uid", "left")
+    text_of = F.col("row").getField(text)
+    rows = rows.select("row", "gone", left(F.when(F.col("gone").isNotNull(), F.coalesce(text_of.cast("string"), F.lit(""))), F.col("gone")).alias("left"))
+    n_lines = F.size(F.split(F.coalesce(text_of.cast("string"), F.lit("")), between, -1))
+    return rows.select(
+        *[F.when(F.col("gone").isNull(), text_of).otherwise(F.col("left.text")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != into],
+        F.struct(n_lines.alias("n_lines"), F.col("left.n").alias("n_removed")).alias(into))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 
 from opinaria.llm import line_dedup as L
@@ -28,9 +32,10 @@ ROWS = [(1, "a\nb\nc\nd"), (2, "x\n\na\n \nb\nc\nd\ny"), (3, "q\nq\nq\nq\nq"), (
 
 @pytest.mark.parametrize("rows", [ROWS, [], [(i, "same\nthree\nlines\nend %d" % (i % 5)) for i in range(200)]])
 def test_brute(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as hash", "2 as p", "3 as uid")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as hash", "2 as p", "3 as uid", "4 as gone", "5 as row", "6 as left", "7 as _uid", "8 as `a.b`", "9 as _lines")
     got = L.dedup(df)
-    assert got.columns == ["doc_id", "text", "hash", "p", "uid", "_lines"]
+    assert got.columns == ["doc_id", "text", "hash", "p", "uid", "gone", "row", "left", "_uid", "a.b", "_lines"]
+    assert L.dedup(df, into="found").columns == [*df.columns, "found"]
     assert sorted((r.doc_id, r.text) for r in got.collect()) == brute(rows)
 
 
@@ -43,3 +48,35 @@ def test_null_and_repeated_rows(spark):
 def test_against_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert same(L.query(spark, sf), L.SQL, sf) == 200
+
+
+def test_many_lines(spark):
+    """Two equal documents of 20,000 lines, in seconds; the first stays, the second goes."""
+    text = "\n".join(f"line number {i}" for i in range(20_000))
+    began = time.time()
+    got = {r.doc_id: r for r in L.dedup(spark.createDataFrame([(1, text), (2, text), (3, text + "\nend")], "doc_id long, text string")).collect()}
+    assert time.time() - began < 30
+    assert got[1].text == text and got[2].text == "" and got[3].text == "end" and got[2]._lines.n_removed == 20_000
+
+
+def test_passages_inside_lines(spark):
+    """A passage of 60 words between other words of longer lines goes from the second document, but for its edges."""
+    r = random.Random(2)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}{'.' if i % 9 == 8 else ''}" for i in range(n))
+    passage = words(60)
+    rows = [(1, words(40) + " " + passage + " " + words(30)), (2, words(50) + "\n" + words(21) + " " + passage + " " + words(25)), (3, words(80))]
+    got = {x.doc_id: x for x in L.dedup(spark.createDataFrame(rows, "doc_id long, text string"), sentences=True).collect()}
+    assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
+    left = set(got[2].text.split())
+    assert len(left & set(passage.split())) <= 15 and set(rows[1][1].split()) - left <= set(passage.split())
+    assert "\n" in got[2].text
+    assert {x.doc_id: x.text for x in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == dict(rows)
+
+
+def test_without():
+    lines, sentences = (re.compile(f"({x})") for x in (L.LINES, L.SENTENCES))
+    n = lambda *x: __import__("numpy").array(x)
+    assert L.without("a\n\nb\nc", n(0), n(1), lines) == ("\nb\nc", 1)
+    assert L.without("A a. B b. C c.\nD d.", n(1, 1), n(1, 2), sentences) == ("A a.\nD d.", 2)
+    assert L.without("A a.  B b. C c.", n(1), n(1), sentences) == ("A a.  C c.", 1)
+    assert L.without("A a. B b.", n(0), n(2), sentences) == ("", 2)
