@@ -6,9 +6,12 @@ one range sort of narrow rows (source, key, size), prefix sums over the sorted p
 inside the one partition of each source where the budget falls. A row's share then depends on its own key and its
 source's cut alone, so the documents themselves are never moved.
 
-Defined cases. Null or empty text: size 0, takes nothing. Null source: a source of its own, last in order. Equal keys
-(repeated rows, same id and text) at the cut: what is left is dealt equally and rounded down. Empty table: no rows.
-Columns of the input are never read but those named, so others may have any name."""
+The targets are worked out over one row for each source, in one task: meant for up to some hundred thousand sources.
+
+Defined cases. Null or empty text: size 0, takes nothing. Very long texts: their words are counted whole. Null source: a
+source of its own, last in order. Ties: equal keys (repeated rows, same id and text) at the cut deal what is left equally,
+rounded down. Empty table: no rows. Columns of the input are never read but those named and pass through, so others may have
+any name; one named like the added column (`into`) is replaced by it."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from opinaria.sources.scratch import cut
 
-from .common import n_words, small, whole
+from .common import columns, n_words, small, whole
 
 SEED = "mix-1"
 
@@ -68,20 +71,20 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return goal.join(at, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "cut_key", "cut_words")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
-    """All rows and columns of `docs` with a struct column `_mix`: size, source_size, target, taken (words, repeats
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", into: str = "_mix", **parameters) -> DataFrame:
+    """All rows and columns of `docs` with a struct column named `into`: size, source_size, target, taken (words, repeats
     counted) and copies (how often the row is wanted as a whole document; the one at the cut counts as taken)."""
     seed = parameters.get("seed", SEED)
-    cuts = small(cut(plan(docs, key, text, source, **parameters), "mix-cuts")).select(F.struct("*").alias("_cut"))
-    rows = docs.withColumn("_size", n_words(whole(text)).cast("long")).withColumn("_k", mix_key(key, text, seed))
-    rows = rows.join(cuts, F.col(source).cast("string").eqNullSafe(F.col("_cut.source")), "left")
-    below, at = F.coalesce(F.col("_k") < F.col("_cut.cut_key"), F.lit(False)), F.coalesce(F.col("_k") == F.col("_cut.cut_key"), F.lit(False))
-    taken = F.col("_cut.epochs") * F.col("_size") + F.when(below, F.col("_size")).when(at, F.col("_cut.cut_words")).otherwise(F.lit(0))
+    cuts = small(cut(plan(docs, key, text, source, **parameters), "mix-cuts")).select(F.struct("*").alias("cut"))
+    rows = docs.select(F.struct(*columns(docs)).alias("row"), n_words(whole(text)).cast("long").alias("size"), mix_key(key, text, seed).alias("k"))
+    rows = rows.join(cuts, F.col("row").getField(source).cast("string").eqNullSafe(F.col("cut.source")), "left")
+    below, at = F.coalesce(F.col("k") < F.col("cut.cut_key"), F.lit(False)), F.coalesce(F.col("k") == F.col("cut.cut_key"), F.lit(False))
+    taken = F.col("cut.epochs") * F.col("size") + F.when(below, F.col("size")).when(at, F.col("cut.cut_words")).otherwise(F.lit(0))
     mixed = F.struct(
-        F.col("_size").alias("size"), F.col("_cut.source_size").alias("source_size"), F.col("_cut.target").alias("target"),
-        taken.cast("long").alias("taken"), (F.col("_cut.epochs") + (below | at).cast("int")).cast("int").alias("copies"),
+        F.col("size"), F.col("cut.source_size").alias("source_size"), F.col("cut.target").alias("target"),
+        taken.cast("long").alias("taken"), (F.col("cut.epochs") + (below | at).cast("int")).cast("int").alias("copies"),
     )
-    return rows.withColumn("_mix", mixed).drop("_size", "_k", "_cut")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != into], mixed.alias(into))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,8 @@ def test_against_sql(spark):
 
 @pytest.mark.parametrize("rows", [ROWS, [], [(1, None, None)], [(i % 3, "same words here", "s") for i in range(60)], [(i, "w " * (i % 37), f"s{i % 12}") for i in range(400)], [(i, "w " * 9, f"s{i % 12}") for i in range(120)]])
 def test_laws(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as target", "'k' as k", "0 as part")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as size", "2 as target", "'k' as k", "0 as part", "1 as _size", "2 as _cut", "3 as _k", "4 as _mix", "5 as row", "6 as cut", "7 as `a.b`")
+    assert mixing.mix(df).columns == df.columns[:-4] + df.columns[-3:] + ["_mix"] and mixing.mix(df, into="x").columns == df.columns + ["x"]
     got = [(r.source, *r._mix) for r in mixing.mix(df).collect()]
     again = [(r.source, *r._mix) for r in mixing.mix(df.repartition(3)).collect()]
     assert sorted(got, key=repr) == sorted(again, key=repr) and len(got) == len(rows)
