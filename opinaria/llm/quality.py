@@ -5,12 +5,15 @@
    g = (1 + a) / (1 - a), so a quantile read from it is within the share a of a value that was there. Sketches of any
    parts merge by adding counts, in any order, so results don't depend on how rows are dealt, and Spark's partial
    aggregation does it. A group has some hundred buckets however many rows it has.
-3. thresholds: for each (lang, source), the median plus or minus `width` times the larger of the language's quartile
-   range and a floor. A group below `min_rows` rows takes its language's median.
+3. thresholds: for each (lang, source) and feature, the median plus `width` times the distance from it to an outer quantile
+   of the group's own sketch (and minus, where low values fail too). A group of n rows counts as n / (n + pull) of its own
+   limit, its language's limit as the rest, on the scale of square roots: one formula at every size, without a least number
+   of rows. There are no fixed limits; the only slack is the sketch's own error.
 4. judge: rows joined with their group's thresholds.
 
-Defined cases. Null or empty text: no words, fails the base rule. Null language or source: a group of its own.
-Repeated rows are judged alike. An empty table gives no rows."""
+Defined cases. Null or empty text: no words, fails the base rule. Very long texts: counted whole, in one pass. Null language
+or source: a group of its own. Ties: a value at its limit is kept. Repeated rows are judged alike, and each counts in the
+sketches. An empty table gives no rows. Columns are read by name and kept under k0, k1..., so others may have any name."""
 from __future__ import annotations
 
 import math
@@ -26,16 +29,16 @@ from .common import slices, small
 
 SYMBOLS, SPACE, UPPER = b"#*$%&|<>", b" \t\n\x0b\x0c\r", bytes(range(65, 91))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "n_echo")
-#: Feature: (numerator, denominator, floor of the quartile range, whether low values fail too).
+#: Feature: (numerator, denominator, the outer quantile, whether low values fail too).
 FEATURES = {
-    "mean_length": ("word_chars", "n_words", 0.5, True),
-    "symbols": ("n_symbols", "n_words", 0.02, False),
-    "upper": ("n_upper", "word_chars", 0.05, False),
-    "repeats": ("n_repeat_words", "n_words", 0.075, False),
-    "echo": ("n_echo", "n_words", 0.02, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.1, False),
+    "mean_length": ("word_chars", "n_words", 0.9, True),
+    "symbols": ("n_symbols", "n_words", 0.9, False),
+    "upper": ("n_upper", "word_chars", 0.9, False),
+    "repeats": ("n_repeat_words", "n_words", 0.9, False),
+    "echo": ("n_echo", "n_words", 0.9, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.95, False),
 }
-ALPHA, WIDTH, MIN_ROWS = 0.01, 4.0, 100
+ALPHA, WIDTH, PULL = 0.01, 5.0, 400.0
 
 
 def repeat_words(ids: np.ndarray, doc: np.ndarray, window: int = 8) -> np.ndarray:
@@ -120,16 +123,20 @@ def quantiles(sketches: DataFrame, by: list[str], at: dict[str, float], alpha: f
     return run.groupBy(*by, "feature").agg(F.max("rows").alias("rows"), *(F.min(F.when(F.col("run") >= F.ceil(F.col("rows") * q), value)).alias(k) for k, q in at.items()))
 
 
-def thresholds(rows: DataFrame, lang: str, source: str, width: float = WIDTH, min_rows: int = MIN_ROWS) -> DataFrame:
+def thresholds(rows: DataFrame, lang: str, source: str, width: float = WIDTH, pull: float = PULL) -> DataFrame:
     """A row for each (lang, source): a struct lo, hi for each feature."""
     fine = sketch(rows, [lang, source], {k: ratio(k) for k in FEATURES})
-    own = quantiles(fine, [lang, source], {"mid": 0.5}).alias("o")
-    all_of = quantiles(merge(fine, [lang]), [lang], {"q1": 0.25, "mid": 0.5, "q3": 0.75}).alias("a")
-    both = own.join(all_of, F.expr(f"o.{lang} <=> a.{lang} and o.feature = a.feature"))
-    floor = F.create_map(*[F.lit(x) for k, v in FEATURES.items() for x in (k, v[2])])
-    low = F.create_map(*[F.lit(x) for k, v in FEATURES.items() for x in (k, v[3])])
-    mid, span = F.when(F.col("o.rows") >= min_rows, F.col("o.mid")).otherwise(F.col("a.mid")), width * F.greatest(F.expr("a.q3 - a.q1"), floor[F.col("o.feature")])
-    both = both.select(F.col(f"o.{lang}"), F.col(f"o.{source}"), F.col("o.feature"), F.when(low[F.col("o.feature")], mid - span).otherwise(F.lit(float("-inf"))).alias("lo"), (mid + span).alias("hi"))
+    outer = sorted({v[2] for v in FEATURES.values()})
+    at = {"mid": 0.5} | {f"{side}{i}": q if side == "up" else 1 - q for i, q in enumerate(outer) for side in ("up", "down")}
+    of = lambda table, side: F.coalesce(*[F.when(F.col(f"{table}.feature") == k, F.col(f"{table}.{side}{outer.index(v[2])}")) for k, v in FEATURES.items()])
+    limit = lambda table, side: F.greatest(F.lit(0.0), F.col(f"{table}.mid") + width * (of(table, side) - F.col(f"{table}.mid")))
+    both = quantiles(fine, [lang, source], at).alias("o").join(quantiles(merge(fine, [lang]), [lang], at).alias("a"), F.expr(f"o.{lang} <=> a.{lang} and o.feature = a.feature"))
+    share = F.col("o.rows") / (F.col("o.rows") + pull)
+    drawn = lambda side: F.pow(share * F.sqrt(limit("o", side)) + (1 - share) * F.sqrt(limit("a", side)), 2)
+    low = F.col("o.feature").isin(*[k for k, v in FEATURES.items() if v[3]])
+    both = both.select(
+        F.col(f"o.{lang}"), F.col(f"o.{source}"), F.col("o.feature"),
+        F.when(low, drawn("down") * (1 - 2 * ALPHA)).otherwise(F.lit(float("-inf"))).alias("lo"), (drawn("up") * (1 + 2 * ALPHA)).alias("hi"))
     return both.groupBy(lang, source).agg(*(F.max(F.when(F.col("feature") == k, F.struct("lo", "hi"))).alias(k) for k in FEATURES))
 
 

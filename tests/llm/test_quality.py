@@ -42,7 +42,51 @@ def test_tables(spark):
     long = [(r.kept, quality[r.doc_id]) for r in got if r.doc_id in quality and r.n_words >= 20]
     good, junk = [k for k, q in long if q], [k for k, q in long if not q]
     print(np.mean(good), np.mean(junk))
-    assert np.mean(good) > 0.95 and np.mean(junk) < 0.5
+    assert np.mean(good) > 0.97 and np.mean(junk) < 0.1
+
+
+def sketched(values, q):
+    """A quantile as the sketch gives it: the middle of its bucket."""
+    v = sorted(values)[max(0, int(np.ceil(q * len(values) - 1e-9)) - 1)]
+    g = (1 + Q.ALPHA) / (1 - Q.ALPHA)
+    return 2 * g ** np.ceil(np.log(v) / np.log(g)) / (g + 1) if v > 0 else 0.0
+
+
+def test_kept_against_brute_force(spark):
+    """Verdicts of a whole table, with limits worked out group by group in plain Python."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    counts = dict(zip(Q.COUNTS, Q.count_texts([r.text or "" for r in rows])))
+    value = {k: counts[v[0]] / np.maximum(counts[v[1]], 1) for k, v in Q.FEATURES.items()}
+    keep = ~((counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"]))
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault((r.lang, r.source), []).append(i)
+    for k, (_, _, outer, low) in Q.FEATURES.items():
+        for (lang, _), at in groups.items():
+            def limits(of):
+                mid, up, down = (sketched(value[k][of], q) for q in (0.5, outer, 1 - outer))
+                return max(0, mid + Q.WIDTH * (up - mid)), max(0, mid + Q.WIDTH * (down - mid))
+            own, all_of = limits(at), limits([i for i, r in enumerate(rows) if r.lang == lang])
+            a = len(at) / (len(at) + Q.PULL)
+            hi, lo = ((a * np.sqrt(x) + (1 - a) * np.sqrt(y)) ** 2 for x, y in zip(own, all_of))
+            for i in at:
+                keep[i] &= value[k][i] <= hi * (1 + 2 * Q.ALPHA) and (not low or value[k][i] >= lo * (1 - 2 * Q.ALPHA))
+    got = {r.doc_id: r.kept for r in Q.query(spark, sf).collect()}
+    assert got == {r.doc_id: bool(k) for r, k in zip(rows, keep)}
+
+
+def test_limits_follow_the_source(spark):
+    """Two sources of one language, one of which writes long words: each is judged by its own kind, and a text that is
+    common in one is an outlier in the other. A small source is judged by its language."""
+    text = lambda i, c: " ".join(c * (3 + (i + j) % 3) for j in range(40))
+    rows = [(i, text(i, "ab"), "en", "short") for i in range(3000)] + [(3000 + i, text(i, "abcdef"), "en", "long") for i in range(3000)]
+    rows += [(7000, text(0, "abcdef"), "en", "short"), (7001, text(0, "ab"), "en", "long"), (7002, text(0, "abcdef"), "en", "new"), (7003, text(0, "ab"), "en", "new")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.k0: r.kept for r in Q.judge(df, ["doc_id"]).collect()}
+    assert {i: k for i, k in got.items() if not k} == {7000: False, 7001: False}
+    limits = {r.source: (r.mean_length.lo, r.mean_length.hi) for r in Q.thresholds(Q.features(df, ["lang", "source"]), "k0", "k1").withColumnRenamed("k1", "source").collect()}
+    assert limits["short"][1] < limits["long"][0] and limits["new"][0] < limits["short"][1] and limits["long"][0] < limits["new"][1]
 
 
 def test_sketches_merge(spark):
