@@ -4,15 +4,16 @@
 2. ownership: each candidate's hash with the number of distinct repositories and owners that have it, over the whole
    corpus. Repeated (hash, owner, repository) are dropped before they are counted, so a value that a third of all rows
    carry costs each task one row.
-3. scan: spans joined with their value's ownership. A value that `many` or more owners hold, or that stands in `wide` or
-   more repositories, is a copied example; one that a single owner holds in `few` repositories at most looks live; others
-   are shared.
+3. scan: spans joined with their value's ownership. A value that `many` or more owners hold, that stands in `wide` or more
+   repositories, or that doesn't look live (few different characters, or a placeholder's word), is an example; one that a
+   single owner holds in `few` repositories at most and that looks live is live; others are shared.
 
 Positions come without Python: the pieces between matches and the matches themselves are cut by the same pattern, and
-their lengths add up.
+their lengths add up, within blocks of 64 matches and over the blocks, so the time grows with the matches.
 
-Defined cases. Null or empty text: no spans. Null owner or repository: counted as one of its own. Repeated rows: each
-gives its own output row and counts once in ownership. Empty table: no rows."""
+Defined cases. Null or empty text: no spans. Very long texts: scanned whole. Null owner or repository: counted as one of its
+own. Ties: spans that start at one place stand in the order of their kinds. Repeated rows: each gives its own output row and
+counts once in ownership. Empty table: no rows. Columns are read by name, so others may have any name."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,41 +31,59 @@ KINDS = {
     "prefixed": (r"(?:ghp|gho|ghs|ghu|ghr)_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 10),
 }
 BASE = ("assign", "access", "hex")
-_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,hash:string>>"
+#: Fixed words of placeholders, and the least different characters of a value that looks live.
+PLACEHOLDER, LEAST_CHARS = r"example|sample|dummy|changeme|placeholder|your|xxxx|1234567|abcdef", 6
+_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,hash:string,looks_live:boolean>>"
+_BLOCK = 64
 
 
-def kind_spans(text: Column, kind: str, rank: int) -> Column:
-    """Array of (start, rank, end, kind, hash of the value) of the leftmost non-overlapping matches."""
+def kind_spans(text: Column, kind: str, rank: int) -> tuple[Column, ...]:
+    """In four steps, each to be a column (parts, blocks, starts) that the next reads: the leftmost non-overlapping matches as
+    an array of (start, rank, end, kind, hash of the value, whether it looks live)."""
     pattern, group, least = KINDS[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), values.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.lit(None).cast(_SPAN).alias("spans"))
+    parts = F.filter(parts, lambda x: x["match"].isNotNull())
+    none = F.array().cast(_SPAN)
+    width = lambda x: F.length(x["gap"]) + F.length(x["match"])
+    live = lambda v: (F.size(F.array_distinct(F.split(v, ""))) >= LEAST_CHARS) & ~F.lower(v).rlike(PLACEHOLDER)
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["match"])
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.sha2(x["value"], 256).alias("hash")))
-        spans = F.when(F.length(x["value"]) >= least, F.concat(F.coalesce(state["spans"], F.array().cast(_SPAN)), span.cast(_SPAN))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.sha2(x["value"], 256).alias("hash"), live(x["value"]).alias("looks_live")))
+        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(state["spans"], span.cast(_SPAN))).otherwise(state["spans"]).alias("spans"))
 
-    found = F.aggregate(F.filter(parts, lambda x: x["match"].isNotNull()), empty, step)["spans"]
-    return F.when(text.rlike(pattern), F.coalesce(found, F.array().cast(_SPAN))).otherwise(F.array().cast(_SPAN))
+    # what is appended to is never longer than a block, or than the number of blocks
+    blocks = F.transform(F.sequence(F.lit(0), F.expr(f"(size(parts) - 1) div {_BLOCK}")), lambda b: F.slice(F.col("parts"), b * _BLOCK + 1, F.lit(_BLOCK)))
+    widths = F.transform(F.col("blocks"), lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + width(x)))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(widths, first, lambda s, w: F.struct((s["at"] + w).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
+    found = F.flatten(F.transform(F.arrays_zip(F.col("blocks").alias("b"), F.col("starts").alias("s")), lambda z: F.aggregate(z["b"], F.struct(z["s"].alias("at"), none.alias("spans")), step)["spans"]))
+    return F.when(text.rlike(pattern), parts).otherwise(F.slice(parts, 1, 0)), blocks, starts, F.when(F.size("parts") > 0, found).otherwise(none)
 
 
 def spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """k0, k1... (the kept columns) and `spans`, ordered by start, then by kind as listed."""
-    return docs.select(
-        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)],
-        F.array_sort(F.concat(*[kind_spans(whole(text), kind, i) for i, kind in enumerate(KINDS)])).alias("spans"))
+    kept = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(k).alias(a) for k, a in zip(keep, kept)], whole(text).alias("t"))
+    done = []
+    for rank, kind in enumerate(KINDS):
+        parts, blocks, starts, found = kind_spans(F.col("t"), kind, rank)
+        for name, step in (("parts", parts), ("blocks", blocks), ("starts", starts), (kind, found)):
+            rows = rows.withColumn(name, step)
+        done.append(kind)
+        rows = rows.select(*kept, "t", *done)
+    return rows.select(*kept, F.array_sort(F.concat(*done)).alias("spans"))
 
 
 def ownership(found: DataFrame, repo: str, owner: str) -> DataFrame:
-    """(hash, repos, owners, rows): the distinct repositories and owners of each value."""
-    each = found.select(F.explode(F.array_distinct(F.col("spans.hash"))).alias("hash"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"))
-    pairs = each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("rows"))
-    by_owner = pairs.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("rows").alias("rows"))
-    return by_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"), F.sum("rows").alias("rows"))
+    """(hash, repos, owners, rows, looks_live): the distinct repositories and owners of each value."""
+    each = found.select(F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["hash"].alias("hash"), x["looks_live"].alias("looks_live"))))).alias("x"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"))
+    pairs = each.groupBy("x.hash", "x.looks_live", "owner", "repo").agg(F.count(F.lit(1)).alias("rows"))
+    by_owner = pairs.groupBy("hash", "looks_live", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("rows").alias("rows"))
+    return by_owner.groupBy("hash", "looks_live").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"), F.sum("rows").alias("rows"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", many: int = 3, wide: int = 10, few: int = 3) -> DataFrame:
@@ -72,7 +91,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: str = "
     live, shared or example. Pass the columns that tell repositories and owners apart."""
     found = cut(spans(docs, [key, repo, owner], text).withColumn("id", F.xxhash64("k0", "k1", "k2", F.to_json("spans"))), "secret-spans")
     held = found.where(F.size("spans") > 0)
-    copied, own = (F.col("owners") >= many) | (F.col("repos") >= wide), (F.col("owners") == 1) & (F.col("repos") <= few)
+    copied, own = (F.col("owners") >= many) | (F.col("repos") >= wide) | ~F.col("looks_live"), (F.col("owners") == 1) & (F.col("repos") <= few)
     verdict = F.when(copied, "example").when(own, "live").otherwise("shared")
     judged = cut(ownership(held, "k1", "k2").select("hash", verdict.alias("verdict")), "secret-verdicts")
     # rows with the same key, repository, owner and spans get the same map, so it is made once for all of them
@@ -91,3 +110,38 @@ def query(spark, sf_dir: str) -> DataFrame:
         "doc_id", *(of_kind(k).alias(f"n_{k}") for k in BASE),
         F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(*BASE))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
         *(judged(v).alias(f"n_{v}") for v in ("live", "shared", "example")))
+
+
+def _sql_kind(kind: str, rank: int) -> str:
+    pattern, group, least = KINDS[kind]
+    pattern = pattern.replace("'", "''")
+    return f"""select doc_id, source, '{kind}' kind, {rank} rank, {least} least, string_split_regex(t, '{pattern}') gaps, regexp_extract_all(t, '{pattern}', 0) ms,
+           regexp_extract_all(t, '{pattern}', {group}) vs from d where regexp_matches(t, '{pattern}')"""
+
+
+SQL = f"""
+with d as (select doc_id, coalesce(source, chr(0)) source, coalesce(text, '') t from documents),
+m as ({' union all '.join(_sql_kind(k, i) for i, k in enumerate(KINDS))}),
+e as (select doc_id, source, kind, rank, least, gaps, ms, vs, unnest(range(1, len(ms) + 1)) i from m),
+p as (
+  select doc_id, source, kind, rank, least, vs[i] v, length(ms[i]) size,
+         sum(length(gaps[i]) + length(ms[i])) over (partition by doc_id, kind order by i rows unbounded preceding) upto
+  from e),
+s as (
+  select doc_id, source, kind, rank, v, cast(upto - size as bigint) a, cast(upto as bigint) b, concat(kind, ':', cast(upto - size as bigint), ':', cast(upto as bigint)) said
+  from p where length(v) >= least),
+o as (
+  select v, count(distinct source) owners, count(distinct concat(source, chr(0), cast(doc_id as varchar))) repos,
+         len(list_distinct(string_split(v, ''))) >= {LEAST_CHARS} and not regexp_matches(lower(v), '{PLACEHOLDER}') looks_live
+  from s group by v),
+j as (
+  select v, case when owners >= 3 or repos >= 10 or not looks_live then 'example' when owners = 1 and repos <= 3 then 'live' else 'shared' end verdict from o),
+g as (
+  select doc_id, count(*) filter (where kind = 'assign') n_assign, count(*) filter (where kind = 'access') n_access, count(*) filter (where kind = 'hex') n_hex,
+         string_agg(said, ',' order by a, rank) filter (where rank < {len(BASE)}) base, string_agg(said, ',' order by a, rank) spans,
+         count(*) filter (where verdict = 'live') n_live, count(*) filter (where verdict = 'shared') n_shared, count(*) filter (where verdict = 'example') n_example
+  from s join j on s.v = j.v group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans,
+       coalesce(n_live, 0) n_live, coalesce(n_shared, 0) n_shared, coalesce(n_example, 0) n_example
+from d left join g on d.doc_id = g.doc_id
+"""

@@ -1,9 +1,11 @@
 import hashlib
 import re
+import time
 
 import pytest
 
 from opinaria.llm import secrets as S
+from tests.oracle import same
 
 PATTERNS = {"assign": re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
 
@@ -51,3 +53,26 @@ def test_tables(spark):
     for r in got:
         n, digest, _ = brute(texts[r.doc_id])
         assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == (n, digest)
+
+
+def test_against_sql(spark):
+    """All columns, verdicts included, on whole tables."""
+    assert same(S.query(spark, "/root/testdata/sf0.01"), S.SQL, "/root/testdata/sf0.01") == 1000
+
+
+def test_many_matches(spark):
+    """A hundred thousand matches in one text, within seconds, at the right places."""
+    text = "token=abc123 " * 100_000 + "é " + "f0" * 20
+    S.scan(spark.createDataFrame([(1, "token=abc123", "o")], "doc_id long, text string, source string")).collect()
+    began = time.time()
+    got = S.scan(spark.createDataFrame([(1, text, "o")], "doc_id long, text string, source string")).first().spans
+    assert time.time() - began < 30
+    assert [(x.kind, x.start, x.end) for x in got] == [*(("assign", 13 * i, 13 * i + 12) for i in range(100_000)), ("hex", 1_300_002, 1_300_042)]
+
+
+def test_looks_live(spark):
+    """One owner's values in one repository: only those that look live are."""
+    values = {"aaaaaaaaaaab": "example", "exampleKey99": "example", "YOUR_api_key_here": "example", "h7Gq92kLx0": "live"}
+    rows = [(i, f"password={v}", "o") for i, v in enumerate(values)]
+    got = {r.doc_id: list(r.verdicts.values()) for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {i: [w] for i, w in enumerate(values.values())}
