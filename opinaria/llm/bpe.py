@@ -1,16 +1,19 @@
 """Byte-level BPE encoding and decoding by merge replay.
 
-Every part of a corpus (the documents that a task reads, some megabytes at a time) gives a table of its distinct pieces,
-the matches of the splitting pattern, each spelled in single bytes. An inverted index maps the rank of a pair of
-neighbours to the positions where it stands in that table. Merges are then replayed in rank order over all pieces at
-once; each touches only the two neighbours of a merged pair and moves them in the index. The texts' ids are looked up
-in the finished table, so a piece is merged once in a part however often it occurs. Nothing is shuffled: joining a
-table of the whole corpus back to the texts would move more than all texts.
+1. pieces: the distinct matches of the splitting pattern over the whole corpus, counted in one shuffle.
+2. replay: an inverted index maps the rank of a pair of neighbours to the positions where it stands in a table of pieces,
+   each spelled in single bytes. Merges are replayed in rank order over all pieces at once; each touches only the two
+   neighbours of a merged pair and moves them in the index. Pieces that make up at least a 2^-17th of the corpus, of which
+   there can be 2^17 at most, are replayed once for the whole corpus, and the result is broadcast (20 MB).
+3. texts: ids are looked up. Pieces that are rarer than that are replayed over large parts of the corpus at a time (`PART`
+   characters), where each is merged once; joining a table of them back to the texts would move more than all texts.
 
 Ranks are those of the joined bytes, as in tiktoken's files: any neighbours whose joined bytes have a rank may merge,
 so a merge can bring up a lower rank than its own, which the replay then does first in that piece.
 
-Defined cases. Null or empty text: no ids. Any Unicode text comes back byte for byte; special tokens don't exist."""
+Defined cases. Null or empty text: no ids. Any Unicode text comes back byte for byte; special tokens don't exist. Very long
+texts are encoded whole, in a part of their own. Ties: of overlapping equal pairs, as in aaa, the left one merges. Repeated
+rows are encoded alike, each gives a row. Empty table: no rows. Columns are read by name, so others may have any name."""
 from __future__ import annotations
 
 import base64
@@ -20,13 +23,16 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from opinaria.sources.scratch import cut
 
 from .common import slices
 
-#: Characters of the texts whose pieces are merged together.
-PART = 1 << 23
+#: Characters of the texts whose rare pieces are merged together; characters split at a time.
+PART, SPLIT = 1 << 25, 1 << 21
+#: A piece is frequent from this share of all pieces on.
+FREQUENT_BITS = 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -143,40 +149,91 @@ class Replay:
         return b"".join(map(self.spelled.__getitem__, ids))
 
 
+class Numbers(dict):
+    """Pieces by the order in which they are first looked up."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
+def frequent_pieces(docs: DataFrame, pattern: str, text: str = "text", bits: int = FREQUENT_BITS) -> list[str]:
+    """The pieces that make up at least a 2^-bits-th of all pieces of the corpus, 2^bits at most, in their own order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split, numbers, counts = regex.compile(pattern).findall, Numbers(), np.zeros(0, np.int64)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            whole = pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), pa.array(counts)], names=["piece", "n"])
+            for lo in range(0, len(counts), 1 << 16):
+                yield whole.slice(lo, 1 << 16)
+
+        for _, texts in slices(batches, text, SPLIT):
+            # a text at a time, so that its pieces don't outlive it
+            found = [np.fromiter(map(numbers.__getitem__, split(t)), np.int64) for t in texts]
+            n = np.bincount(np.concatenate(found), minlength=len(numbers))
+            n[: len(counts)] += counts
+            counts = n
+            if len(numbers) > 1_000_000:
+                yield from rows()
+                numbers, counts = Numbers(), np.zeros(0, np.int64)
+        yield from rows()
+
+    pieces = cut(docs.select(text).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "bpe-pieces")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    return sorted(r.piece for r in pieces.where(F.col("n") * (1 << bits) >= total).select("piece").collect())
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(key, ids, decoded): the ids of each text and what they decode to, as bytes; with digest, the number of ids, the
     sha256 of the ids as text and that of the decoded bytes instead. `ranks_path` is a file on every machine."""
-    light = docs.select(key, text)
-    kept = light.schema[key]
+    light = docs.select(F.col(key), F.col(text).cast("string").alias("t")) if key != "t" else docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"))
+    pieces = frequent_pieces(light, pattern, "t")
+    merged = light.sparkSession.sparkContext.broadcast((pieces, [np.array(x, np.int32) for x in Replay(read_ranks(ranks_path)).encode(p.encode() for p in pieces)]))
+    kept = T.StructField(key, docs.schema[key].dataType)
     out = T.StructType([kept, *(T.StructField(n, t) for n, t in (
         (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())) if digest
         else (("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType()))))])
+    kinds = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         replay, split = Replay(read_ranks(ranks_path)), regex.compile(pattern).findall
-        for part, texts in slices(batches, text, PART):
-            cols: tuple[list, ...] = ([], []) if not digest else ([], [], [])
-            split_texts = [split(t) for t in texts]
-            distinct = list(dict.fromkeys(p for pieces in split_texts for p in pieces))
-            merged = replay.encode(p.encode() for p in distinct)
+        known, known_ids = merged.value
+        spelled = [replay.spelled.get(i, b"") for i in range(max(replay.spelled) + 1)]
+        said = list(map(str, range(len(spelled))))
+
+        def encoded(keys: list[pa.Array], numbers: Numbers, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """What a part's texts are, by the numbers of their pieces."""
+            rare = list(numbers)[len(known):]
+            ids = known_ids + replay.encode(p.encode() for p in rare)
             if digest:
-                said = dict(zip(distinct, (" ".join(map(str, ids)) for ids in merged)))
-                count = dict(zip(distinct, map(len, merged)))
-                back = dict(zip(distinct, map(replay.decode, merged)))
-                for pieces in split_texts:
-                    cols[0].append(sum(map(count.__getitem__, pieces)))
-                    cols[1].append(hashlib.sha256(" ".join(map(said.__getitem__, pieces)).encode()).hexdigest())
-                    cols[2].append(hashlib.sha256(b"".join(map(back.__getitem__, pieces))).hexdigest())
-            else:
-                table = dict(zip(distinct, merged))
-                for pieces in split_texts:
-                    ids = [i for p in pieces for i in table[p]]
-                    cols[0].append(np.array(ids, np.int32))
-                    cols[1].append(replay.decode(ids))
-            kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=out.names)
+                size = np.fromiter(map(len, ids), np.int64, len(ids))
+                as_text = [" ".join([said[i] for i in x]) for x in ids]
+                back = [b"".join([spelled[i] for i in x]) for x in ids]
+            at = 0
+            for k in keys:
+                rows = [x.tolist() for x in found[at : at + len(k)]]
+                at += len(k)
+                if digest:
+                    cols = [[int(size[x].sum()) for x in rows], [hashlib.sha256(" ".join([as_text[i] for i in x]).encode()).hexdigest() for x in rows], [hashlib.sha256(b"".join([back[i] for i in x])).hexdigest() for x in rows]]
+                else:
+                    all_of = [np.concatenate([ids[i] for i in x]).astype(np.int32) if x else np.zeros(0, np.int32) for x in rows]
+                    cols = [all_of, [b"".join([spelled[i] for i in x.tolist()]) for x in all_of]]
+                yield pa.RecordBatch.from_arrays([k, *(pa.array(c, kind) for c, kind in zip(cols, kinds))], names=out.names)
+
+        keys, numbers, found, held = [], Numbers(zip(known, range(len(known)))), [], 0
+        for part, texts in slices(batches, "t", SPLIT):
+            keys.append(part.column(0))
+            found += [np.fromiter(map(numbers.__getitem__, split(t)), np.int32) for t in texts]
+            held += sum(map(len, texts))
+            if held >= PART:
+                yield from encoded(keys, numbers, found)
+                keys, numbers, found, held = [], Numbers(zip(known, range(len(known)))), [], 0
+        if keys:
+            yield from encoded(keys, numbers, found)
 
     return light.mapInArrow(run, out)
 

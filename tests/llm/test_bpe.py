@@ -42,3 +42,23 @@ def test_query(spark):
         ids = ENC.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("digest", [False, True])
+def test_edges(spark, digest, monkeypatch):
+    """Empty table, repeated rows, and parts smaller than a text."""
+    df = spark.createDataFrame([(1, "same text twice"), (1, "same text twice"), (2, None)], "t long, body string")
+    encode = lambda d: bpe.encode(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, "t", "body", digest)
+    assert encode(df.limit(0)).count() == 0
+    got = sorted(encode(df).collect(), key=repr)
+    assert [r.t for r in got] == [1, 1, 2] and got[0] == got[1]
+    monkeypatch.setattr(bpe, "PART", 1)
+    assert sorted(encode(df).collect(), key=repr) == got
+
+
+def test_frequent_pieces(spark):
+    """Counted over the whole corpus, however it is dealt; what is frequent is a matter of share."""
+    df = spark.createDataFrame([(i, "a a a a b c%d" % i) for i in range(200)], "doc_id long, text string").repartition(7)
+    assert bpe.frequent_pieces(df, P.PATTERN, bits=4) == [" a", " b", " c", "a"]
+    assert len(bpe.frequent_pieces(df, P.PATTERN)) == 4 + 200
+    assert bpe.frequent_pieces(df.limit(0), P.PATTERN) == []
