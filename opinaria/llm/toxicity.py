@@ -1,18 +1,22 @@
 """Toxicity by a weighted grammar of finite-state transducers.
 
-A text is cut into clauses. Each token becomes a symbol (insult, threat verb, target, negation, reporting verb, modal or
-other), and four transducers, composed into one machine, rewrite the symbols: negation turns an insult in its scope into
-a negated one, reported speech into a reported one, a target near it into an aimed one, and modal + threat verb + target
-into a threat. What counts is the rewritten clauses, not isolated words: each kind of match has a weight, and the score is
-the logistic of a bias and the weighted log counts.
+A text is cut into clauses. Each token becomes a symbol (insult, threat verb, target, object pronoun, negation, reporting
+verb, modal or other), by word classes of English, German, French and Spanish, and four transducers, composed into one
+machine, rewrite the symbols: negation turns an insult in its scope into a negated one, reported speech into a reported one, a
+target near it into an aimed one, and modal, threat verb and whom it is meant for, in the orders that these languages have,
+into a threat. What counts is the rewritten clauses, not isolated words: a word that stands alone, without a clause around it,
+is a kind of its own that weighs little. Each kind of match has a weight, and the score is the logistic of a bias and the
+weighted log counts.
 
 Weights and more insults are learned from a sample of labelled rows, `sample` at most (a documented bound: the rows of
-the smallest hashes of the key), never from held-out ones. A word joins the insults if it stands in `least` or more
-different clauses of toxic texts and hardly any of others; copies of a clause count once. The weights start from fixed
+the smallest hashes of the key, one text for each), never from held-out ones. A word joins the insults if it stands in `least`
+or more different clauses of toxic texts and hardly any of others; copies of a clause count once. The weights start from fixed
 ones that the sample corrects, so a small sample still gives a sensible grammar.
 
-Defined cases. Null or empty text: no clauses, the bias alone. Null keys are scored, never held out, never learned from.
-Repeated rows are scored alike. Empty tables and no labels: the fixed weights. Extra columns are never read."""
+Defined cases. Null or empty text: no clauses, the bias alone. Very long texts: read whole, clause by clause. Null keys are
+scored, never held out, never learned from. Ties: labels that disagree for one key count as toxic; of texts that share a
+sampled key, the least is learned from. Repeated rows are scored alike. Empty tables and no labels: the fixed weights. Extra
+columns are never read, so they may have any name."""
 from __future__ import annotations
 
 import re
@@ -30,22 +34,40 @@ from .common import crc_split, slices
 
 SAMPLE = 10_000
 
-# Fixed word lists.
+# Fixed word lists, by class: English, German, French, Spanish.
 INSULTS = frozenset("""
 idiot moron loser worthless pathetic scum trash clown stupid disgusting imbecile dumb dumbass jerk bastard bitch asshole
 cretin dimwit halfwit garbage vermin degenerate freak coward retard creep parasite subhuman fool filth
-dummkopf trottel arschloch abschaum wertlos crétin débile abruti connard minable idiota imbécil estúpido estúpida basura
-patético patética escoria payaso
+dummkopf trottel arschloch abschaum wertlos idiotin versager drecksack schwachkopf hurensohn
+crétin débile abruti abrutie connard connasse minable salaud ordure raclure imbécile
+idiota imbécil estúpido estúpida basura patético patética escoria payaso gilipollas cabrón
 """.split())
-THREATS = frozenset("kill hurt destroy murder beat shoot stab smash crush attack strangle".split())
-TARGETS = frozenset("you your you're youre u he she they him her them his their he's she's they're".split())
-NEGATIONS = frozenset("not no never isn't aren't wasn't weren't don't doesn't nobody nicht kein keine pas jamais nunca".split())
-REPORTS = frozenset("said says say called calls reported reports quoted quotes claimed claims alleged wrote writes told accused according".split())
-MODALS = frozenset("will gonna going shall i'll we'll should must".split())
+THREATS = frozenset("""
+kill hurt destroy murder beat shoot stab smash crush attack strangle
+umbringen töten schlagen verprügeln erschießen abstechen zerstören vernichten
+tuer frapper buter égorger détruire massacrer
+matar golpear destruir apuñalar disparar
+""".split())
+#: Threat verbs with their object joined on.
+THREATS_AT = frozenset("matarte matarlo matarla matarlos mataros golpearte destruirte".split())
+TARGETS = frozenset("""
+u you your you're youre he she they him her them his their he's she's they're
+du dein deine ihr euer
+tu toi vous ton votre t'es
+tú eres vosotros vuestro usted
+""".split())
+#: Object pronouns that stand before their verb.
+OBJECTS = frozenset("dich dir euch ihn te vous os lo los".split())
+NEGATIONS = frozenset("not no never isn't aren't wasn't weren't don't doesn't nobody nicht kein keine nie pas jamais nunca ningún".split())
+REPORTS = frozenset("""
+said says say called calls reported reports quoted quotes claimed claims alleged wrote writes told accused according
+sagte sagt schrieb nannte behauptete zitierte dit disait écrit appelé affirme dijo dice escribió llamó afirmó
+""".split())
+MODALS = frozenset("will gonna going shall i'll we'll should must werde werden will vais va vont allons voy vamos va van".split())
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MODAL = "o", "I", "K", "t", "n", "r", "m"
+OTHER, INSULT, THREAT, THREAT_AT, TARGET, OBJECT, NEGATION, REPORT, MODAL = "o", "I", "K", "Y", "t", "p", "n", "r", "m"
 #: What the machine puts out: kind of match -> weight before learning.
-WEIGHTS = {"plain": 3.0, "aimed": 3.5, "negated": 0.1, "reported": 0.3, "threat": 4.0}
+WEIGHTS = {"plain": 3.0, "aimed": 3.5, "negated": 0.1, "reported": 0.3, "threat": 4.0, "alone": 0.5}
 KIND = {"I": "plain", "A": "aimed", "i": "negated", "R": "reported", "X": "threat"}
 BIAS = -3.0
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -58,30 +80,30 @@ def negation(state: int, x: str) -> tuple[int, str]:
     """Four tokens after a negation, insults and threats are negated."""
     if x == NEGATION:
         return 4, x
-    return max(0, state - 1), {INSULT: "i", THREAT: OTHER}.get(x, x) if state else x
+    return max(0, state - 1), {INSULT: "i", THREAT: OTHER, THREAT_AT: OTHER}.get(x, x) if state else x
 
 
 def reported(state: int, x: str) -> tuple[int, str]:
     """From a reporting verb to the clause's end, insults and threats are somebody else's."""
-    return (1, x) if x == REPORT else (state, {INSULT: "R", THREAT: OTHER}.get(x, x) if state else x)
+    return (1, x) if x == REPORT else (state, {INSULT: "R", THREAT: OTHER, THREAT_AT: OTHER}.get(x, x) if state else x)
 
 
 def aimed(state: int, x: str) -> tuple[int, str]:
     """Up to five tokens after a target, an insult is aimed at it."""
-    if x == TARGET:
+    if x in (TARGET, OBJECT):
         return 5, x
     return max(0, state - 1), "A" if x == INSULT and state else x
 
 
 def threat(state: int, x: str) -> tuple[int, str]:
-    """Modal, threat verb and target, each within three tokens: states 1-3 after the modal, 4-6 after the verb."""
-    if x == MODAL:
-        return 3, x
-    if x == THREAT and 1 <= state <= 3:
-        return 6, x
-    if x == TARGET and state >= 4:
+    """Modal and threat verb, and whom it is meant for: after the verb, joined on it, or an object pronoun before it, each
+    within three tokens. The state counts down what is left of the modal, the pronoun and the verb, a base-4 digit each."""
+    modal, object_, verb = state // 16, state // 4 % 4, state % 4
+    if verb and x in (TARGET, OBJECT) or modal and x == THREAT_AT or modal and object_ and x == THREAT:
         return 0, "X"
-    return (state - 1 if state not in (0, 1, 4) else 0), x
+    down = lambda n: max(0, n - 1)
+    modal, object_, verb = 3 if x == MODAL else down(modal), 3 if x == OBJECT else down(object_), 3 if x == THREAT and modal else down(verb)
+    return modal * 16 + object_ * 4 + verb, x
 
 
 def compose(*steps: Step) -> Callable[[str], str]:
@@ -116,14 +138,14 @@ class Model:
     bias: float = BIAS
 
     def symbols(self) -> dict[str, str]:
-        words = {w: s for ws, s in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (MODALS, MODAL)) for w in ws}
+        words = {w: s for ws, s in ((TARGETS, TARGET), (OBJECTS, OBJECT), (NEGATIONS, NEGATION), (REPORTS, REPORT), (MODALS, MODAL), (THREATS_AT, THREAT_AT)) for w in ws}
         return words | {w + s: THREAT for w in THREATS for s in ("", "s")} | {w + s: INSULT for w in self.insults for s in ("", "s")}
 
 
 def matcher(model: Model) -> Callable[[str], list[tuple[str, list[str]]]]:
     """A function from a text to its matched clauses, each with the kinds of its matches."""
     symbols, run = model.symbols(), compose(*GRAMMAR)
-    bad = frozenset(w for w, s in symbols.items() if s in (INSULT, THREAT))
+    bad = frozenset(w for w, s in symbols.items() if s in (INSULT, THREAT, THREAT_AT))
 
     def match(text: str) -> list[tuple[str, list[str]]]:
         low = text.lower().replace("’", "'")
@@ -134,6 +156,8 @@ def matcher(model: Model) -> Callable[[str], list[tuple[str, list[str]]]]:
             tokens = WORD.findall(clause)
             if not bad.isdisjoint(tokens):
                 kinds = [KIND[y] for y in run("".join(symbols.get(t, OTHER) for t in tokens)) if y in KIND]
+                if len(tokens) == 1:
+                    kinds = ["alone"] * len(kinds)
                 if kinds:
                     out.append((clause.strip(), kinds))
         return out
@@ -146,8 +170,8 @@ def counts(found: list[tuple[str, list[str]]]) -> list[float]:
     return [float(np.log1p(n[k])) for k in WEIGHTS]
 
 
-def learn_words(sample: DataFrame, text: str, label: str, least: int = 5, odds: float = 3.0, most: int = 5_000) -> frozenset[str]:
-    """Words of toxic texts' clauses and hardly of others', the `most` clearest of them."""
+def learn_words(sample: DataFrame, text: str, label: str, least: int = 5, odds: float = 3.0) -> frozenset[str]:
+    """Words of toxic texts' clauses and hardly of others'. As many as the bounded sample has at most."""
     light = sample.select(F.col(text).cast("string").alias("t"), (F.col(label) == 1).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +189,7 @@ def learn_words(sample: DataFrame, text: str, label: str, least: int = 5, odds:
     rows = light.mapInArrow(run, "w string, h long, y boolean").groupBy("w", "h").agg(F.min("y").alias("y0"))
     rows = rows.groupBy("w").agg(F.count_if(F.expr("y0")).alias("p"), F.count_if(F.expr("not y0")).alias("n")).where(F.col("p") >= least)
     rows = rows.withColumn("odds", F.log((F.col("p") + 0.5) / (F.col("n") + 0.5))).where(F.col("odds") >= odds)
-    return frozenset(r.w for r in rows.orderBy(F.desc("odds"), "w").limit(most).collect() if len(r.w) > 2)
+    return frozenset(r.w for r in rows.select("w").collect() if len(r.w) > 2)
 
 
 def hash_clause(clause: str) -> int:
@@ -194,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learns from labelled rows that aren't held out, `sample` at most."""
     rows = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~crc_split(key, modulus, held)).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_y"))
     rows = rows.orderBy(F.xxhash64("_key"), "_key").limit(sample)
-    texts = cut(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("t")).join(F.broadcast(rows), "_key").select("t", F.col("_y").alias("y")), "toxicity-sample")
+    texts = cut(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("t")).join(F.broadcast(rows), "_key").groupBy("_key").agg(F.min("t").alias("t"), F.first("_y").alias("y")).select("t", "y"), "toxicity-sample")
     insults = INSULTS | learn_words(texts, "t", "y")
     first = Model(insults)
 

@@ -12,22 +12,25 @@ def kinds(text):
 @pytest.mark.parametrize("text, want", [
     ("You are an IDIOT!", ["aimed"]), ("an idiot walked in", ["plain"]), ("I am not an idiot", ["negated"]), ("He said you idiot, twice", ["reported"]),
     ("I will kill you", ["threat"]), ("They kill time", []), ("I will not kill you", []), ("nice day. what a moron. not bad", ["plain"]),
-    ("idiots*** everywhere", ["plain"]), ("he claimed that. idiot", ["plain"]), ("", []),
+    ("idiots*** everywhere", ["plain"]), ("he claimed that. idiot", ["alone"]), ("idiot", ["alone"]), ("", []),
+    ("Du bist ein Trottel", ["aimed"]), ("ein Trottel war da", ["plain"]), ("das ist kein Trottel", ["negated"]), ("sie sagte Trottel zu ihm", ["reported"]), ("Ich werde dich umbringen", ["threat"]), ("ich werde dich nicht umbringen", []),
+    ("tu es un connard", ["aimed"]), ("un connard est là", ["plain"]), ("ce n'est pas un connard", ["negated"]), ("elle dit connard souvent", ["reported"]), ("je vais te tuer", ["threat"]), ("je vais tuer le temps", []),
+    ("eres un idiota", ["aimed"]), ("un idiota pasa", ["plain"]), ("nunca fue un idiota", ["negated"]), ("dijo idiota dos veces", ["reported"]), ("te voy a matar", ["threat"]), ("voy a matarte", ["threat"]), ("he said I will kill you", []),
 ])
 def test_grammar(text, want):
     assert kinds(text) == want
 
 
 def test_edges(spark):
-    rows = [(1, None), (2, ""), (3, "you idiot"), (3, "you idiot"), (None, "word " * 100_000), (5, "scum " * 3)]
+    rows = [(1, None), (2, ""), (3, "you idiot"), (3, "you idiot"), (None, "word " * 100_000), (5, "scum " * 3), (6, "idiot")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score", "2 as t")
     labels = spark.createDataFrame([(3, 1), (5, None), (None, 1), (3, 1)], "doc_id long, toxic int")
     for some in (labels, labels.limit(0)):
         got = X.score(df, X.fit(df, some)).collect()
-        assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+        assert len(got) == 7 and all(0 <= r.score <= 1 for r in got)
         assert all((r.score >= 0.3) == (r.doc_id in (3, 5)) for r in got)
     assert X.score(df.limit(0), X.Model()).count() == 0
-    assert sorted(r.doc_id or 0 for r in X.keep_below(df, X.Model(), 0.3).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id or 0 for r in X.keep_below(df, X.Model(), 0.3).collect()) == [0, 1, 2, 6]
 
 
 def test_held_out(spark):
@@ -39,3 +42,17 @@ def test_held_out(spark):
     hit, told, bad = sum(p and t for p, t in held), sum(p for p, _ in held), sum(t for _, t in held)
     print(hit, told, bad, len(held), sum(r.predicted for r in got), len(got))
     assert hit / told > 0.95 and hit / bad > 0.5
+
+
+def test_learned(spark):
+    """Weights move with the labels, in the direction of the labels, and an unknown insult is learned."""
+    clean = [(i, f"she said idiot number {i} and went on", 0) for i in range(200)]
+    bad = [(1000 + i, f"what a zorgblat you are {i}. you number {i} zorgblat {i} people", 1) for i in range(200)]
+    rows = clean + bad
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = X.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert "zorgblat" in model.insults and "number" not in model.insults
+    weight = dict(zip(X.WEIGHTS, model.weights))
+    assert weight["reported"] < X.WEIGHTS["reported"] and weight["aimed"] != X.WEIGHTS["aimed"]
+    got = {r.doc_id: r.score for r in X.score(docs, model).collect()}
+    assert all((got[i] >= 0.3) == bool(y) for i, _, y in rows)
