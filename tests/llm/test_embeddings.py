@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from opinaria.llm import embeddings as E
+from tests.oracle import same
 
 
 def brute(rows, least=0.98):
@@ -45,10 +46,21 @@ EDGES = [(1, None, [1.0, 0.0]), (2, 1, None), (3, 1, [0.0, 0.0]), (4, 1, [float(
 @pytest.mark.parametrize("rows", [EDGES, [], cloud(1), cloud(2, 3, 400, 32, 0.01), [(i, 1, [1.0, 2.0]) for i in range(300)]])
 def test_brute(spark, rows, monkeypatch):
     monkeypatch.setattr(E, "BLOCK", 64)
-    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").selectExpr("*", "1 as id", "2 as set_id", "3 as n")
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").selectExpr("*", "1 as id", "2 as set_id", "3 as n", "4 as sid", "5 as v")
     assert sorted(tuple(r) for r in E.near_duplicates(df).collect()) == brute(rows)
 
 
+def test_null_and_repeated_ids(spark):
+    """Rows are vectors of their own, whatever their ids; a component of null ids has no name."""
+    rows = [(1, 1, [1.0, 0.0]), (1, 1, [1.0, 0.0]), (None, 1, [1.0, 0.01]), (None, 2, [0.0, 1.0]), (None, 2, [0.0, 2.0]), (5, 2, [1.0, 0.0])]
+    got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (None, 1, None), (None, 1, None), (5, 0, 5)], key=repr)
+
+
+def test_against_sql(spark):
+    assert same(E.query(spark, "/root/testdata/sf0.01"), E.SQL, "/root/testdata/sf0.01") == 500
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
