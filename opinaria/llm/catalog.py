@@ -20,4 +20,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.SQL, "op6_line_dedup": line_dedup.SQL}
+    return {
+        "op2_mix_sources": mixing.SQL, "op4_secret_scan": secrets.SQL, "op6_line_dedup": line_dedup.SQL,
+        "op9_minhash": minhash.SQL, "op10_embedding_dedup": embeddings.SQL,
+    }

@@ -7,23 +7,25 @@
    with one of them, unless the two are known to be connected, and what is confirmed is joined into components. That
    settles most of a group of near copies with a pair for each member.
 4. rest: members of a bucket that are in different components after that are all compared, block by block: those outside
-   the bucket's largest component with every member of another component. Only links that join components come out of
-   a block, so a group never turns into rows of pairs, yet no pair that shares a band goes unchecked unless its two
-   members are known to be connected.
+   the bucket's largest component with every member of another component. Signatures are compared first, and texts are
+   looked up for members whose signature agrees with another's. Only links that join components come out of a block, so a
+   group never turns into rows of pairs, yet no pair that shares a band goes unchecked unless its two members are known to
+   be connected.
 5. Links are confirmed by the exact Jaccard of the whole shingle sets, as strings, for pairs whose signatures agree well
    enough.
 
 A pair at the least similarity s = 0.8 shares no band with the chance (1 - s^rows)^bands = 7e-6 for 30 bands of 5, and
 agrees in less than 65 % of 150 coordinates with the chance 1e-5.
 
-Defined cases. Null text, or one without words: no shingles, linked with nothing, its own component. Fewer words than a
+Defined cases. Very long texts are read whole. Empty table: no rows. Ties: a similarity of exactly the least is a link, and a
+bucket's pivot is the member with the least hash. Null text, or one without words: no shingles, linked with nothing, its own component. Fewer words than a
 shingle: the whole sequence is the one shingle. A component is named by its smallest id; null ids are never the smallest,
 and a component of null ids only has a null name. Repeated rows share a set and a component. Only ASCII letters are
 lowered. Columns other than the two named are never read."""
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,13 +150,25 @@ def confirm(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, p
     return likely.join(side(texts, "a", "t"), "a").join(side(texts, "b", "t"), "b").select("a", "b", "t_a", "t_b").mapInArrow(equal, "a binary, b binary")
 
 
-def compare_block(rows: list[tuple], at: int, shingle: int, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links that join components, among the rows (left, set_id, n, component, coordinates, bands, text) of two blocks of a
-    bucket of band `at`: those marked left against the others. Pairs that share an earlier band meet there; pairs that
-    are connected by now are passed over."""
-    left, right = [r for r in rows if r[0]], [r for r in rows if not r[0]]
-    if not left or not right:
-        return []
+def likely_in_block(at: int, left: list[tuple], right: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For rows (set_id, n, component, coordinates, bands) of two blocks of a bucket of band `at`: each left row that has
+    any, with the right rows that it may be linked with, likeliest first. Pairs that share an earlier band meet there; pairs of
+    one component are connected."""
+    coordinates = np.frombuffer(b"".join(r[3] for r in right), np.uint16).reshape(len(right), -1)
+    n, bands = np.array([r[1] for r in right]), np.array([r[4] for r in right], np.int64)
+    number = {c: i for i, c in enumerate(dict.fromkeys(r[2] for r in right))}
+    component = np.array([number[r[2]] for r in right])
+    for i, (_, size, own, mine, bx, *_) in enumerate(left):
+        ok = np.flatnonzero((100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & (component != number.get(own, -1)))
+        alike = (coordinates[ok] == np.frombuffer(mine, np.uint16)).mean(1)
+        fine = (alike >= percent / 100 - SLACK) & ~(bands[ok, :at] == np.array(bx[:at], np.int64)).any(1)
+        if fine.any():
+            yield i, ok[fine][np.argsort(-alike[fine], kind="stable")]
+
+
+def links_in_block(at: int, left: list[tuple], right: list[tuple], shingle: int, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join components, among rows (set_id, n, component, coordinates, bands, text) of two blocks of a bucket of
+    band `at`. Pairs that are connected by now are passed over."""
     parent: dict[bytes, bytes] = {}
 
     def root(c: bytes) -> bytes:
@@ -162,60 +176,71 @@ def compare_block(rows: list[tuple], at: int, shingle: int, percent: int) -> lis
             c = parent[c]
         return c
 
-    coordinates = np.frombuffer(b"".join(r[4] for r in right), np.uint16).reshape(len(right), -1)
-    n, bands = np.array([r[2] for r in right]), np.array([r[5] for r in right], np.int64)
     sets: list[set[bytes] | None] = [None] * len(right)
     out = []
-    for _, x, size, component, mine, bx, text in left:
-        ok = np.flatnonzero(100 * np.minimum(n, size) >= percent * np.maximum(n, size))
-        alike = (coordinates[ok] == np.frombuffer(mine, np.uint16)).mean(1)
-        fine = (alike >= percent / 100 - SLACK) & ~(bands[ok, :at] == np.array(bx[:at], np.int64)).any(1)
-        p = None
-        for i in ok[fine][np.argsort(-alike[fine], kind="stable")].tolist():
-            if root(component) == root(right[i][3]):
+    for k, found in likely_in_block(at, left, right, percent):
+        x, component, p = left[k][0], left[k][2], None
+        for i in found.tolist():
+            if root(component) == root(right[i][2]):
                 continue
-            p = shingle_set(words_of(text), shingle) if p is None else p
+            p = shingle_set(words_of(left[k][5]), shingle) if p is None else p
             q = sets[i]
             if q is None:
-                q = sets[i] = shingle_set(words_of(right[i][6]), shingle)
+                q = sets[i] = shingle_set(words_of(right[i][5]), shingle)
             common = len(p & q)
             if 100 * common >= percent * (len(p) + len(q) - common):
-                out.append((x, right[i][1]))
-                parent[root(component)] = root(right[i][3])
+                out.append((x, right[i][0]))
+                parent[root(component)] = root(right[i][2])
     return out
 
 
-def rest_of_buckets(members: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) among members (bucket, at, set_id, n, component) of open buckets that join their components."""
-    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    sizes = cut(sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.max_by("component", F.struct("c", "component")).alias("largest")), "minhash-rest-sizes")
-    rows = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cols = ["bucket", "at", "set_id", "n", "component"]
-    left = rows.where("component <> largest").select(*cols, F.col("own").alias("i"), others.alias("j"), F.lit(True).alias("left"))
-    right = rows.select(*cols, others.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"))
-    whole_rows = left.unionByName(right).join(sets.select("set_id", "coordinates", "bands"), "set_id").join(texts, "set_id")
-    whole_rows = whole_rows.select("bucket", "i", "j", "at", "left", "set_id", "n", "component", "coordinates", "bands", "t")
-
+def by_block(rows: DataFrame, compare: Callable[[tuple, list[tuple], list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """rows (bucket, i, j, at, left, ...), dealt by pair of blocks. `compare` gets (bucket, i, j, at) and the other columns of
+    the left and of the right rows, some thousand at most, and gives rows of the schema."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held = None, ([], [])
 
         def done() -> Iterator[pa.RecordBatch]:
-            found = compare_block(held, key[3], shingle, percent) if held else []
+            found = compare(key, *held) if held[0] and held[1] else []
             if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*found)))), schema=kinds)
 
         for x in batches:
             for r in zip(*(c.to_pylist() for c in x.columns)):
                 if r[:4] != key:
                     yield from done()
-                    key, held = r[:4], []
-                held.append(r[4:])
+                    key, held = r[:4], ([], [])
+                held[not r[4]].append(r[5:])
         yield from done()
 
-    # two blocks' rows, some thousand at most, stand on end
-    return whole_rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a binary, b binary")
+    arrow = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = pa.schema([(name, arrow[kind]) for name, kind in (f.split() for f in schema.split(", "))])
+    names = kinds.names
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, schema)
+
+
+def rest_of_buckets(members: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) among members (bucket, at, set_id, n, component) of open buckets that join their components."""
+    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = cut(sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.max_by("component", F.struct("c", "component")).alias("largest")), "minhash-rest-sizes")
+    rows = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cols = ["bucket", "at", "set_id", "n", "component"]
+    left = rows.where("component <> largest").select(*cols, F.col("own").alias("i"), others.alias("j"), F.lit(True).alias("left"))
+    right = rows.select(*cols, others.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"))
+    order = ["bucket", "i", "j", "at", "left", "set_id", "n", "component"]
+    marks = sets.select("set_id", "coordinates", "bands")
+    signed = left.unionByName(right).join(marks, "set_id").select(*order, "coordinates", "bands")
+
+    def likely(key: tuple, left: list[tuple], right: list[tuple]) -> list[tuple]:
+        found = list(likely_in_block(key[3], left, right, percent))
+        again = sorted({i for _, at in found for i in at.tolist()})
+        of = [(True, left[k]) for k, _ in found] + [(False, right[i]) for i in again]
+        return [(*key, side, *r[:3]) for side, r in of]
+
+    alike = cut(by_block(signed, likely, "bucket long, i int, j int, at int, left boolean, set_id binary, n long, component binary"), "minhash-alike")
+    told = alike.join(marks, "set_id").join(texts, "set_id").select(*order, "coordinates", "bands", "t")
+    return by_block(told, lambda key, left, right: links_in_block(key[3], left, right, shingle, percent), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
@@ -266,6 +291,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return out.select("id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "uid", "component")
 
 
+#: All pairs that share a shingle; components by following links from each document.
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(lower_ascii, '[^\x20\x09-\x0D]+') ws from (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') lower_ascii from documents)),
+s as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+                                      else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) end) x from w),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, least(a, min(b)) component_id from r group by a)
+select w.doc_id, coalesce(n, 0) n_shingles, coalesce(component_id, w.doc_id) component_id, coalesce(component_id, w.doc_id) = w.doc_id kept
+from w left join n on n.doc_id = w.doc_id left join c on c.a = w.doc_id
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=4)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from opinaria.llm import minhash as M
 from opinaria.llm.components import components
+from tests.oracle import same
 
 
 def brute(rows, shingle, percent=80):
@@ -81,3 +82,15 @@ def test_components(spark):
             name[a] = name[b] = min(name[a], name[b])
     assert got == {k: v for k, v in name.items() if any(k in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_against_sql(spark):
+    assert same(M.query(spark, "/root/testdata/sf0.01"), M.SQL, "/root/testdata/sf0.01") == 1000
+
+
+def test_blocks(spark, monkeypatch):
+    """Many small blocks give what one gives, without a round of pivots before."""
+    monkeypatch.setattr(M, "BLOCK", 16)
+    rows = [(i, t) for i, t in enumerate(family(7, 120, 60))]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4, rounds=0).collect()
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, 4)
