@@ -79,7 +79,7 @@ def test_kept_against_brute_force(spark):
 def test_limits_follow_the_source(spark):
     """Two sources of one language, one of which writes long words: each is judged by its own kind, and a text that is
     common in one is an outlier in the other. A small source is judged by its language."""
-    text = lambda i, c: " ".join(c * (3 + (i + j) % 3) for j in range(40))
+    text = lambda i, c: " ".join(f"{c * (3 + (i + j) % 3)}{j:02d}" for j in range(40))
     rows = [(i, text(i, "ab"), "en", "short") for i in range(3000)] + [(3000 + i, text(i, "abcdef"), "en", "long") for i in range(3000)]
     rows += [(7000, text(0, "abcdef"), "en", "short"), (7001, text(0, "ab"), "en", "long"), (7002, text(0, "abcdef"), "en", "new"), (7003, text(0, "ab"), "en", "new")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
