@@ -139,7 +139,8 @@ class Model:
 
     def symbols(self) -> dict[str, str]:
         words = {w: s for ws, s in ((TARGETS, TARGET), (OBJECTS, OBJECT), (NEGATIONS, NEGATION), (REPORTS, REPORT), (MODALS, MODAL), (THREATS_AT, THREAT_AT)) for w in ws}
-        return words | {w + s: THREAT for w in THREATS for s in ("", "s")} | {w + s: INSULT for w in self.insults for s in ("", "s")}
+        # a word keeps its class even where it was learned as an insult
+        return {w + s: INSULT for w in self.insults for s in ("", "s")} | {w + s: THREAT for w in THREATS for s in ("", "s")} | words
 
 
 def matcher(model: Model) -> Callable[[str], list[tuple[str, list[str]]]]:
