@@ -4,11 +4,16 @@ The key has 63 bits: 40 of a hash of the text, then 23 of a hash of the id, so e
 copies larger than a shard can still be cut. Bytes and rows below candidate boundaries are counted exactly over all
 partitions; intervals that are too heavy, or that hold a shard's border and aren't yet small enough, are probed again at
 64 finer boundaries, until every border is met within the tolerance or its interval holds one key. Then rows move once,
-to their interval, where a row number plus the counts below it is the slot. What comes to the driver is counts: at most
-64 for each of some hundred intervals, however many rows there are.
+to their interval, where a running count plus the counts below it is the slot. What comes to the driver is counts: at most
+64 for each of some hundred intervals, however many rows there are. The last step has a task for each interval, so raise
+`intervals` where a cluster has more cores than that.
 
-Defined cases. Null text: no bytes, size 1, crc32 of an empty text. Equal rows (same id and text) have equal keys, go to
-the same interval and take adjoining slots. Empty table: no rows."""
+Rows that are equal in id and text are counted as one with their number, and told apart when slots are dealt; a border that
+falls among them is put after so many of them.
+
+Defined cases. Null text: no bytes, size 1, crc32 of an empty text. Very long texts: only their size and hashes move. Ties:
+equal rows (same id and text) take adjoining slots; of rows with equal keys, the order is by id as text, size and checksum.
+Null ids: rows like others. Empty table: no rows. Columns are read by name, so others may have any name."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -34,14 +39,14 @@ def interval(key: str, bounds: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.element_at(table, at + s) <= F.col(key), at + s).otherwise(at))
 
 
-def histogram(rows: DataFrame, shards: int, tolerance: float, key: str = "k", size: str = "size") -> tuple[list[int], list[int], list[int]]:
-    """Lower bounds of intervals in key order, with their exact bytes and rows. Every interval that holds a shard's border
-    has at most `tolerance` of a shard's bytes or one key only; the others have at most a 512th of all bytes or one key."""
+def histogram(rows: DataFrame, shards: int, tolerance: float, intervals: int = INTERVALS) -> list[tuple[int, int, int, bool]]:
+    """rows: k, bytes, n. (lower bound, bytes, rows, whether it holds one key only) of intervals in key order. Counts are exact. Every interval that holds a shard's border has at most `tolerance` of a shard's bytes or one key only; the others have at most their share of all
+    bytes or one key."""
     bounds = [SPACE // 4096 * i for i in range(4096)]
     while True:
-        got = {r.i: (r.b, r.n) for r in rows.groupBy(interval(key, bounds).alias("i")).agg(F.sum(size).alias("b"), F.count(F.lit(1)).alias("n")).collect()}
+        got = {r.i: (r.b, r.n) for r in rows.groupBy(interval("k", bounds).alias("i")).agg(F.sum("bytes").alias("b"), F.sum("n").alias("n")).collect()}
         total = sum(b for b, _ in got.values())
-        heavy, allowed = max(1, total // INTERVALS), max(1, int(tolerance * total / shards))
+        heavy, allowed = max(1, total // intervals), max(1, int(tolerance * total / shards))
         merged: list[list[int]] = []  # [bound, bytes, rows, end]; light neighbours become one again
         below = 0
         borders = [total * s / shards for s in range(1, shards)]
@@ -58,33 +63,45 @@ def histogram(rows: DataFrame, shards: int, tolerance: float, key: str = "k", si
             below += b
         again = [m for m in merged if m[3] - m[0] > 1 and (m[1] > heavy or m[4] and m[1] > allowed)]
         if not again:
-            return [m[0] for m in merged], [m[1] for m in merged], [m[2] for m in merged]
+            return [(lo, b, n, end - lo <= 1) for lo, b, n, end, _ in merged]
         bounds = []
         for m in merged:
             parts = min(FANOUT, m[3] - m[0]) if any(m is x for x in again) else 1
             bounds += [m[0] + (m[3] - m[0]) * p // parts for p in range(parts)]
 
 
-def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", tolerance: float = 0.001) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", tolerance: float = 0.001, intervals: int = INTERVALS) -> DataFrame:
     """(key, size, text_crc32, shard, slot) for all rows."""
     rows = docs.select(
-        F.col(key), (F.octet_length(whole(text)) + 1).cast("long").alias("_size"), F.crc32(whole(text)).alias("_crc"), sort_key(key, text).alias("_k"))
-    rows = cut(rows, "shard-keys")
-    bounds, weights, counts = histogram(rows, shards, tolerance, "_k", "_size")
-    total, below, owner = sum(weights), 0, []
-    for b in weights:  # an interval goes where its middle falls
-        owner.append(min(shards - 1, int((below + b / 2) * shards // max(1, total))))
+        F.col(key).alias("id"), (F.octet_length(whole(text)) + 1).cast("long").alias("size"), F.crc32(whole(text)).alias("crc"), sort_key(key, text).alias("k"))
+    rows = rows.groupBy("id", "size", "crc", "k").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(rows.withColumn("bytes", F.col("size") * F.col("n")), "shard-keys")
+    found = histogram(rows, shards, tolerance, intervals)
+    total = sum(b for _, b, _, _ in found)
+    home = lambda x: min(shards - 1, x * shards // max(1, total))
+    below, seen, owner, first, pieces = 0, [0] * shards, [], [], []
+    for j, (_, b, n, alone) in enumerate(found):
+        owner.append(home(below + b // 2))
+        first.append(seen[owner[-1]])
+        if alone and home(below) < home(below + b - 1):
+            # rows of one key that lie across a border: equal texts, so the border falls after so many of them
+            reach = range(home(below), home(below + b - 1) + 1)
+            starts = [0] + [min(n, max(0, round((s * total / shards - below) * n / b))) for s in reach[1:]]
+            for s, lo, hi in zip(reach, starts, [*starts[1:], n]):
+                pieces.append((j + 1, lo, s, seen[s] - lo))
+                seen[s] += hi - lo
+        else:
+            seen[owner[-1]] += n
         below += b
-    first, seen = [], [0] * shards
-    for s, n in zip(owner, counts):
-        first.append(seen[s])
-        seen[s] += n
-    at = F.col("_i")
-    pick = lambda xs: F.element_at(numbers(xs), at)
-    number = F.row_number().over(W.partitionBy("_i").orderBy("_k", F.col(key).cast("string"), "_size")) - 1
-    out = rows.withColumn("_i", interval("_k", bounds)).withColumn("_number", number)
-    return out.select(
-        F.col(key), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), pick(owner).cast("int").alias("shard"), (pick(first) + F.col("_number")).cast("long").alias("slot"))
+    pick = lambda xs: F.element_at(numbers(xs), F.col("i"))
+    upto = F.sum("n").over(W.partitionBy("i").orderBy("k", F.col("id").cast("string"), "size", "crc").rowsBetween(W.unboundedPreceding, 0))
+    out = rows.withColumn("i", interval("k", [lo for lo, *_ in found])).withColumn("before", upto - F.col("n"))
+    out = out.select("*", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("row"))
+    to, shift = pick(owner), pick(first)
+    for i, lo, s, by in pieces:  # in order, so the last that applies holds
+        here = (F.col("i") == i) & (F.col("row") >= lo)
+        to, shift = F.when(here, s).otherwise(to), F.when(here, by).otherwise(shift)
+    return out.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), to.cast("int").alias("shard"), (shift + F.col("row")).cast("long").alias("slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

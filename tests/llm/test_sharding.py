@@ -9,6 +9,7 @@ CASES = {
     "plain": [(i, f"text {i} " * (i % 13)) for i in range(3000)],
     "third": [(i, "the same text" if i % 3 else f"own {i}") for i in range(3000)],
     "edges": [(1, None), (2, ""), (None, "x"), (None, "x"), (3, "y" * 100_000), (3, "z"), (3, "z")],
+    "equal": [(7, "the same row") if i % 3 else (i, f"own {i}") for i in range(3000)],
     "empty": [],
     "one": [(1, "a")],
 }
@@ -17,7 +18,7 @@ CASES = {
 @pytest.mark.parametrize("name", CASES)
 def test_laws(spark, name):
     rows = CASES[name]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as size", "2 as shard", "3 as _k0")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as size", "2 as shard", "3 as _k0", "4 as id", "5 as k", "6 as n")
     got = S.shard(df).collect()
     assert sorted((r.doc_id or 0, r.size, r.text_crc32) for r in got) == sorted((i or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
     total = [0] * 8
