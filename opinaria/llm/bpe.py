@@ -30,7 +30,7 @@ from opinaria.sources.scratch import cut
 from .common import slices
 
 #: Characters of the texts whose rare pieces are merged together; characters split at a time.
-PART, SPLIT = 1 << 25, 1 << 21
+PART, SPLIT = 1 << 24, 1 << 21
 #: A piece is frequent from this share of all pieces on.
 FREQUENT_BITS = 17
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: A word: what stands between ASCII white space.
@@ -51,15 +52,19 @@ def tables(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, chars: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of batches with their texts (null: empty), about `chars` characters each, but whole rows and one at least."""
+def slices(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of batches with their texts (null: empty), about `size` bytes each, but whole rows and one at least. Only a
+    part's texts are held at a time."""
     for batch in batches:
-        texts = [x or "" for x in batch.column(column).to_pylist()]
         start = held = 0
-        for i, x in enumerate(texts):
-            if held and held + len(x) > chars:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if held and held + n > size:
+                yield _texts(batch.slice(start, i - start), column)
                 start, held = i, 0
-            held += len(x)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            held += n
+        if start < batch.num_rows:
+            yield _texts(batch.slice(start), column)
+
+
+def _texts(part: pa.RecordBatch, column: str) -> tuple[pa.RecordBatch, list[str]]:
+    return part, [x or "" for x in part.column(column).to_pylist()]

@@ -8,22 +8,29 @@ from opinaria.llm import line_dedup as L
 from tests.oracle import same
 
 
-def brute(rows, size=3, long_line=50):
+def brute(rows, size=3, long_line=50, between="\n"):
     rows, first, later = sorted(rows), {}, {}
+    full = lambda x: bool(x.strip(" \t\r\x0b\x0c"))
     for i, t in rows:
-        lines = [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
+        lines = [x for x in re.split(between, t or "") if full(x)]
         marks = [(p, size, tuple(lines[p : p + size])) for p in range(len(lines) - size + 1)] + [(p, 1, x) for p, x in enumerate(lines) if len(x.split()) >= long_line]
         for p, n, w in sorted(marks, key=lambda m: m[0]):
             if first.setdefault(w, (i, p)) != (i, p):
                 later.setdefault(i, set()).update(range(p, p + n))
     out = []
     for i, t in rows:
-        p, kept = -1, []
-        for x in (t or "").split("\n"):
-            p += bool(x.strip(" \t\r\x0b\x0c"))
-            if not x.strip(" \t\r\x0b\x0c") or p not in later.get(i, ()):
-                kept.append(x)
-        out.append((i, "\n".join(kept) if i in later else t))
+        p, kept, gap = -1, "", ""
+        parts = re.split(f"({between})", t or "")
+        empty = True
+        for k, x in enumerate(parts):
+            if k % 2:  # what stands between: a line's end wins, then what comes first
+                gap = "\n" if "\n" in (gap, x) else gap or x
+                continue
+            p += full(x)
+            if not full(x) or p not in later.get(i, ()):
+                kept += ("" if empty else gap) + x
+                empty, gap = False, ""
+        out.append((i, kept if i in later else t))
     return out
 
 
