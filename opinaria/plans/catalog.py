@@ -1,16 +1,32 @@
 """The registered queries of the analytics engine and their SQL."""
 from __future__ import annotations
 
+import uuid
+
 from .. import operators as O, plans as P
-from ..sources import messages, read_businesses, read_reviews, stream_reviews
+from ..sources import messages, read_businesses, read_reviews, read_reviews_with_rejects, scratch_dir, stream_reviews, union_streams, write_results
 from ..streaming import drain
 from . import testviews as V
 
 USERS, BEST, BOTS, CITIES = 50, 2, 3, 10
 NONE = 1_000_000  # a threshold that nobody meets
+SAMPLE = 100
 URGENT = "stars = 5 and funny >= 5 and text = '1-URGENT'"
 
 
+def _written(s, d):
+    """A flow's result as the sink wrote it."""
+    out = f"{scratch_dir(s)}/sink-{uuid.uuid4().hex[:12]}"
+    write_results({"top_users": P.top_users(V.reviews(s, d), USERS)}, out)
+    return s.read.parquet(f"{out}/top_users")
+
+
+def _rejects(s, d):
+    """Lines that are reviews and lines that aren't, of files that hold both."""
+    good, bad = read_reviews_with_rejects(s, V.dirty_lines(s, d))
+    return O.count_by(good, "user_id").unionByName(bad.selectExpr("'(rejected)' user_id", "line").groupBy("user_id").agg(V.F.count("line").alias("reviews")))
+
+
 def queries() -> dict:
     r, o, b, a = V.reviews, V.reviews_by_order, V.business, V.activity
     scan = lambda s, d: read_reviews(s, V.review_lines(s, d))
@@ -48,6 +64,10 @@ def queries() -> dict:
         "report_best_users_none": lambda s, d: P.report_best_users(o(s, d), NONE),
         "report_bot_users_none": lambda s, d: P.report_bot_users(a(s, d), NONE),
         "all_flows": lambda s, d: P.all_flows(r(s, d), b(s, d), USERS, BOTS, CITIES),
+        "sink_top_users": _written,
+        "scan_rejects": _rejects,
+        "sample_size": lambda s, d: O.sample_reviews(r(s, d), SAMPLE, r(s, d).where(URGENT)).agg(V.F.count(V.F.lit(1)).alias("reviews")),
+        "stream_union_top_users": lambda s, d: drain(P.top_users(union_streams(live(s, d), queue(s, d)), BOTS)),
         "scan_top_users": lambda s, d: P.top_users(scan(s, d), BOTS),
         "scan_best_users": lambda s, d: P.best_users(scan(s, d), BEST),
         "scan_weekday_counts": lambda s, d: O.weekday_counts(scan(s, d)),
@@ -119,6 +139,10 @@ def oracle_sql() -> dict[str, str]:
         "all_flows": " union all ".join((
             flow("top_users", "user_id", "reviews", sql["top_users"]), flow("best_users", "user_id", "reviews", best_plain), flow("bot_users", "user_id", "reviews", bots_plain),
             flow("weekday_histogram", "weekday", "reviews", week), flow("funniest_cities", "city", "funny", top))),
+        "sink_top_users": sql["top_users"],
+        "scan_rejects": "select cast(user_id as varchar) user_id, count(*) reviews from reviews_by_order where funny <> 1 group by user_id union all select '(rejected)', count(*) from reviews_by_order where funny = 1 having count(*) > 0",
+        "sample_size": f"select least({SAMPLE}, (select count(*) from reviews)) + count(*) reviews from reviews where {URGENT}",
+        "stream_union_top_users": text_key(f"select user_id, 2 * count(*) reviews from reviews_by_order group by user_id having 2 * count(*) >= {BOTS}"),
         "scan_top_users": text_key(many),
         "scan_best_users": text_key(best),
         "scan_weekday_counts": byday,

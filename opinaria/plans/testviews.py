@@ -56,11 +56,23 @@ def _lines(df: DataFrame, name: str) -> str:
     return path
 
 
-def review_lines(spark: SparkSession, sf_dir: str) -> str:
-    """The `reviews_by_order` view as NDJSON in the shape of real reviews: ids as text, numbers plain or quoted."""
-    return _lines(reviews_by_order(spark, sf_dir).selectExpr(
+def _as_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The `reviews_by_order` view in the shape of real reviews: ids as text, numbers plain or quoted."""
+    return reviews_by_order(spark, sf_dir).selectExpr(
         "review_id", "cast(user_id as string) user_id", "cast(business_id as string) business_id", "cast(stars as double) stars",
-        "0 useful", "cast(funny as string) funny", "0 cool", "text", "concat(cast(review_date as string), ' 10:00:00') date"), "review-lines")
+        "0 useful", "cast(funny as string) funny", "0 cool", "text", "concat(cast(review_date as string), ' 10:00:00') date")
+
+
+def review_lines(spark: SparkSession, sf_dir: str) -> str:
+    return _lines(_as_given(spark, sf_dir), "review-lines")
+
+
+def dirty_lines(spark: SparkSession, sf_dir: str) -> str:
+    """The same lines, those with one funny vote cut off in the middle."""
+    path = f"{scratch_dir(spark)}/dirty-lines-{uuid.uuid4().hex[:12]}"
+    rows = _as_given(spark, sf_dir).select("funny", F.to_json(F.struct("*")).alias("value"))
+    rows.select(F.when(F.col("funny") == "1", F.expr("left(value, 40)")).otherwise(F.col("value")).alias("value")).write.text(path)
+    return path
 
 
 def business_lines(spark: SparkSession, sf_dir: str) -> str:
