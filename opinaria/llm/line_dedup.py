@@ -18,10 +18,8 @@ id and text) are one document: what stays in one stays in all. Null ids come aft
 columns pass through whatever their names; one named like the added column (`into`) is replaced by it."""
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opinaria.sources.scratch import cut
@@ -29,78 +27,60 @@ from opinaria.sources.scratch import cut
 from .common import columns, n_words, whole
 
 A_WORD = r"[^\x20\x09-\x0D]"
-_SPACE = " \t\n\x0b\x0c\r"
 #: What stands between units: a line's end, or the spaces after a sentence's end.
 LINES, SENTENCES = r"\n", r"\n|(?<=[.!?])\x20+"
 
 
 def content(text: Column, between: str = LINES) -> Column:
-    """Array of the lines with a word."""
-    return F.filter(F.split(text, between, -1), lambda x: x.rlike(A_WORD))
+    """Array of (i, x): the lines with a word and their numbers."""
+    numbered = F.transform(F.split(text, between, -1), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    return F.filter(numbered, lambda s: s["x"].rlike(A_WORD))
 
 
 def windows(lines: Column, size: int, long_line: int) -> Column:
-    """Array of (p, n, hash): a window of n lines from the p-th line with a word."""
-    hashed = lambda p, n, tag, text: F.struct(p.alias("p"), F.lit(n).alias("n"), F.unhex(F.md5(F.concat(F.lit(tag), text))).alias("hash"))
+    """Array of (at, hash): the numbers of the lines of each window."""
+    hashed = lambda at, tag, text: F.struct(F.array(*at).alias("at"), F.unhex(F.md5(F.concat(F.lit(tag), text))).alias("hash"))
     several = F.transform(
         F.when(F.size(lines) >= size, F.sequence(F.lit(0), F.size(lines) - size)).otherwise(F.array().cast("array<int>")),
-        lambda p: hashed(p, size, "window|", F.concat_ws("\n", *[F.get(lines, p + j) for j in range(size)])),
+        lambda p: hashed([F.get(lines, p + j)["i"] for j in range(size)], "window|", F.concat_ws("\n", *[F.get(lines, p + j)["x"] for j in range(size)])),
     )
-    alone = F.transform(lines, lambda x, p: F.when(n_words(x) >= long_line, hashed(p, 1, "line|", x)))
+    alone = F.transform(lines, lambda s: F.when(n_words(s["x"]) >= long_line, hashed([s["i"]], "line|", s["x"])))
     return F.concat(several, F.array_compact(alone))
 
 
-def covered(starts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
-    """Which of n lines with a word some window covers."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + sizes, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def without(text: str, starts: np.ndarray, sizes: np.ndarray, between: re.Pattern) -> tuple[str, int]:
-    """`text` without the covered lines, and how many those are. Where lines go, one of the line breaks between their
-    neighbours stays."""
-    parts = between.split(text)  # lines and, between them, what stood between
-    lines = parts[::2]
-    full = [i for i, x in enumerate(lines) if x.strip(_SPACE)]
-    gone = np.zeros(len(lines), bool)
-    gone[full] = covered(starts, sizes, len(full))
-    kept = np.flatnonzero(~gone).tolist()
-    out = [lines[i] for i in kept[:1]]
-    for i, j in zip(kept, kept[1:]):
-        gaps = parts[2 * i + 1 : 2 * j : 2]
-        out += ("\n" if "\n" in gaps else gaps[0], lines[j])
-    return "".join(out), int(gone.sum())
+def without(text: Column, between: str) -> Iterator[list[Column]]:
+    """Steps, each the columns that the next reads beside `gone` (numbers of lines), from a text to `left`, the text without
+    those lines. Where lines go, one of the breaks between their neighbours stays, a line's end before spaces. The time of
+    each step grows with the lines: what a step looks up for each line is a column of the step before, read more than once,
+    which keeps the optimizer from putting its expression into the lookup."""
+    lines, gaps, kept = F.col("lines"), F.col("gaps"), F.col("kept")
+    yield [F.split(text, between, -1).alias("lines"), F.regexp_extract_all(text, F.lit(f"({between})"), F.lit(1)).alias("gaps")]
+    yield [lines, gaps, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")).alias("kept")]
+    gap = lambda i, j: F.when(F.array_contains(F.slice(gaps, i + 1, j - i), "\n"), "\n").otherwise(F.get(gaps, i)) if between != LINES else F.lit("\n")
+    pairs = F.zip_with(F.slice(kept, 1, F.size(kept) - 1), F.slice(kept, 2, F.size(kept) - 1), lambda i, j: F.concat(gap(i, j), F.get(lines, j)))
+    yield [F.when(F.size(kept) > 0, F.concat(F.get(lines, F.get(kept, 0)), F.array_join(pairs, ""))).otherwise("").alias("left")]
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, long_line: int = 50, sentences: bool = False, into: str = "_lines") -> DataFrame:
     """`docs` with the later repeats cut out of `text`, and a struct column named `into`: n_lines, n_removed."""
     between = SENTENCES if sentences else LINES
-    split = re.compile(f"({between})")
     uid = F.xxhash64(F.col(key).cast("string"), whole(text)).alias("uid")
     found = docs.select(F.col(key).alias("id"), uid, content(whole(text), between).alias("lines"))
     found = found.select("id", "uid", F.explode(windows(F.col("lines"), size, long_line)).alias("w")).select("id", "uid", "w.*")
     found = cut(found, "line-windows")
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "uid", "p")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "uid", F.get("at", F.lit(0)).alias("p"))
     places = found.select("hash", place.alias("place")).groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("final"))
     repeated = cut(places.where("first <> final").select("hash", "first"), "line-repeated")
     later = found.join(repeated, "hash").where(place != F.col("first"))
-    # start and size in one number
-    gone = later.groupBy("uid").agg(F.collect_set(F.shiftleft(F.col("p").cast("long"), 16).bitwiseOR(F.col("n").cast("long"))).alias("gone"))
-
-    @F.pandas_udf("text string, n int")
-    def left(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        done = [(None, 0) if g is None else without(t, np.asarray(g, np.int64) >> 16, np.asarray(g, np.int64) & 0xFFFF, split) for t, g in zip(texts, gone)]
-        return pd.DataFrame(done, columns=["text", "n"])
-
+    gone = later.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
     rows = docs.select(F.struct(*columns(docs)).alias("row"), uid).join(gone, "uid", "left")
     text_of = F.col("row").getField(text)
-    rows = rows.select("row", "gone", left(F.when(F.col("gone").isNotNull(), F.coalesce(text_of.cast("string"), F.lit(""))), F.col("gone")).alias("left"))
+    for step in without(F.when(F.col("gone").isNotNull(), F.coalesce(text_of.cast("string"), F.lit(""))), between):
+        rows = rows.select("row", "gone", *step)
     n_lines = F.size(F.split(F.coalesce(text_of.cast("string"), F.lit("")), between, -1))
     return rows.select(
-        *[F.when(F.col("gone").isNull(), text_of).otherwise(F.col("left.text")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != into],
-        F.struct(n_lines.alias("n_lines"), F.col("left.n").alias("n_removed")).alias(into))
+        *[F.when(F.col("gone").isNull(), text_of).otherwise(F.col("left")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != into],
+        F.struct(n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed")).alias(into))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

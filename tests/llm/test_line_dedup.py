@@ -3,6 +3,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from opinaria.llm import line_dedup as L
 from tests.oracle import same
@@ -80,10 +81,16 @@ def test_passages_inside_lines(spark):
     assert {x.doc_id: x.text for x in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == dict(rows)
 
 
-def test_without():
-    lines, sentences = (re.compile(f"({x})") for x in (L.LINES, L.SENTENCES))
-    n = lambda *x: __import__("numpy").array(x)
-    assert L.without("a\n\nb\nc", n(0), n(1), lines) == ("\nb\nc", 1)
-    assert L.without("A a. B b. C c.\nD d.", n(1, 1), n(1, 2), sentences) == ("A a.\nD d.", 2)
-    assert L.without("A a.  B b. C c.", n(1), n(1), sentences) == ("A a.  C c.", 1)
-    assert L.without("A a. B b.", n(0), n(2), sentences) == ("", 2)
+@pytest.mark.parametrize("text, gone, between, want", [
+    ("a\n\nb\nc", [0], L.LINES, ("\nb\nc", 1)),
+    ("A a. B b. C c.\nD d.", [1, 2], L.SENTENCES, ("A a.\nD d.", 2)),
+    ("A a.  B b. C c.", [1], L.SENTENCES, ("A a.  C c.", 1)),
+    ("A a. B b.", [0, 1], L.SENTENCES, ("", 2)),
+    ("A a. B b.", [0], L.SENTENCES, ("B b.", 1)),
+])
+def test_without(spark, text, gone, between, want):
+    rows = spark.createDataFrame([(text, gone)], "t string, gone array<int>")
+    for step in L.without(F.col("t"), between):
+        rows = rows.select("gone", "t", *step) if "t" in rows.columns else rows.select("gone", *step)
+    got = rows.first()
+    assert (got.left, len(gone)) == want
