@@ -222,12 +222,15 @@ def by_block(rows: DataFrame, compare: Callable[[tuple, list[tuple], list[tuple]
 def rest_of_buckets(members: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) among members (bucket, at, set_id, n, component) of open buckets that join their components."""
     sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-    sizes = cut(sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.max_by("component", F.struct("c", "component")).alias("largest")), "minhash-rest-sizes")
-    rows = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sizes = sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("largest"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = cut(sizes.select("bucket", F.col("largest.component").alias("largest"), blocks(F.col("all") - F.col("largest.c")).alias("lefts"), blocks(F.col("all")).alias("rights")), "minhash-rest-sizes")
+    # few outside a large component make few blocks, each of which all members meet once
+    rows = members.join(sizes, "bucket").withColumn("h", F.xxhash64("set_id"))
+    own, each = lambda n: F.pmod("h", F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ["bucket", "at", "set_id", "n", "component"]
-    left = rows.where("component <> largest").select(*cols, F.col("own").alias("i"), others.alias("j"), F.lit(True).alias("left"))
-    right = rows.select(*cols, others.alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"))
+    left = rows.where("component <> largest").select(*cols, own("lefts").alias("i"), each("rights").alias("j"), F.lit(True).alias("left"))
+    right = rows.select(*cols, each("lefts").alias("i"), own("rights").alias("j"), F.lit(False).alias("left"))
     order = ["bucket", "i", "j", "at", "left", "set_id", "n", "component"]
     marks = sets.select("set_id", "coordinates", "bands")
     signed = left.unionByName(right).join(marks, "set_id").select(*order, "coordinates", "bands")
