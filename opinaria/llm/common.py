@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: A word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a lookup table that may be broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes of a lookup table that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def whole(text: str = "text") -> Column:
@@ -38,9 +38,11 @@ def numbers(xs: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it is counted to have `rows` rows at most; pass a table that is cheap to count."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if it is found to have `rows` rows and `size` bytes of JSON at most; pass a table that is
+    cheap to count."""
+    found = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*columns(df))))), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found.rows <= rows and found.size <= size else df
 
 
 def crc_split(key: str, modulus: int, held: int) -> Column:
