@@ -1,7 +1,7 @@
 """Helpers that several operators share."""
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +33,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often body and its lambdas read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def numbers(xs: list[int]) -> Column:
     """A constant array; as one text it doesn't cost the driver a call for each number."""
     return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")

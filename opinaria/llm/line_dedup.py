@@ -18,13 +18,11 @@ id and text) are one document: what stays in one stays in all. Null ids come aft
 columns pass through whatever their names; one named like the added column (`into`) is replaced by it."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opinaria.sources.scratch import cut
 
-from .common import columns, n_words, whole
+from .common import columns, let, n_words, whole
 
 A_WORD = r"[^\x20\x09-\x0D]"
 #: What stands between units: a line's end, or the spaces after a sentence's end.
@@ -48,17 +46,17 @@ def windows(lines: Column, size: int, long_line: int) -> Column:
     return F.concat(several, F.array_compact(alone))
 
 
-def without(text: Column, between: str) -> Iterator[list[Column]]:
-    """Steps, each the columns that the next reads beside `gone` (numbers of lines), from a text to `left`, the text without
-    those lines. Where lines go, one of the breaks between their neighbours stays, a line's end before spaces. The time of
-    each step grows with the lines: what a step looks up for each line is a column of the step before, read more than once,
-    which keeps the optimizer from putting its expression into the lookup."""
-    lines, gaps, kept = F.col("lines"), F.col("gaps"), F.col("kept")
-    yield [F.split(text, between, -1).alias("lines"), F.regexp_extract_all(text, F.lit(f"({between})"), F.lit(1)).alias("gaps")]
-    yield [lines, gaps, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")).alias("kept")]
-    gap = lambda i, j: F.when(F.array_contains(F.slice(gaps, i + 1, j - i), "\n"), "\n").otherwise(F.get(gaps, i)) if between != LINES else F.lit("\n")
-    pairs = F.zip_with(F.slice(kept, 1, F.size(kept) - 1), F.slice(kept, 2, F.size(kept) - 1), lambda i, j: F.concat(gap(i, j), F.get(lines, j)))
-    yield [F.when(F.size(kept) > 0, F.concat(F.get(lines, F.get(kept, 0)), F.array_join(pairs, ""))).otherwise("").alias("left")]
+def without(text: Column, gone: Column, between: str) -> Column:
+    """The text without the lines whose numbers are in `gone`. Where lines go, one of the breaks between their neighbours
+    stays, a line's end before spaces. The time grows with the lines."""
+    def joined(parts: Column, kept: Column) -> Column:
+        lines, gaps = parts["lines"], parts["gaps"]
+        gap = lambda i, j: F.when(F.array_contains(F.slice(gaps, i + 1, j - i), "\n"), "\n").otherwise(F.get(gaps, i)) if between != LINES else F.lit("\n")
+        pairs = F.zip_with(F.slice(kept, 1, F.size(kept) - 1), F.slice(kept, 2, F.size(kept) - 1), lambda i, j: F.concat(gap(i, j), F.get(lines, j)))
+        return F.when(F.size(kept) > 0, F.concat(F.get(lines, F.get(kept, F.lit(0))), F.array_join(pairs, ""))).otherwise("")
+
+    parts = F.struct(F.split(text, between, -1).alias("lines"), F.regexp_extract_all(text, F.lit(f"({between})"), F.lit(1)).alias("gaps"))
+    return let(parts, lambda p: let(F.array_except(F.sequence(F.lit(0), F.size(p["lines"]) - 1), gone), lambda kept: joined(p, kept)))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, long_line: int = 50, sentences: bool = False, into: str = "_lines") -> DataFrame:
@@ -75,11 +73,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     gone = later.groupBy("uid").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("gone"))
     rows = docs.select(F.struct(*columns(docs)).alias("row"), uid).join(gone, "uid", "left")
     text_of = F.col("row").getField(text)
-    for step in without(F.when(F.col("gone").isNotNull(), F.coalesce(text_of.cast("string"), F.lit(""))), between):
-        rows = rows.select("row", "gone", *step)
+    left = without(F.coalesce(text_of.cast("string"), F.lit("")), F.col("gone"), between)
     n_lines = F.size(F.split(F.coalesce(text_of.cast("string"), F.lit("")), between, -1))
     return rows.select(
-        *[F.when(F.col("gone").isNull(), text_of).otherwise(F.col("left")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != into],
+        *[F.when(F.col("gone").isNull(), text_of).otherwise(left).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != into],
         F.struct(n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed")).alias(into))
 
 
