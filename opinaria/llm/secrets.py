@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from opinaria.sources.scratch import cut
 
-from .common import whole
+from .common import let, whole
 
 #: Fixed patterns: kind -> (pattern, group with the value, least length of the value). Runs that are too short are dropped
 #: after matching where that can change what is matched next, within the pattern where it can't.
@@ -37,14 +37,12 @@ _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,hash:string,looks_l
 _BLOCK = 64
 
 
-def kind_spans(text: Column, kind: str, rank: int) -> tuple[Column, ...]:
-    """In four steps, each to be a column (parts, blocks, starts) that the next reads: the leftmost non-overlapping matches as
-    an array of (start, rank, end, kind, hash of the value, whether it looks live)."""
+def kind_spans(text: Column, kind: str, rank: int) -> Column:
+    """Array of (start, rank, end, kind, hash of the value, whether it looks live) of the leftmost non-overlapping matches."""
     pattern, group, least = KINDS[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), values.alias("value"))
-    parts = F.filter(parts, lambda x: x["match"].isNotNull())
+    parts = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), values.alias("value")), lambda x: x["match"].isNotNull())
     none = F.array().cast(_SPAN)
     width = lambda x: F.length(x["gap"]) + F.length(x["match"])
     live = lambda v: (F.size(F.array_distinct(F.split(v, ""))) >= LEAST_CHARS) & ~F.lower(v).rlike(PLACEHOLDER)
@@ -55,27 +53,23 @@ def kind_spans(text: Column, kind: str, rank: int) -> tuple[Column, ...]:
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.sha2(x["value"], 256).alias("hash"), live(x["value"]).alias("looks_live")))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(state["spans"], span.cast(_SPAN))).otherwise(state["spans"]).alias("spans"))
 
+    def starts(blocks: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        widths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + width(x)))
+        return F.aggregate(widths, first, lambda s, w: F.struct((s["at"] + w).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
+
     # what is appended to is never longer than a block, or than the number of blocks
-    blocks = F.transform(F.sequence(F.lit(0), F.expr(f"(size(parts) - 1) div {_BLOCK}")), lambda b: F.slice(F.col("parts"), b * _BLOCK + 1, F.lit(_BLOCK)))
-    widths = F.transform(F.col("blocks"), lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + width(x)))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(widths, first, lambda s, w: F.struct((s["at"] + w).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
-    found = F.flatten(F.transform(F.arrays_zip(F.col("blocks").alias("b"), F.col("starts").alias("s")), lambda z: F.aggregate(z["b"], F.struct(z["s"].alias("at"), none.alias("spans")), step)["spans"]))
-    return F.when(text.rlike(pattern), parts).otherwise(F.slice(parts, 1, 0)), blocks, starts, F.when(F.size("parts") > 0, found).otherwise(none)
+    in_blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")), lambda b: F.slice(p, b * _BLOCK + 1, F.lit(_BLOCK)))
+    of_block = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("spans")), step)["spans"]
+    found = let(parts, lambda p: F.when(F.size(p) > 0, let(in_blocks(p), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), of_block)))).otherwise(none))
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """k0, k1... (the kept columns) and `spans`, ordered by start, then by kind as listed."""
-    kept = [f"k{i}" for i in range(len(keep))]
-    rows = docs.select(*[F.col(k).alias(a) for k, a in zip(keep, kept)], whole(text).alias("t"))
-    done = []
-    for rank, kind in enumerate(KINDS):
-        parts, blocks, starts, found = kind_spans(F.col("t"), kind, rank)
-        for name, step in (("parts", parts), ("blocks", blocks), ("starts", starts), (kind, found)):
-            rows = rows.withColumn(name, step)
-        done.append(kind)
-        rows = rows.select(*kept, "t", *done)
-    return rows.select(*kept, F.array_sort(F.concat(*done)).alias("spans"))
+    return docs.select(
+        *[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)],
+        F.array_sort(F.concat(*[kind_spans(whole(text), kind, i) for i, kind in enumerate(KINDS)])).alias("spans"))
 
 
 def ownership(found: DataFrame, repo: str, owner: str) -> DataFrame:
