@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from opinaria.sources.scratch import cut
+from opinaria.sources.scratch import cut, free
 
 from .common import slices
 
@@ -182,7 +182,9 @@ def frequent_pieces(docs: DataFrame, pattern: str, text: str = "text", bits: int
 
     pieces = cut(docs.select(text).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "bpe-pieces")
     total = pieces.agg(F.sum("n")).first()[0] or 0
-    return sorted(r.piece for r in pieces.where(F.col("n") * (1 << bits) >= total).select("piece").collect())
+    out = sorted(r.piece for r in pieces.where(F.col("n") * (1 << bits) >= total).select("piece").collect())
+    free(pieces)
+    return out
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
