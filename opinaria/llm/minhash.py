@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from opinaria.sources.scratch import cut
+from opinaria.sources.scratch import cut, free
 
 from .common import slices, whole
 from .components import components
@@ -146,8 +146,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, p
             yield x.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
     signed = pairs.join(side(sets, "a", "coordinates"), "a").join(side(sets, "b", "coordinates"), "b").select("a", "b", "coordinates_a", "coordinates_b")
-    likely = cut(signed.mapInArrow(near, "a binary, b binary"), "minhash-likely")
-    return likely.join(side(texts, "a", "t"), "a").join(side(texts, "b", "t"), "b").select("a", "b", "t_a", "t_b").mapInArrow(equal, "a binary, b binary")
+    likely = cut(signed.mapInArrow(near, "a long, b long"), "minhash-likely")
+    return likely.join(side(texts, "a", "t"), "a").join(side(texts, "b", "t"), "b").select("a", "b", "t_a", "t_b").mapInArrow(equal, "a long, b long")
 
 
 def likely_in_block(at: int, left: list[tuple], right: list[tuple], percent: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -166,12 +166,12 @@ def likely_in_block(at: int, left: list[tuple], right: list[tuple], percent: int
             yield i, ok[fine][np.argsort(-alike[fine], kind="stable")]
 
 
-def links_in_block(at: int, left: list[tuple], right: list[tuple], shingle: int, percent: int) -> list[tuple[bytes, bytes]]:
+def links_in_block(at: int, left: list[tuple], right: list[tuple], shingle: int, percent: int) -> list[tuple[int, int]]:
     """Links that join components, among rows (set_id, n, component, coordinates, bands, text) of two blocks of a bucket of
     band `at`. Pairs that are connected by now are passed over."""
-    parent: dict[bytes, bytes] = {}
+    parent: dict[int, int] = {}
 
-    def root(c: bytes) -> bytes:
+    def root(c: int) -> int:
         while c in parent:
             c = parent[c]
         return c
@@ -241,19 +241,22 @@ def rest_of_buckets(members: DataFrame, sets: DataFrame, texts: DataFrame, shing
         of = [(True, left[k]) for k, _ in found] + [(False, right[i]) for i in again]
         return [(*key, side, *r[:3]) for side, r in of]
 
-    alike = cut(by_block(signed, likely, "bucket long, i int, j int, at int, left boolean, set_id binary, n long, component binary"), "minhash-alike")
+    alike = cut(by_block(signed, likely, "bucket long, i int, j int, at int, left boolean, set_id long, n long, component long"), "minhash-alike")
     told = alike.join(marks, "set_id").join(texts, "set_id").select(*order, "coordinates", "bands", "t")
-    return by_block(told, lambda key, left, right: links_in_block(key[3], left, right, shingle, percent), "a binary, b binary")
+    return by_block(told, lambda key, left, right: links_in_block(key[3], left, right, shingle, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """(id, n_shingles, set_id, component_id, uid, component) for every row of docs. component_id is the least id of a
     component; where ids repeat or are null, `component` tells components apart (null: no shingles), and `uid` (a hash of id
     and text) rows."""
-    marks = cut(signatures(docs, key, text, shingle, bands, rows), "minhash-marks")
-    sets = marks.where("set_id is not null").groupBy("set_id").agg(
+    signed = cut(signatures(docs, key, text, shingle, bands, rows), "minhash-signed")
+    sets = signed.where("set_id is not null").groupBy(F.col("set_id").alias("md5")).agg(
         F.min("id").alias("least"), F.min("uid").alias("uid"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("coordinates").alias("coordinates"))
-    sets = cut(sets, "minhash-sets")
+    # numbered as written, so that what is dealt into buckets is short
+    sets = cut(sets.withColumn("set_id", F.monotonically_increasing_id()), "minhash-sets")
+    marks = cut(signed.select("id", "uid", "n_shingles", "set_id"), "minhash-marks")
+    free(signed)
     places = sets.select("set_id", "n", F.posexplode("bands").alias("at", "h")).select("set_id", "n", "at", F.xxhash64("at", "h").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
     places = cut(places.join(cut(shared, "minhash-shared"), "bucket"), "minhash-places")
@@ -283,14 +286,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         edges = names.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b")
         if r < rounds:
             members = cut(places.join(spread.select("bucket"), "bucket").join(names.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "minhash-members")
+    free(texts, places)
+    of = sets.select("set_id", "md5", "least")
     if names is None:
-        of_set = sets.select("set_id", F.col("set_id").alias("component"), F.col("least").alias("component_id"))
+        of_set = of.select("md5", F.col("set_id").alias("component"), F.col("least").alias("component_id"))
     else:
-        of = sets.select("set_id", "least").join(names.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        of = cut(of, "minhash-of")
+        of = cut(of.join(names.select(F.col("id").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "minhash-of")
         least = cut(of.groupBy("component").agg(F.min("least").alias("component_id")), "minhash-least")
-        of_set = cut(of.join(least, "component").select("set_id", "component", "component_id"), "minhash-names")
-    out = marks.select("id", "n_shingles", "set_id", "uid").join(of_set, "set_id", "left")
+        of_set = cut(of.join(least, "component").select("md5", "component", "component_id"), "minhash-names")
+    out = marks.join(of_set.withColumnRenamed("md5", "set_id"), "set_id", "left")
     return out.select("id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "uid", "component")
 
 
