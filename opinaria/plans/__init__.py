@@ -74,7 +74,7 @@ def run_all(reviews: DataFrame, business: DataFrame, users_min: int = USERS_MIN,
 
 
 def all_flows(reviews: DataFrame, business: DataFrame, users_min: int = USERS_MIN, bots_min: int = BOTS_MIN, k: int = CITIES) -> DataFrame:
-    """(flow, name, value): the rows of all five flows."""
+    """(flow, name, value): the rows of all five flows. What `run_all` keeps stays until the session lets it go."""
     flows = run_all(reviews, business, users_min, bots_min, k)
     named = [("top_users", "user_id", "reviews"), ("best_users", "user_id", "reviews"), ("bot_users", "user_id", "reviews"), ("weekday_histogram", "weekday", "reviews"), ("funniest_cities", "city", "funny")]
     parts = [flows[f].select(F.lit(f).alias("flow"), F.col(name).cast("string").alias("name"), F.col(value).alias("value")) for f, name, value in named]
