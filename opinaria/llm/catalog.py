@@ -1,7 +1,7 @@
 """The registered queries of the numbered operators, and their SQL."""
 from __future__ import annotations
 
-from . import bpe, embeddings, line_dedup, lm, minhash, mixing, quality, secrets, sharding, toxicity
+from . import bpe, embeddings, line_dedup, lm, minhash, mixing, quality, secrets, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op8_bpe": bpe.query,
         "op9_minhash": minhash.query,
         "op10_embedding_dedup": embeddings.query,
+        "op11_token_counts": token_counts.query,
     }
 
 
