@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -152,7 +153,7 @@ class Merger:
             keep[at + 1] = False
             moved = at - np.arange(len(at))  # where the merged places lie once the others are gone
             symbols, sequence, pair = symbols[keep], sequence[keep], pair[keep]
-            touched = np.unique(np.concatenate((moved, moved[moved > 0] - 1)))
+            touched = np.concatenate((moved, moved[moved > 0] - 1))
             pair[touched] = self._at(symbols, sequence, touched)
         return left
 
@@ -194,22 +195,31 @@ class Tokenizer:
 
     def _forget(self) -> None:
         self.numbers: dict[str, int] = _Numbers()
-        self.counts = np.zeros(0, np.int64)
+        self.counts, self.wrong = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def count(self, texts: list[str]) -> list[int]:
         if len(self.counts) > REMEMBERED:
             self._forget()
-        found, special = [], []
-        number = self.numbers.__getitem__
+        number, found, special = self.numbers.__getitem__, [], []
         for text in texts:
             parts = self.cut(text) if self.cut and any(n in text for n in self.names) else [text]
             special.append(len(parts) - 1)
-            own = [np.fromiter(map(number, (self.split if part.isascii() or not self.is_later(part) else self.split_later)(part)), np.int32) for part in parts]
-            found.append(own[0] if len(own) == 1 else np.concatenate(own))
-        if len(self.numbers) > len(self.counts):
-            new = [p.encode() for p in list(self.numbers)[len(self.counts) :]]
-            self.counts = np.concatenate((self.counts, self.merger.count(new)))
-        return [int(self.counts[x].sum()) + s for x, s in zip(found, special)]
+            found.append([np.fromiter(map(number, self.split(part)), np.int32) for part in parts])
+        self._merge_new()
+        # a pre-token with a later letter was cut by the wrong tables; those of its text are cut again
+        if self.wrong.any():
+            for text, own in zip(texts, found):
+                if any(self.wrong[x].any() for x in own):
+                    own[:] = [np.fromiter(map(number, self.split_later(part)), np.int32) for part in (self.cut(text) if self.cut else [text])]
+            self._merge_new()
+        return [sum(int(self.counts[x].sum()) for x in own) + s for own, s in zip(found, special)]
+
+    def _merge_new(self) -> None:
+        """Counts the pre-tokens that have got a number since."""
+        new = list(islice(self.numbers, len(self.counts), None))
+        if new:
+            self.counts = np.concatenate((self.counts, self.merger.count([p.encode() for p in new])))
+            self.wrong = np.concatenate((self.wrong, np.fromiter((not p.isascii() and self.is_later(p) is not None for p in new), bool, len(new))))
 
 
 class _Numbers(dict):
