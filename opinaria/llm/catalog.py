@@ -1,7 +1,7 @@
 """The registered queries of the numbered operators, and their SQL."""
 from __future__ import annotations
 
-from . import bpe, embeddings, line_dedup, lm, minhash, mixing, quality, search, secrets, sharding, token_counts, toxicity
+from . import bpe, embeddings, line_dedup, lm, minhash, mixing, negatives, quality, search, secrets, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op9_minhash": minhash.query,
         "op10_embedding_dedup": embeddings.query,
         "op11_token_counts": token_counts.query,
+        "op12_hard_negatives": negatives.query,
         "op13_ranked_search": search.query,
     }
 
@@ -24,5 +25,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.SQL, "op4_secret_scan": secrets.SQL, "op6_line_dedup": line_dedup.SQL,
-        "op9_minhash": minhash.SQL, "op10_embedding_dedup": embeddings.SQL, "op13_ranked_search": search.SQL,
+        "op9_minhash": minhash.SQL, "op10_embedding_dedup": embeddings.SQL, "op12_hard_negatives": negatives.SQL, "op13_ranked_search": search.SQL,
     }
