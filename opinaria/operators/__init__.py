@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import DAYS, city_label, has_id, text_digest, weekday_name
 
 
+#: Rows and bytes of a dimension that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
 def at_least_one(value: int, what: str) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value < 1:
         raise ValueError(f"{what} must be a whole number of at least 1, not {value!r}")
@@ -75,8 +79,8 @@ def weekday_histogram(counts: DataFrame) -> DataFrame:
 
 
 def city_labels(business: DataFrame) -> DataFrame:
-    """business_id and its `City (State)`, one row for each id: repeated ids take the least label."""
-    return business.select("business_id", city_label().alias("city")).groupBy("business_id").agg(F.min("city").alias("city"))
+    """business_id and its `City (State)`, one row for each id: repeated ids take the least label. A null id is no business."""
+    return business.where(F.col("business_id").isNotNull()).select("business_id", city_label().alias("city")).groupBy("business_id").agg(F.min("city").alias("city"))
 
 
 def funny_reviews(reviews: DataFrame) -> DataFrame:
@@ -88,13 +92,29 @@ def funny_by_business(reviews: DataFrame) -> DataFrame:
     return count_by(funny_reviews(reviews), "business_id", name="funny")
 
 
-def funny_by_city(reviews: DataFrame, business: DataFrame) -> DataFrame:
+def dimension(business: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """city_labels(business), marked for broadcast if the businesses are found to be `rows` rows and `size` bytes of ids and
+    labels at most, else to be joined by a shuffle: Spark's own guess rests on the size of files, which says little about
+    compressed ones and nothing about what a plan makes of them. At most rows + 1 businesses are read to find out."""
+    head = business.select("business_id", city_label().alias("city")).limit(rows + 1)
+    found = head.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.concat(F.col("business_id").cast("string"), "city"))), F.lit(0)).alias("size")).first()
+    labels = city_labels(business)
+    return F.broadcast(labels) if found.rows <= rows and found.size <= size else labels.hint("merge")
+
+
+def funny_by_city(reviews: DataFrame, business: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Aggregates by business before the join, so that the join sees a row for each business. On a stream, where
-    aggregates can't be chained, the static businesses join first."""
+    aggregates can't be chained, the static businesses join first, as they are when the query starts; streaming.Flows joins
+    last and reads the businesses anew for each batch."""
+    labels = dimension(business, rows, size)
     if reviews.isStreaming:
-        return count_by(funny_reviews(reviews).join(city_labels(business), "business_id"), "city", name="funny")
-    joined = funny_by_business(reviews).join(city_labels(business), "business_id")
-    return joined.groupBy("city").agg(F.sum("funny").alias("funny"))
+        return count_by(funny_reviews(reviews).join(labels, "business_id"), "city", name="funny")
+    return funny_of(funny_by_business(reviews), labels)
+
+
+def funny_of(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(city, funny) of counts by business."""
+    return counts.join(labels, "business_id").groupBy("city").agg(F.sum("funny").alias("funny"))
 
 
 def top_k(df: DataFrame, k: int, by: str, tie: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """The analytical queries, each one DataFrame plan, and their one-row text reports."""
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import operators as O
 from ..functions import text_digest, weekday_short
+from ..sources.scratch import cut
+from ..sources.sinks import write_text
 
 USERS_MIN, BOTS_MIN, CITIES = 50, 5, 10
 
@@ -73,17 +77,29 @@ def run_all(reviews: DataFrame, business: DataFrame, users_min: int = USERS_MIN,
     }
 
 
-def all_flows(reviews: DataFrame, business: DataFrame, users_min: int = USERS_MIN, bots_min: int = BOTS_MIN, k: int = CITIES) -> DataFrame:
-    """(flow, name, value): the rows of all five flows. What `run_all` keeps stays until the session lets it go."""
-    flows = run_all(reviews, business, users_min, bots_min, k)
-    named = [("top_users", "user_id", "reviews"), ("best_users", "user_id", "reviews"), ("bot_users", "user_id", "reviews"), ("weekday_histogram", "weekday", "reviews"), ("funniest_cities", "city", "funny")]
-    parts = [flows[f].select(F.lit(f).alias("flow"), F.col(name).cast("string").alias("name"), F.col(value).alias("value")) for f, name, value in named]
+#: The column that names a row of each flow, and its value.
+FLOWS = {"top_users": ("user_id", "reviews"), "best_users": ("user_id", "reviews"), "bot_users": ("user_id", "reviews"), "weekday_histogram": ("weekday", "reviews"), "funniest_cities": ("city", "funny")}
+
+
+def together(flows: Mapping[str, DataFrame]) -> DataFrame:
+    """(flow, name, value): the rows of all five flows."""
+    parts = [flows[f].select(F.lit(f).alias("flow"), F.col(name).cast("string").alias("name"), F.col(value).alias("value")) for f, (name, value) in FLOWS.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def all_flows(reviews: DataFrame, business: DataFrame, users_min: int = USERS_MIN, bots_min: int = BOTS_MIN, k: int = CITIES) -> DataFrame:
+    """together() of `run_all`, worked out at once and written to the scratch folder, so that nothing is kept in memory."""
+    flows = run_all(reviews, business, users_min, bots_min, k)
+    try:
+        return cut(together(flows), "all-flows")
+    finally:
+        flows["profile"].unpersist()
+        flows["scan"].unpersist()
+
+
 # Reports: one row with one column `report`.
 
 #: Fixed text, after a report's head.
@@ -113,14 +129,29 @@ def _report_users(users: DataFrame, head: str) -> DataFrame:
     return out.select(F.concat(F.lit(head), F.when(F.col("items") == "", NOBODY).otherwise(F.col("items"))).alias("report"))
 
 
+def best_head(n: int) -> str:
+    return f"Users with +{n} reviews (only 5-stars): "
+
+
+def bots_head(n: int) -> str:
+    return f"Users with +{n} reviews (all with same text): "
+
+
 def report_best_users(reviews: DataFrame, n: int = USERS_MIN) -> DataFrame:
     """The text names all of best_users()."""
-    return _report_users(best_users(reviews, n), f"Users with +{n} reviews (only 5-stars): ")
+    return _report_users(best_users(reviews, n), best_head(n))
 
 
 def report_bot_users(reviews: DataFrame, n: int = BOTS_MIN) -> DataFrame:
     """The text names all of bot_users()."""
-    return _report_users(bot_users(reviews, n), f"Users with +{n} reviews (all with same text): ")
+    return _report_users(bot_users(reviews, n), bots_head(n))
+
+
+def write_user_report(users: DataFrame, head: str, out: str) -> None:
+    """The same text as part files, which joined by name are the report: for any number of users, as no task or row holds
+    more than its range of them."""
+    item = F.format_string("%s (%d)", F.col("user_id").cast("string"), F.col("reviews"))
+    write_text(users, [(-F.col("reviews")).alias("n"), F.col("user_id")], item, head, NOBODY, " ; ", out)
 
 
 def report_weekdays(reviews: DataFrame) -> DataFrame:

@@ -4,13 +4,18 @@ from __future__ import annotations
 import uuid
 
 from .. import operators as O, plans as P
-from ..sources import messages, read_businesses, read_reviews, read_reviews_with_rejects, scratch_dir, stream_reviews, union_streams, write_results
+from ..sources import (
+    BUSINESSES, REVIEWS, first_lines, messages, read_businesses, read_reviews, read_reviews_with_rejects, read_with_rejects, scratch_dir,
+    stream_parsed, stream_reviews, union_streams, write_results,
+)
+from .. import streaming as L
 from ..streaming import drain
 from . import testviews as V
+from .ledger import Ledger
 
 USERS, BEST, BOTS, CITIES = 50, 2, 3, 10
 NONE = 1_000_000  # a threshold that nobody meets
-SAMPLE = 100
+SAMPLE, FIRST = 100, 1000
 URGENT = "stars = 5 and funny >= 5 and text = '1-URGENT'"
 
 
@@ -27,6 +32,61 @@ def _rejects(s, d):
     return O.count_by(good, "user_id").unionByName(bad.selectExpr("'(rejected)' user_id", "line").groupBy("user_id").agg(V.F.count("line").alias("reviews")))
 
 
+def _folder(s, name):
+    return f"{scratch_dir(s)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _named_rejects(good, bad):
+    return O.count_by(good, "user_id").unionByName(O.count_by(bad.selectExpr("'(rejected)' user_id"), "user_id"))
+
+
+def _stream_rejects(s, d):
+    """The same of a stream: its records and its rejects, each written batch by batch."""
+    parsed, out = stream_parsed(s, V.dirty_lines(s, d), REVIEWS, maxFilesPerTrigger="2"), _folder(s, "split")
+    L.split_feed(parsed, REVIEWS, out, f"{out}-state", availableNow=True).awaitTermination()
+    return _named_rejects(*L.split_results(parsed, REVIEWS, out))
+
+
+def _business_rejects(s, d):
+    good, bad = read_with_rejects(s, V.dirty_business_lines(s, d), BUSINESSES)
+    cities = O.city_labels(good).groupBy(V.F.col("city").alias("name")).agg(V.F.count(V.F.lit(1)).alias("lines"))
+    return cities.unionByName(O.count_by(bad.select(V.F.col("reason").alias("name")), "name", name="lines"))
+
+
+def _stream_flows(s, d):
+    """All five flows of one streaming query over several batches."""
+    out = _folder(s, "flows")
+    flows = L.Flows(s, out, lambda: read_businesses(s, path), "flows", BOTS, BOTS, CITIES, buckets=4)
+    path, live = V.business_lines(s, d), stream_reviews(s, V.ordered_lines(s, d, 4), maxFilesPerTrigger="2")
+    L.run(L.flow_counts(live), flows, f"{out}-state", "update", availableNow=True).awaitTermination()
+    return P.together(flows.results())
+
+
+def _ledger_flows(s, d):
+    """Half of the reviews as a delivery of files, the others as a live feed that is merged into the stored profile."""
+    out = _folder(s, "ledger")
+    ledger, path = Ledger(s, out, 4), V.ordered_lines(s, d, 4)
+    files = [f"{path}/part-0000{i}*" for i in range(4)]
+    ledger.absorb(read_reviews(s, f"{path}/part-0000[01]*"), 1)
+    for i in (2, 3):
+        L.run(stream_reviews(s, files[i]), ledger.sink(f"feed-{i}"), f"{out}-state-{i}", availableNow=True).awaitTermination()
+    ledger.absorb(read_reviews(s, f"{path}/part-0000[01]*"), 1)  # again: nothing changes
+    return P.together(ledger.flows(read_businesses(s, V.business_lines(s, d)), BOTS, BOTS, CITIES))
+
+
+def _distinct(s, reviews):
+    out = _folder(s, "distinct")
+    L.distinct_counts(reviews, out, f"{out}-state", buckets=4, availableNow=True).awaitTermination()
+    return L.counted(reviews, out, buckets=4)
+
+
+def _written_report(s, users, head):
+    """The items of a report that was written in parts, the head before the first."""
+    out = _folder(s, "report")
+    P.write_user_report(users, head, out)
+    return s.read.option("lineSep", " ; ").text(out).where("value <> ''").withColumnRenamed("value", "item")
+
+
 def queries() -> dict:
     r, o, b, a = V.reviews, V.reviews_by_order, V.business, V.activity
     scan = lambda s, d: read_reviews(s, V.review_lines(s, d))
@@ -80,6 +140,20 @@ def queries() -> dict:
         "stream_bot_users": lambda s, d: drain(P.bot_users(a(s, d, True), BOTS)),
         "stream_weekday_counts": lambda s, d: drain(O.weekday_counts(r(s, d, True))),
         "stream_funniest_cities": lambda s, d: drain(P.funniest_cities(r(s, d, True), b(s, d), CITIES)),
+        "stream_all_flows": _stream_flows,
+        "stream_update_user_counts": lambda s, d: drain(O.count_by(O.guard(stream_reviews(s, V.ordered_lines(s, d, 4), maxFilesPerTrigger="1")), "user_id"), "update", keys=["user_id"], buckets=4),
+        "stream_update_user_profile": lambda s, d: drain(P.user_profile(r(s, d, True)), "update", keys=["user_id"], buckets=4),
+        "stream_distinct_text_pairs": lambda s, d: drain(O.distinct_pairs(r(s, d, True)), "append", keys=["user_id", "hashed_text"], buckets=4, merge={}),
+        "stream_distinct_text_counts": lambda s, d: _distinct(s, r(s, d, True)),
+        "stream_scan_rejects": _stream_rejects,
+        "scan_business_rejects": _business_rejects,
+        "ledger_flows": _ledger_flows,
+        "first_reviews": lambda s, d: messages(first_lines(s, V.ordered_lines(s, d), FIRST)).select("review_id", "user_id", "funny"),
+        "report_best_users_parts": lambda s, d: _written_report(s, P.best_users(o(s, d), BEST), P.best_head(BEST)),
+        "report_bot_users_parts": lambda s, d: _written_report(s, P.bot_users(a(s, d), BOTS), P.bots_head(BOTS)),
+        "funny_city_by_shuffle": lambda s, d: O.funny_by_city(r(s, d), b(s, d), 0, 0),
+        "stream_funny_city_by_broadcast": lambda s, d: drain(O.funny_by_city(r(s, d, True), b(s, d))),
+        "stream_funny_city_by_shuffle": lambda s, d: drain(O.funny_by_city(r(s, d, True), b(s, d), 0, 0)),
     }
 
 
@@ -151,5 +225,26 @@ def oracle_sql() -> dict[str, str]:
         "stream_scan_funniest_cities": top,
         "stream_messages_top_users": text_key(many),
     }
+    many_of = lambda name, where: flow(name, "user_id", "reviews", f"select user_id, count(*) reviews from reviews_by_order group by user_id having {where} and count(*) >= {BOTS}")
+    five = " union all ".join((
+        many_of("top_users", "true"), many_of("best_users", "count(*) = count(*) filter (where stars = 5)"), many_of("bot_users", "count(distinct md5(text)) = 1"),
+        flow("weekday_histogram", "weekday", "reviews", week), flow("funniest_cities", "city", "funny", top)))
+    items = lambda head, q: f"select concat(case when row_number() over (order by reviews desc, user_id) = 1 then '{head}' else '' end, {users}) item from ({q})"
+    kind = "case when business_id % 5 = 0 or business_id % 11 = 0 then 'not one JSON object' when business_id % 7 = 0 then 'no business_id' end"
+    sql |= {
+        "stream_all_flows": five,
+        "ledger_flows": five,
+        "stream_update_user_counts": text_key("select user_id, count(*) reviews from reviews_by_order group by user_id"),
+        "stream_update_user_profile": sql["user_profile"],
+        "stream_scan_rejects": sql["scan_rejects"],
+        "scan_business_rejects": f"select coalesce({kind}, {label}) as name, count(*) lines from business group by 1",
+        "first_reviews": f"select review_id, cast(user_id as varchar) user_id, cast(funny as bigint) funny from reviews_by_order r order by r.user_id, cast(split_part(review_id, '-', 2) as bigint), funny limit {FIRST}",
+        "report_best_users_parts": items(P.best_head(BEST), best),
+        "report_bot_users_parts": items(P.bots_head(BOTS), bots),
+        "funny_city_by_shuffle": cities,
+        "stream_funny_city_by_broadcast": cities,
+        "stream_funny_city_by_shuffle": cities,
+    }
+    sql |= {f"stream_{k}": sql[k] for k in ("distinct_text_pairs", "distinct_text_counts")}
     sql |= {f"stream_{k}": sql[k] for k in ("top_users", "best_users", "bot_users", "weekday_counts", "funniest_cities")}
     return {k: V.CTE + v for k, v in sql.items()}

@@ -75,6 +75,23 @@ def dirty_lines(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def ordered_lines(spark: SparkSession, sf_dir: str, files: int = 7) -> str:
+    """The same lines in several files, which put together by name go by order, line number and funny votes."""
+    path = f"{scratch_dir(spark)}/ordered-lines-{uuid.uuid4().hex[:12]}"
+    rows = _as_given(spark, sf_dir).select(F.split("review_id", "-").cast("array<long>").alias("at"), F.col("funny").cast("long").alias("votes"), F.to_json(F.struct("*")).alias("value"))
+    rows.repartitionByRange(files, "at", "votes").sortWithinPartitions("at", "votes").select("value").write.text(path)
+    return path
+
+
+def dirty_business_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Business lines, some cut off, some with a second object behind, some without an id, some with maps that aren't."""
+    path = f"{scratch_dir(spark)}/dirty-businesses-{uuid.uuid4().hex[:12]}"
+    rows = business(spark, sf_dir).selectExpr("business_id n", "if(business_id % 7 = 0, if(business_id % 2 = 0, null, ''), cast(business_id as string)) business_id", "city", "state", "if(business_id % 3 = 0, 'none', null) attributes", "map('Monday', '9-5') hours")
+    line = F.to_json(F.struct("business_id", "city", "state", "attributes", "hours"))
+    rows.select(F.when(F.expr("n % 5 = 0"), F.left(line, F.lit(20))).when(F.expr("n % 11 = 0"), F.concat(line, F.lit(' {"x": 1}'))).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
 def business_lines(spark: SparkSession, sf_dir: str) -> str:
     return _lines(business(spark, sf_dir).selectExpr("cast(business_id as string) business_id", "city", "state", "map('Monday', '9-5') hours"), "business-lines")
 

@@ -1,18 +1,31 @@
-"""Readers, writers and shared scratch space."""
+"""Readers, writers, stored tables and shared scratch space."""
 from .readers import (
+    BUSINESSES,
+    REVIEWS,
+    Feed,
     messages,
     normalize_businesses,
     normalize_reviews,
+    parse,
     read_businesses,
+    read_businesses_with_rejects,
     read_reviews,
     read_reviews_with_rejects,
+    read_with_rejects,
+    records,
+    rejects,
+    stream_parsed,
     stream_reviews,
     union_streams,
 )
-from .sinks import write_results
+from .keyed import KeyedTable
+from .ordered import first_lines
 from .scratch import cut, free, scoped, scratch_dir
+from .sinks import write_results, write_text
 
 __all__ = [
-    "cut", "free", "messages", "normalize_businesses", "normalize_reviews", "read_businesses", "read_reviews",
-    "read_reviews_with_rejects", "scoped", "scratch_dir", "stream_reviews", "union_streams", "write_results",
+    "BUSINESSES", "REVIEWS", "Feed", "KeyedTable", "cut", "first_lines", "free", "messages", "normalize_businesses",
+    "normalize_reviews", "parse", "read_businesses", "read_businesses_with_rejects", "read_reviews", "read_reviews_with_rejects",
+    "read_with_rejects", "records", "rejects", "scoped", "scratch_dir", "stream_parsed", "stream_reviews", "union_streams",
+    "write_results", "write_text",
 ]

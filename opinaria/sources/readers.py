@@ -1,9 +1,30 @@
-"""Review and business readers, batch and streaming, behind one normalizer."""
+"""Review and business readers, batch and streaming, behind one parser and one normalizer for each feed.
+
+A line of a feed is either a record or a reject, the same in batch and on streams. Blank lines are neither. A line is rejected
+if it isn't exactly one JSON object (cut off, followed by something else, an array, a plain value) or if a field that the feed
+needs is null or empty. Values that don't parse as their field's type become null, absent fields too; of a field that stands
+twice the last counts."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from .schemas import BUSINESS, BUSINESS_RAW, REVIEW, REVIEW_RAW
+
+#: JSON as its standard has it: no single quotes, no NaN.
+STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+#: Why a line is rejected.
+MALFORMED, NO_ID = "not one JSON object", "no "
+
+
+class Feed(NamedTuple):
+    """What a line holds: its fields as text, how they become typed columns, and the fields without which it is rejected."""
 
-from .schemas import BUSINESS, CORRUPT, REVIEW, REVIEW_RAW
+    raw: T.StructType
+    normalize: Callable[[DataFrame], DataFrame]
+    needs: tuple[str, ...] = ()
 
 
 def normalize_reviews(df: DataFrame) -> DataFrame:
@@ -18,50 +39,93 @@ def normalize_reviews(df: DataFrame) -> DataFrame:
 
 
 def normalize_businesses(df: DataFrame) -> DataFrame:
-    """Casts to the BUSINESS schema; absent columns become null."""
-    return df.select(
-        *(F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in BUSINESS)
-    )
+    """Casts to the BUSINESS schema; absent columns become null. Maps may be given as JSON text."""
+    given = {f.name: f.dataType for f in df.schema}
+
+    def col(name: str, kind: T.DataType) -> Column:
+        if name not in given:
+            return F.lit(None).cast(kind)
+        if isinstance(kind, T.MapType) and isinstance(given[name], T.StringType):
+            return F.from_json(F.col(name), kind, STRICT)
+        return F.col(name).try_cast(kind)
+
+    return df.select(*(col(f.name, f.dataType).alias(f.name) for f in BUSINESS))
+
+
+REVIEWS = Feed(REVIEW_RAW, normalize_reviews)
+BUSINESSES = Feed(BUSINESS_RAW, normalize_businesses, ("business_id",))
+
+
+def parse(lines: DataFrame, feed: Feed, value: str = "value") -> DataFrame:
+    """(line, reason, record): every line of any batch or streaming source that isn't blank, text or bytes. `reason` is null for
+    a record. One parse serves both outputs, `records` and `rejects`."""
+    text = F.col(value).cast("string")
+    rows = lines.where(F.trim(F.regexp_replace(text, r"[\t\r\n]", " ")) != "").select(text.alias("line"))
+    # in brackets, what follows an object makes the whole malformed, but for a bracket; such lines are tried in braces too
+    several = F.from_json(F.concat(F.lit("["), "line", F.lit("]")), T.ArrayType(feed.raw), STRICT)
+    inside = F.from_json(F.concat(F.lit('{"r":'), "line", F.lit("}")), T.StructType([T.StructField("r", T.StringType())]), STRICT)
+    one = (F.size("several") == 1) & ((F.instr("line", "]") == 0) | inside["r"].isNotNull())
+    rows = rows.withColumn("several", several)
+    rows = rows.select("line", F.when(F.coalesce(one, F.lit(False)), F.get("several", F.lit(0))).alias("record"))
+    reason = F.when(F.col("record").isNull(), MALFORMED)
+    for name in feed.needs:
+        reason = reason.when(F.coalesce(F.col(f"record.{name}"), F.lit("")) == "", NO_ID + name)
+    return rows.select("line", reason.alias("reason"), "record")
 
 
-def _scan(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
-    if fmt == "json":
-        return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    return spark.read.format(fmt).load(path)
+def records(parsed: DataFrame, feed: Feed) -> DataFrame:
+    return feed.normalize(parsed.where("reason is null").select("record.*"))
+
+
+def rejects(parsed: DataFrame) -> DataFrame:
+    return parsed.where("reason is not null").select("line", "reason")
+
+
+def read_with_rejects(spark: SparkSession, path: str, feed: Feed) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of NDJSON files."""
+    parsed = parse(spark.read.text(path), feed)
+    return records(parsed, feed), rejects(parsed)
+
+
+def stream_parsed(spark: SparkSession, path: str, feed: Feed, **options: str) -> DataFrame:
+    """`parse` over the lines of files as they arrive under `path`."""
+    return parse(spark.readStream.format("text").options(**options).load(path), feed)
+
+
+def _read(spark: SparkSession, path: str, fmt: str, feed: Feed) -> DataFrame:
+    return read_with_rejects(spark, path, feed)[0] if fmt == "json" else feed.normalize(spark.read.format(fmt).load(path))
 
 
 def read_reviews(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Reviews from NDJSON (blank lines are skipped, malformed lines give no review) or a columnar format."""
-    if fmt == "json":
-        return read_reviews_with_rejects(spark, path)[0]
-    return normalize_reviews(_scan(spark, path, fmt, REVIEW_RAW))
+    """Reviews from NDJSON or a columnar format."""
+    return _read(spark, path, fmt, REVIEWS)
 
 
-def _parsed(df: DataFrame, value: str) -> DataFrame:
-    schema = T.StructType([*REVIEW_RAW, T.StructField(CORRUPT, T.StringType())])
-    return df.select(F.col(value).alias("value"), F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
+def read_businesses(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Businesses from NDJSON or a columnar format."""
+    return _read(spark, path, fmt, BUSINESSES)
 
 
 def messages(df: DataFrame, value: str = "value") -> DataFrame:
     """Reviews from messages, each one JSON object in column `value` (text or bytes), of any batch or streaming source.
     Null, blank and malformed messages give no review."""
-    lines = df.where(F.trim(F.col(value).cast("string")) != "")
-    return normalize_reviews(_parsed(lines, value).where(F.col(f"r.{CORRUPT}").isNull()).select(*[f"r.{f.name}" for f in REVIEW_RAW]))
+    return records(parse(df, REVIEWS, value), REVIEWS)
 
 
 def read_reviews_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(reviews, rejected lines) of an NDJSON file. A malformed line is only in the second, as column `line`."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    return messages(lines), _parsed(lines, "value").where(F.col(f"r.{CORRUPT}").isNotNull()).select(F.col("value").alias("line"))
+    """(reviews, rejected lines) of an NDJSON file. A malformed line is only in the second."""
+    return read_with_rejects(spark, path, REVIEWS)
 
 
-def read_businesses(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Businesses from NDJSON or a columnar format."""
-    return normalize_businesses(_scan(spark, path, fmt, BUSINESS))
+def read_businesses_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(businesses, rejected lines) of an NDJSON file; lines without a business_id are rejected, too."""
+    return read_with_rejects(spark, path, BUSINESSES)
 
 
 def stream_reviews(spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType | None = None, **options: str) -> DataFrame:
-    """A streaming scan of files as they arrive under `path`, normalized like a batch scan."""
+    """A streaming scan of files as they arrive under `path`, with the same reviews as a batch scan of them."""
+    if fmt == "json" and schema is None:
+        return records(stream_parsed(spark, path, REVIEWS, **options), REVIEWS)
     return normalize_reviews(spark.readStream.format(fmt).schema(schema or REVIEW_RAW).options(**options).load(path))
 
 

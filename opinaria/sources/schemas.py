@@ -23,4 +23,5 @@ BUSINESS = T.StructType(
         T.StructField("hours", T.MapType(_S, _S)),
     ]
 )
-CORRUPT = "_corrupt_record"
+#: As in a file: all fields as text, maps as JSON text.
+BUSINESS_RAW = T.StructType([T.StructField(f.name, _S) for f in BUSINESS])
