@@ -24,6 +24,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_mix_sources": mixing.SQL, "op4_secret_scan": secrets.SQL, "op6_line_dedup": line_dedup.SQL,
+        "op2_mix_sources": mixing.SQL, "op3_quality_rules": quality.SQL, "op4_secret_scan": secrets.SQL, "op6_line_dedup": line_dedup.SQL,
         "op9_minhash": minhash.SQL, "op10_embedding_dedup": embeddings.SQL, "op12_hard_negatives": negatives.SQL, "op13_ranked_search": search.SQL,
     }

@@ -8,8 +8,11 @@
 3. thresholds: for each (lang, source) and feature, the median plus `width` times the distance from it to an outer quantile
    of the group's own sketch (and minus, where low values fail too). A group of n rows counts as n / (n + pull) of its own
    limit, its language's limit as the rest, on the scale of square roots: one formula at every size, without a least number
-   of rows. There are no fixed limits; the only slack is the sketch's own error.
-4. judge: rows joined with their group's thresholds.
+   of rows.
+4. judge: rows joined with their group's thresholds. A limit is a rate, and a text of n words may expect n times as many
+   events; counts scatter around that. A text fails if it has more than its limit lets it expect by CHANCE standard deviations
+   of a count (the root of what is expected) and CHANCE events. So where a group has none, because nine tenths of its texts
+   have no symbol, say, the limit is 0, but no text fails for four symbols, however short it is.
 
 Defined cases. Null or empty text: no words, fails the base rule. Very long texts: counted whole, in one pass. Null language
 or source: a group of its own. Ties: a value at its limit is kept. Repeated rows are judged alike, and each counts in the
@@ -29,16 +32,17 @@ from .common import slices, small
 
 SYMBOLS, SPACE, UPPER = b"#*$%&|<>", b" \t\n\x0b\x0c\r", bytes(range(65, 91))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "n_echo")
-#: Feature: (numerator, denominator, the outer quantile, whether low values fail too).
+#: Feature: (numerator, denominator, the outer quantile, whether low values fail too, what one event adds to the numerator: a
+#: word in capitals some letters, a repeated window its two times eight words; 0: no count of events).
 FEATURES = {
-    "mean_length": ("word_chars", "n_words", 0.9, True),
-    "symbols": ("n_symbols", "n_words", 0.9, False),
-    "upper": ("n_upper", "word_chars", 0.9, False),
-    "repeats": ("n_repeat_words", "n_words", 0.9, False),
-    "echo": ("n_echo", "n_words", 0.9, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.95, False),
+    "mean_length": ("word_chars", "n_words", 0.9, True, 0),
+    "symbols": ("n_symbols", "n_words", 0.9, False, 1),
+    "upper": ("n_upper", "word_chars", 0.9, False, 4),
+    "repeats": ("n_repeat_words", "n_words", 0.9, False, 16),
+    "echo": ("n_echo", "n_words", 0.9, False, 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.95, False, 1),
 }
-ALPHA, WIDTH, PULL = 0.01, 5.0, 400.0
+ALPHA, WIDTH, PULL, CHANCE = 0.01, 5.0, 400.0, 4.0
 
 
 def repeat_words(ids: np.ndarray, doc: np.ndarray, window: int = 8) -> np.ndarray:
@@ -140,6 +144,15 @@ def thresholds(rows: DataFrame, lang: str, source: str, width: float = WIDTH, pu
     return both.groupBy(lang, source).agg(*(F.max(F.when(F.col("feature") == k, F.struct("lo", "hi"))).alias(k) for k in FEATURES))
 
 
+def _outside(name: str) -> Column:
+    """Whether a row, joined with the limits `t`, is outside of a feature's."""
+    top, under, _, low, event = FEATURES[name]
+    if not event:
+        return (ratio(name) < F.col(f"t.{name}.lo")) | (ratio(name) > F.col(f"t.{name}.hi"))
+    expected = F.col(f"t.{name}.hi") * F.greatest(F.col(under), F.lit(1))
+    return F.col(top) > expected + CHANCE * F.sqrt(expected * event) + CHANCE * event
+
+
 def judge(docs: DataFrame, keep: list[str], lang: str = "lang", source: str = "source", text: str = "text", **parameters) -> DataFrame:
     """k0, k1... (the kept columns), COUNTS, base_failed, failed (array of the features outside their group's
     thresholds) and kept."""
@@ -148,7 +161,7 @@ def judge(docs: DataFrame, keep: list[str], lang: str = "lang", source: str = "s
     lang, source = f"k{n}", f"k{n + 1}"
     limits = small(cut(thresholds(rows, lang, source, **parameters), "quality-thresholds")).alias("t")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    failed = F.array_compact(F.array(*[F.when((ratio(k) < F.col(f"t.{k}.lo")) | (ratio(k) > F.col(f"t.{k}.hi")), F.lit(k)) for k in FEATURES]))
+    failed = F.array_compact(F.array(*[F.when(_outside(k), F.lit(k)) for k in FEATURES]))
     out = rows.alias("r").join(limits, F.expr(f"r.{lang} <=> t.{lang} and r.{source} <=> t.{source}"), "left").select("r.*", base.alias("base_failed"), failed.alias("failed"))
     return out.drop(lang, source).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
@@ -156,3 +169,50 @@ def judge(docs: DataFrame, keep: list[str], lang: str = "lang", source: str = "s
 def query(spark, sf_dir: str) -> DataFrame:
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     return out.select(F.col("k0").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
+
+
+def _sql() -> str:
+    """The query in SQL: counts by lists of words, sketches by grouping, limits by running sums."""
+    g, outer = (1 + ALPHA) / (1 - ALPHA), sorted({v[2] for v in FEATURES.values()})
+    real = lambda x: f"cast('{x!r}' as double)"  # noqa: E731  a plain number would be a decimal
+    long = " union all ".join(f"select uid, lang, source, '{k}' feature, cast({v[0]} as double) top, greatest({v[1]}, 1) under from c" for k, v in FEATURES.items())
+    at = {"mid": 0.5} | {f"{side}{i}": q if side == "up" else 1 - q for i, q in enumerate(outer) for side in ("up", "down")}
+    read = lambda by: f"select {by}, feature, max(rows) n_rows, " + ", ".join(f"min(case when run >= ceil(rows * {real(q)}) then value end) {k}" for k, q in at.items()) + (
+        f" from (select *, sum(n) over (partition by {by}, feature order by bucket nulls first rows unbounded preceding) run, sum(n) over (partition by {by}, feature) rows, case when bucket is null then 0 else 2 * pow({real(g)}, bucket) / ({real(g + 1)}) end as value"
+        f" from (select {by}, feature, bucket, count(*) n from v group by all)) group by all")
+    pick = lambda t, side: "case " + " ".join(f"when o.feature = '{k}' then {t}.{side}{outer.index(v[2])}" for k, v in FEATURES.items()) + " end"
+    limit = lambda t, side: f"greatest(0, {t}.mid + {WIDTH} * ({pick(t, side)} - {t}.mid))"
+    share = f"(o.n_rows / (o.n_rows + {real(PULL)}))"
+    drawn = lambda side: f"pow({share} * sqrt({limit('o', side)}) + (1 - {share}) * sqrt({limit('a', side)}), 2)"
+    low = ", ".join(f"'{k}'" for k, v in FEATURES.items() if v[3])
+    event = "case l.feature " + " ".join(f"when '{k}' then {v[4]}" for k, v in FEATURES.items()) + " end"
+    place = "case l.feature " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(FEATURES)) + " end"
+    e = "(hi * under)"
+    return f"""
+with d as (select row_number() over () uid, doc_id, lang, source, coalesce(text, '') t from documents),
+w as (select uid, unnest(x) word, generate_subscripts(x, 1) i from (select uid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') x from d)),
+win as (select uid, i, string_agg(word, ' ') over (partition by uid order by i rows between current row and 7 following) as gram, count(*) over (partition by uid order by i rows between current row and 7 following) n from w),
+again as (select uid, i from (select uid, i, count(*) over (partition by uid, gram) times from win where n = 8) where times > 1),
+rep as (select uid, count(distinct i + k) n from again, range(8) r(k) group by uid),
+ech as (select uid, count(*) n from (select uid, word, lag(word) over (partition by uid order by i) before from w) where word = before group by uid),
+lin as (select uid, count(*) n, count(distinct line) u from (select uid, unnest(string_split(t, chr(10))) line from d) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by uid),
+c as (select uid, doc_id, lang, source, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g')) n_upper,
+             coalesce(lin.n, 0) n_lines, coalesce(lin.n - lin.u, 0) n_dup_lines, coalesce(rep.n, 0) n_repeat_words, coalesce(ech.n, 0) n_echo
+      from d left join rep using (uid) left join ech using (uid) left join lin using (uid)),
+l as ({long}),
+v as (select lang, source, feature, case when top > 0 then cast(ceil(ln(top / under) / ln({real(g)})) as int) end bucket from l),
+o as ({read('lang, source')}),
+a as ({read('lang')}),
+t as (select o.lang, o.source, o.feature, case when o.feature in ({low}) then {drawn('down')} * {real(1 - 2 * ALPHA)} else -1 end lo, {drawn('up')} * {real(1 + 2 * ALPHA)} hi
+      from o join a on o.lang is not distinct from a.lang and o.feature = a.feature),
+f as (select uid, string_agg(l.feature, ',' order by {place}) failed
+      from l join t on l.lang is not distinct from t.lang and l.source is not distinct from t.source and l.feature = t.feature
+      where case when {event} = 0 then top / under < lo or top / under > hi else top > {e} + {CHANCE} * sqrt({e} * {event}) + {CHANCE} * {event} end group by uid)
+select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols, cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words,
+       n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and failed is null kept, coalesce(failed, '') failed
+from c left join f using (uid)
+"""
+
+
+SQL = _sql()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinaria.llm import quality as Q
+from tests.oracle import same
 
 
 def brute(text):
@@ -62,7 +63,7 @@ def test_kept_against_brute_force(spark):
     groups = {}
     for i, r in enumerate(rows):
         groups.setdefault((r.lang, r.source), []).append(i)
-    for k, (_, _, outer, low) in Q.FEATURES.items():
+    for k, (top, under, outer, low, event) in Q.FEATURES.items():
         for (lang, _), at in groups.items():
             def limits(of):
                 mid, up, down = (sketched(value[k][of], q) for q in (0.5, outer, 1 - outer))
@@ -71,11 +72,49 @@ def test_kept_against_brute_force(spark):
             a = len(at) / (len(at) + Q.PULL)
             hi, lo = ((a * np.sqrt(x) + (1 - a) * np.sqrt(y)) ** 2 for x, y in zip(own, all_of))
             for i in at:
-                keep[i] &= value[k][i] <= hi * (1 + 2 * Q.ALPHA) and (not low or value[k][i] >= lo * (1 - 2 * Q.ALPHA))
+                expected = hi * (1 + 2 * Q.ALPHA) * max(1, counts[under][i])
+                if event:
+                    keep[i] &= counts[top][i] <= expected + Q.CHANCE * np.sqrt(expected * event) + Q.CHANCE * event
+                else:
+                    keep[i] &= value[k][i] <= hi * (1 + 2 * Q.ALPHA) and (not low or value[k][i] >= lo * (1 - 2 * Q.ALPHA))
     got = {r.doc_id: r.kept for r in Q.query(spark, sf).collect()}
     assert got == {r.doc_id: bool(k) for r, k in zip(rows, keep)}
 
 
+def test_against_sql(spark):
+    assert same(Q.query(spark, "/root/testdata/sf0.01"), Q.SQL, "/root/testdata/sf0.01") > 0
+
+
+def test_good_and_junk(spark):
+    sf = "/root/testdata/sf0.1"
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    long = [(r.kept, quality[r.doc_id]) for r in Q.query(spark, sf).collect() if r.doc_id in quality and r.n_words >= 20]
+    good, junk = [k for k, q in long if q], [k for k, q in long if not q]
+    print(np.mean(good), np.mean(junk))
+    assert np.mean(good) > 0.97 and np.mean(junk) < 0.1
+
+
+def test_limits_of_nothing_drop_no_single_event(spark):
+    """Where nine tenths of a group have no symbol and no word twice in a row, the limits are 0; texts with a few stay, texts
+    full of them go."""
+    words = [f"{c}word{i:02d}" for c in "abcdefghij" for i in range(97)]
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(1500):
+        t = [words[k] for k in r.integers(0, len(words), 400)]
+        t = [w for j, w in enumerate(t) if not j or w != t[j - 1]]
+        if i % 20 == 0:
+            t[17] = "R&D"
+        if i % 13 == 0:
+            t[200] = t[201]
+        rows.append((i, " ".join(t), "en", "s"))
+    rows += [(9000 + i, " ".join(("# $" if j % 4 == 0 else "") + words[(i + 7 * j) % 900] for j in range(400)), "en", "s") for i in range(3)]
+    rows += [(9100 + i, " ".join(words[(i + j // 2) % 900] for j in range(400)), "en", "s") for i in range(3)]
+    got = {r.k0: r.failed for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
+    assert all(not f for i, f in got.items() if i < 9000)
+    assert all("symbols" in got[9000 + i] and "echo" in got[9100 + i] for i in range(3))
+
+
 def test_limits_follow_the_source(spark):
     """Two sources of one language, one of which writes long words: each is judged by its own kind, and a text that is
     common in one is an outlier in the other. A small source is judged by its language."""
