@@ -468,11 +468,19 @@ def count_phrases(rows: DataFrame) -> DataFrame:
             yield from _out(["context", "phrase", "n", "m"], [np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), np.bincount(where.ravel(), trained, len(pairs)).astype(np.int64), m])
 
     found = rows.select("h", "t").mapInArrow(run, "context long, phrase long, n long, m long")
-    pairs = found.groupBy("context", "phrase").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    # most often, then by hash, in one number
-    order = F.shiftleft(F.least("n", F.lit((1 << 16) - 1)), 47).bitwiseOR(F.col("phrase"))
-    best = pairs.groupBy("context").agg(F.max(order).alias("best"), F.max("n").alias("n_best"), F.sum("n").alias("total"), F.sum("m").alias("everywhere"))
-    return best.where("everywhere > 1 and total > 0").select("context", F.col("best").bitwiseAND(F.lit((1 << 47) - 1)).alias("best"), "n_best", "total")
+    return best_phrases(found.groupBy("context", "phrase").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+
+
+def best_phrases(pairs: DataFrame) -> DataFrame:
+    """pairs (context, phrase, n in training, m everywhere) -> (context, best, n_best, total): most often in training first, then
+    by larger hash. Count and hash make one number; where a count doesn't fit beside the hash, a decimal."""
+    bits, most = 47, (1 << 16) - 1
+    order = F.shiftleft(F.least("n", F.lit(most)), bits).bitwiseOR(F.col("phrase"))
+    hash_of = lambda kind: F.lit(1 << bits).cast(kind)
+    wide = F.when(F.col("n") >= most, F.col("n").cast("decimal(19,0)") * hash_of("decimal(16,0)") + F.col("phrase").cast("decimal(16,0)"))
+    best = pairs.groupBy("context").agg(F.max(order).alias("best"), F.max(wide).alias("wide"), F.max("n").alias("n_best"), F.sum("n").alias("total"), F.sum("m").alias("everywhere"))
+    phrase = F.when(F.col("wide").isNotNull(), F.pmod("wide", hash_of("decimal(16,0)")).cast("long")).otherwise(F.col("best").bitwiseAND(F.lit((1 << bits) - 1)))
+    return best.where("everywhere > 1 and total > 0").select("context", phrase.alias("best"), "n_best", "total")
 
 
 def _level(n_best: Column, others: Column) -> Column:

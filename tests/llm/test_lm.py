@@ -116,3 +116,11 @@ def test_sums_of_many_parts(spark, monkeypatch):
     monkeypatch.setattr(lm, "PART_WORDS", 7)
     monkeypatch.setattr(lm, "FAN_IN", 4)
     assert (lm.train(words, len(rows)).votes == one.votes).all()
+
+
+def test_best_phrase_of_very_frequent_ones(spark):
+    """The phrase that followed most often, also above 65,535 times; of equal counts that of the larger hash."""
+    big = (1 << 47) - 1
+    rows = [(1, 5, 70_000, 70_000), (1, big, 66_000, 66_000), (1, 9, 3, 3), (2, 5, 65_535, 65_535), (2, 8, 65_535, 65_536), (3, 5, 2, 2), (3, big, 1, 9), (4, 7, 0, 5), (5, 7, 1, 1), (6, 4, 3_000_000_000_000, 3_000_000_000_000), (6, big, 1, 1)]
+    got = lm.best_phrases(spark.createDataFrame(rows, "context long, phrase long, n long, m long")).collect()
+    assert sorted((r.context, r.best, r.n_best) for r in got) == [(1, 5, 70_000), (2, 8, 65_535), (3, 5, 2), (6, 4, 3_000_000_000_000)]
