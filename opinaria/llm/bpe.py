@@ -3,8 +3,8 @@
 1. pieces: the distinct matches of the splitting pattern over the whole corpus, counted in one shuffle.
 2. replay: an inverted index maps the rank of a pair of neighbours to the positions where it stands in a table of pieces,
    each spelled in single bytes. Merges are replayed in rank order over all pieces at once; each touches only the two
-   neighbours of a merged pair and moves them in the index. Pieces that make up at least a 2^-17th of the corpus, of which
-   there can be 2^17 at most, are replayed once for the whole corpus, and the result is broadcast (20 MB).
+   neighbours of a merged pair and moves them in the index. Pieces of up to 256 bytes that make up at least a 2^-17th of the
+   corpus, of which there can be 2^17 at most, are replayed once for the whole corpus, and the result is broadcast (20 MB).
 3. texts: ids are looked up. Pieces that are rarer than that are replayed over large parts of the corpus at a time (`PART`
    characters), where each is merged once; joining a table of them back to the texts would move more than all texts.
 
@@ -33,6 +33,8 @@ from .common import slices
 PART, SPLIT = 1 << 24, 1 << 21
 #: A piece is frequent from this share of all pieces on.
 FREQUENT_BITS = 17
+#: A piece of more bytes is a rare one however often it stands, so that what comes to the driver is bounded.
+FREQUENT_BYTES = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,7 +160,8 @@ class Numbers(dict):
 
 
 def frequent_pieces(docs: DataFrame, pattern: str, text: str = "text", bits: int = FREQUENT_BITS) -> list[str]:
-    """The pieces that make up at least a 2^-bits-th of all pieces of the corpus, 2^bits at most, in their own order."""
+    """The pieces that make up at least a 2^-bits-th of all pieces of the corpus and aren't long, 2^bits at most, in their own
+    order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -182,7 +185,7 @@ def frequent_pieces(docs: DataFrame, pattern: str, text: str = "text", bits: int
 
     pieces = cut(docs.select(text).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "bpe-pieces")
     total = pieces.agg(F.sum("n")).first()[0] or 0
-    out = sorted(r.piece for r in pieces.where(F.col("n") * (1 << bits) >= total).select("piece").collect())
+    out = sorted(r.piece for r in pieces.where((F.col("n") * (1 << bits) >= total) & (F.octet_length("piece") <= FREQUENT_BYTES)).select("piece").collect())
     free(pieces)
     return out
 

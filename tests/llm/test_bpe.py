@@ -62,3 +62,11 @@ def test_frequent_pieces(spark):
     assert bpe.frequent_pieces(df, P.PATTERN, bits=4) == [" a", " b", " c", "a"]
     assert len(bpe.frequent_pieces(df, P.PATTERN)) == 4 + 200
     assert bpe.frequent_pieces(df.limit(0), P.PATTERN) == []
+
+
+def test_long_frequent_pieces_stay_out_of_the_driver(spark):
+    """One piece that is half of a corpus, but long: it is replayed where it stands."""
+    df = spark.createDataFrame([(1, "x" * 5_000_000), (2, " a"), (3, "é" * 200)], "doc_id long, text string")
+    assert bpe.frequent_pieces(df, P.PATTERN) == [" a"]
+    got = {r.doc_id: r.ids for r in bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
+    assert got == {1: ENC.encode_ordinary("x" * 5_000_000), 2: ENC.encode_ordinary(" a"), 3: ENC.encode_ordinary("é" * 200)}
