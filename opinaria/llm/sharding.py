@@ -23,6 +23,8 @@ from opinaria.sources.scratch import cut
 from .common import numbers, whole
 
 SPACE, FANOUT, INTERVALS = 1 << 63, 64, 512
+#: Equal rows that one step tells apart.
+PIECE = 100_000
 
 
 def sort_key(key: str, text: str) -> Column:
@@ -96,7 +98,15 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
     pick = lambda xs: F.element_at(numbers(xs), F.col("i"))
     upto = F.sum("n").over(W.partitionBy("i").orderBy("k", F.col("id").cast("string"), "size", "crc").rowsBetween(W.unboundedPreceding, 0))
     out = rows.withColumn("i", interval("k", [lo for lo, *_ in found])).withColumn("before", upto - F.col("n"))
-    out = out.select("*", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("row"))
+    each = F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("row")
+    if rows.where(F.col("n") > PIECE).isEmpty():
+        out = out.select("*", each)
+    else:
+        # equal rows that are very many are told apart by many tasks, a piece of them at a time
+        out = cut(out, "shard-placed")
+        piece = out.where(F.col("n") > PIECE).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PIECE}"))).alias("piece"))
+        piece = piece.repartition("i", "before", "piece").withColumn("before", F.col("before") + F.col("piece") * PIECE).withColumn("n", F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE)).drop("piece")
+        out = out.where(F.col("n") <= PIECE).unionByName(piece).select("*", each)
     to, shift = pick(owner), pick(first)
     for i, lo, s, by in pieces:  # in order, so the last that applies holds
         here = (F.col("i") == i) & (F.col("row") >= lo)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from opinaria.llm import sharding as S
 
@@ -15,8 +16,9 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_laws(spark, name):
+@pytest.mark.parametrize("name, piece", [*((name, S.PIECE) for name in CASES), ("equal", 7), ("edges", 1)])
+def test_laws(spark, name, piece, monkeypatch):
+    monkeypatch.setattr(S, "PIECE", piece)
     rows = CASES[name]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as size", "2 as shard", "3 as _k0", "4 as id", "5 as k", "6 as n")
     got = S.shard(df).collect()
@@ -31,3 +33,11 @@ def test_laws(spark, name):
     again = S.shard(df.repartition(5)).collect()
     key = lambda r: (r.doc_id or 0, r.size, r.text_crc32, r.shard, r.slot)
     assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_very_many_equal_rows(spark):
+    """Told apart piece by piece: no array or task holds them all."""
+    n = 3_000_000
+    df = spark.range(n).selectExpr("7L doc_id", "'same' text").union(spark.range(1000).selectExpr("id + 10", "cast(id as string)"))
+    got = S.shard(df).groupBy("shard").agg(F.count("slot").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("last")).collect()
+    assert sum(r.n for r in got) == n + 1000 and all(r.n == r.d == r.last + 1 for r in got) and len(got) == 8
