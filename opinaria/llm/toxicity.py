@@ -335,13 +335,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def keep_below(docs: DataFrame, model: Model, limit: float, text: str = "text") -> DataFrame:
     """Rows of docs, with all their columns, whose text scores below the limit; no row moves."""
+    # a plan with Python takes no names with dots
+    plain, own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index(text)}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match, w = matcher(model), np.array(model.weights)
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches, own):
             z = np.array([counts(match(t)) for t in texts]).reshape(-1, len(w)) @ w + model.bias
             yield part.filter(pa.array(1 / (1 + np.exp(-z)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -57,3 +57,15 @@ def test_edges(spark, tmp_path, rows):
         docs = spark.read.parquet(str(tmp_path / name))
     assert (docs.count() > 0) == bool(rows)
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_columns_of_any_name_and_type(spark, tmp_path):
+    """Further columns, a map and names that the stages use among them, pass through all stages but the last."""
+    rows = [(i % 7 if i % 7 else None, f"line {i % 5} of one text with quite some words\nsecond line of it, and a third one too\n{'end ' * 6}{i % 5}", "en", f"s{i % 2}", i) for i in range(30)] + [(9, None, None, None, None), (9, "", "en", "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "map('k', n_chars) row", "array(n_chars) uid", "1 _copy", "2 _lines", "'x' component", "3 k0", "4 `a.b`")
+    for name, stage in P.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs, before = spark.read.parquet(str(tmp_path / name)), docs
+        assert docs.schema.names == before.schema.names and 0 < docs.count() <= 2 * before.count()
+    assert P.STAGES[-1][1](spark, docs, SF).count() == docs.count()
