@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -49,11 +50,22 @@ def activity(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFram
     )
 
 
-def _lines(df: DataFrame, name: str) -> str:
-    """`df` as a folder of NDJSON files."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
-    return path
+#: Folders of lines that this application has written.
+_folders: dict[tuple[str, str, str], str] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, lines: Callable[[], DataFrame]) -> str:
+    """A folder of text files with what `lines` gives in column `value`; written once for each session and input."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _folders:
+        path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        lines().select("value").write.text(path)
+        _folders[key] = path
+    return _folders[key]
+
+
+def _json(df: DataFrame) -> DataFrame:
+    return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
 def _as_given(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,36 +76,39 @@ def _as_given(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_lines(spark: SparkSession, sf_dir: str) -> str:
-    return _lines(_as_given(spark, sf_dir), "review-lines")
+    return _written(spark, sf_dir, "review-lines", lambda: _json(_as_given(spark, sf_dir)))
 
 
 def dirty_lines(spark: SparkSession, sf_dir: str) -> str:
     """The same lines, those with one funny vote cut off in the middle."""
-    path = f"{scratch_dir(spark)}/dirty-lines-{uuid.uuid4().hex[:12]}"
-    rows = _as_given(spark, sf_dir).select("funny", F.to_json(F.struct("*")).alias("value"))
-    rows.select(F.when(F.col("funny") == "1", F.expr("left(value, 40)")).otherwise(F.col("value")).alias("value")).write.text(path)
-    return path
+    def lines() -> DataFrame:
+        rows = _as_given(spark, sf_dir).select("funny", F.to_json(F.struct("*")).alias("value"))
+        return rows.select(F.when(F.col("funny") == "1", F.expr("left(value, 40)")).otherwise(F.col("value")).alias("value"))
+
+    return _written(spark, sf_dir, "dirty-lines", lines)
 
 
 def ordered_lines(spark: SparkSession, sf_dir: str, files: int = 7) -> str:
     """The same lines in several files, which put together by name go by order, line number and funny votes."""
-    path = f"{scratch_dir(spark)}/ordered-lines-{uuid.uuid4().hex[:12]}"
-    rows = _as_given(spark, sf_dir).select(F.split("review_id", "-").cast("array<long>").alias("at"), F.col("funny").cast("long").alias("votes"), F.to_json(F.struct("*")).alias("value"))
-    rows.repartitionByRange(files, "at", "votes").sortWithinPartitions("at", "votes").select("value").write.text(path)
-    return path
+    def lines() -> DataFrame:
+        rows = _as_given(spark, sf_dir).select(F.split("review_id", "-").cast("array<long>").alias("at"), F.col("funny").cast("long").alias("votes"), F.to_json(F.struct("*")).alias("value"))
+        return rows.repartitionByRange(files, "at", "votes").sortWithinPartitions("at", "votes")
+
+    return _written(spark, sf_dir, f"ordered-lines-{files}", lines)
 
 
 def dirty_business_lines(spark: SparkSession, sf_dir: str) -> str:
     """Business lines, some cut off, some with a second object behind, some without an id, some with maps that aren't."""
-    path = f"{scratch_dir(spark)}/dirty-businesses-{uuid.uuid4().hex[:12]}"
-    rows = business(spark, sf_dir).selectExpr("business_id n", "if(business_id % 7 = 0, if(business_id % 2 = 0, null, ''), cast(business_id as string)) business_id", "city", "state", "if(business_id % 3 = 0, 'none', null) attributes", "map('Monday', '9-5') hours")
-    line = F.to_json(F.struct("business_id", "city", "state", "attributes", "hours"))
-    rows.select(F.when(F.expr("n % 5 = 0"), F.left(line, F.lit(20))).when(F.expr("n % 11 = 0"), F.concat(line, F.lit(' {"x": 1}'))).otherwise(line).alias("value")).write.text(path)
-    return path
+    def lines() -> DataFrame:
+        rows = business(spark, sf_dir).selectExpr("business_id n", "if(business_id % 7 = 0, if(business_id % 2 = 0, null, ''), cast(business_id as string)) business_id", "city", "state", "if(business_id % 3 = 0, 'none', null) attributes", "map('Monday', '9-5') hours")
+        line = F.to_json(F.struct("business_id", "city", "state", "attributes", "hours"))
+        return rows.select(F.when(F.expr("n % 5 = 0"), F.left(line, F.lit(20))).when(F.expr("n % 11 = 0"), F.concat(line, F.lit(' {"x": 1}'))).otherwise(line).alias("value"))
+
+    return _written(spark, sf_dir, "dirty-businesses", lines)
 
 
 def business_lines(spark: SparkSession, sf_dir: str) -> str:
-    return _lines(business(spark, sf_dir).selectExpr("cast(business_id as string) business_id", "city", "state", "map('Monday', '9-5') hours"), "business-lines")
+    return _written(spark, sf_dir, "business-lines", lambda: _json(business(spark, sf_dir).selectExpr("cast(business_id as string) business_id", "city", "state", "map('Monday', '9-5') hours")))
 
 
 #: The same views for DuckDB.
