@@ -13,6 +13,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -124,7 +126,8 @@ class KeyedTable:
 
     def _merged(self, rows: DataFrame, kept: DataFrame) -> DataFrame:
         if self.how is None:
-            stay = kept.join(rows.select(*self.keys), self.keys, "left_anti")
+            same = reduce(and_, (F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in self.keys))  # a null key is a key
+            stay = kept.alias("old").join(rows.select(*self.keys).alias("new"), same, "left_anti")
             return stay.unionByName(rows.where(~F.col("_gone")).drop("_gone"))
         return combined(kept.unionByName(rows.drop("_gone")), [*self.keys, "_bucket"], self.how)
 

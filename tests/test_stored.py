@@ -34,6 +34,7 @@ def test_rows_replace_and_go(spark, tmp_path):
     assert rows(t.read()) == [(None, 7)] and rows(t.read("w", 2)) == [("a", 1), ("b", 5), ("d", 4)]
     again = KeyedTable(spark, str(tmp_path / "t"), USERS, ["user_id"], 4)
     assert rows(again.read()) == [(None, 7)] and again.last("w") == 3
+    assert again.apply(named(spark, (None, 8)), 4, "w") and rows(again.read()) == [(None, 8)]
     assert len(glob.glob(str(tmp_path / "t/commits/version=*.json"))) == 2
     with pytest.raises(ValueError):
         KeyedTable(spark, str(tmp_path / "t"), USERS, ["user_id"], 5).read()
