@@ -10,8 +10,9 @@ the positive's score.
    most); a block with many points is cut by hash into ones of about `BLOCK`. Every point is in a block.
 3. trees: in a block with the largest norm M, a vector x is augmented by the component sqrt(M^2 - |x|^2), so all lie on one
    sphere, and the inner product with an anchor, which gets a 0, falls with the angle. A cover tree halves the covering angle
-   from level to level; a node keeps its points' largest angle to its centre. For an anchor at the angle t to the centre, that
-   angle c bounds inner products by |a| M cos(t - c) and |a| M cos(t + c).
+   from level to level; a node keeps its points' least and largest angle to its centre. For an anchor at the angle t to the
+   centre, the largest, c, bounds inner products by |a| M cos(t - c) and |a| M cos(t + c), the least, b, by |a| M cos(b - t).
+   Points too far apart to be covered by few centres, as most are in many dimensions, lie in rings around their node's.
 4. descent: best first, the node with the largest bound before others, for all anchors that still ask for it together. A node
    goes when its bounds lie outside of an anchor's windows, or below what the anchor has found already. Leaves are verified
    in whole numbers.
@@ -35,18 +36,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from opinaria.sources.scratch import cut
+from opinaria.sources.scratch import cut, free
 
 from .common import small
 
-#: Points of a block; points of a leaf; most centres; anchors and bytes of vectors sent at once.
-BLOCK, LEAF, CENTRES, ANCHORS, SENT = 4096, 64, 1024, 32_768, 32 << 20
+#: Points of a block; points of a leaf; centres with few points that end a level; most centres of blocks; anchors and bytes of
+#: vectors sent at once.
+BLOCK, LEAF, THIN, CENTRES, ANCHORS, SENT = 4096, 64, 8, 1024, 32_768, 32 << 20
 SCALE, LARGEST = 256, 1 << 28
 LOW, LAST = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
 
 
 class Tree:
-    """A cover tree over one block's points: nodes with a centre, a covering angle and either children or points."""
+    """A cover tree over one block's points: nodes with a centre, their points' least and largest angle to it, and children."""
 
     def __init__(self, points: np.ndarray):
         self.points = points
@@ -56,7 +58,7 @@ class Tree:
         scale = self.size or 1.0
         self.on_sphere = np.column_stack((x, np.sqrt(np.maximum(0, self.size**2 - norms)))) / scale
         self.centres: list[int] = []
-        self.angles: list[float] = []
+        self.angles: list[tuple[float, float]] = []
         self.children: list[list[int]] = []
         self.members: list[np.ndarray] = []
         if len(points):
@@ -66,37 +68,57 @@ class Tree:
     def _angle(self, centre: int, of: np.ndarray) -> np.ndarray:
         return np.arccos(np.clip(self.on_sphere[of] @ self.on_sphere[centre], -1, 1))
 
+    def _add(self, parent: int, centre: int, of: np.ndarray, angle: np.ndarray) -> int:
+        number = len(self.centres)
+        self.centres.append(centre)
+        self.angles.append((float(angle.min()) - 1e-7, float(angle.max()) + 1e-7))
+        self.children.append([])
+        self.members.append(of)
+        if parent >= 0:
+            self.children[parent].append(number)
+        return number
+
     def _node(self, centre: int, of: np.ndarray, angle: np.ndarray) -> None:
-        """Makes a node and, level by level, those below: each point goes to the first centre that covers it at half the angle."""
+        """Makes a node and, level by level, those below: each point goes to the first centre that covers it at half the angle.
+        Centres that cover few points don't become nodes; once THIN of them have been met, the points of this level are too
+        far apart to be covered. What is left so goes into leaves, by rings around the node's centre."""
         todo = [(-1, centre, of, angle)]
         while todo:
             parent, centre, of, angle = todo.pop()
-            number, widest = len(self.centres), float(angle.max())
-            self.centres.append(centre)
-            self.angles.append(widest + 1e-7)
-            self.children.append([])
-            self.members.append(of)
-            if parent >= 0:
-                self.children[parent].append(number)
+            number, widest = self._add(parent, centre, of, angle), float(angle.max())
             if len(of) <= LEAF or widest < 1e-6:
                 continue
-            left, at = of, angle
+            left, at, last, loose, thin = of, angle, centre, [], 0
             while len(left):
                 own = at <= widest / 2
-                if not own.any():  # the centre's own points are covered: a new centre, the farthest from the last
-                    centre = int(left[np.argmax(at)])
-                    at = self._angle(centre, left)
+                if not own.any():  # the last centre's own points are covered: a new centre, the farthest from it
+                    last = int(left[np.argmax(at)])
+                    at = self._angle(last, left)
                     own = at <= widest / 2
-                    own[left == centre] = True
-                todo.append((number, centre, left[own], at[own]))
+                    own[left == last] = True
+                if own.sum() * 8 < LEAF:
+                    loose.append(left[own])
+                    thin += 1
+                else:
+                    todo.append((number, last, left[own], at[own]))
                 left, at = left[~own], at[~own]
+                if thin == THIN:
+                    loose.append(left)
+                    break
+            if loose:
+                loose = np.concatenate(loose)
+                at = self._angle(centre, loose)
+                order = np.argsort(at, kind="stable")
+                for lo in range(0, len(loose), LEAF):
+                    ring = order[lo : lo + LEAF]
+                    self._add(number, centre, loose[ring], at[ring])
 
     def bounds(self, node: int, anchors: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(least, most) inner product of each anchor with the points below a node. anchors: of length 1."""
         angle = np.arccos(np.clip(anchors @ self.on_sphere[self.centres[node], :-1], -1, 1))
-        reach, spread = sizes * self.size, self.angles[node]
+        reach, (inner, outer) = sizes * self.size, self.angles[node]
         slack = reach * 1e-9 + 0.5
-        return reach * np.cos(np.minimum(np.pi, angle + spread)) - slack, reach * np.cos(np.maximum(0, angle - spread)) + slack
+        return reach * np.cos(np.minimum(np.pi, angle + outer)) - slack, reach * np.cos(np.maximum(0, np.maximum(angle - outer, inner - angle))) + slack
 
 
 class Best:
@@ -186,11 +208,13 @@ def _blocks(rows: DataFrame, keep: int) -> DataFrame:
     points = cut(points.select(F.monotonically_increasing_id().alias("pid"), "label", "q", "own"), "negatives-points")
     n = points.count()
     sample = [r.q for r in points.orderBy(F.xxhash64("q", "label"), "pid").limit(min(CENTRES, n // (4 * BLOCK))).select("q").collect()]
-    dealt = cut(points.select("pid", "label", F.size("q").alias("dim"), _cell(sample, "q").alias("cell")), "negatives-cells")
-    parts = small(cut(dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "negatives-parts"))
+    cells = cut(points.select("pid", "label", F.size("q").alias("dim"), _cell(sample, "q").alias("cell")), "negatives-cells")
+    parts = small(cut(cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "negatives-parts"))
     block = F.xxhash64("label", "dim", "cell", F.pmod(F.xxhash64("pid"), F.col("parts"))).alias("block")
-    dealt = dealt.join(parts, ["label", "dim", "cell"]).select("pid", block)
-    return cut(points.join(dealt, "pid").select("block", "label", "pid", "q", F.explode("own").alias("own")).select("block", "label", "pid", "q", "own.id", "own.rid"), "negatives-index")
+    dealt = cells.join(parts, ["label", "dim", "cell"]).select("pid", block)
+    index = cut(points.join(dealt, "pid").select("block", "label", "pid", "q", F.explode("own").alias("own")).select("block", "label", "pid", "q", "own.id", "own.rid"), "negatives-index")
+    free(points, cells)
+    return index
 
 
 def _cell(centres: list[list[int]], q: str) -> Column:
@@ -321,6 +345,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, key: str = "vec_id", v
         of = spark.createDataFrame([x[:4] for x in kept], "window long, anchor_id long, positive_id long, positive_score long")
         best = _ranked(_search(index, asked, negatives, False), negatives).join(F.broadcast(of), "window")
         out = out.unionByName(cut(best.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives-found"))
+    free(rows, index)
     return out
 
 

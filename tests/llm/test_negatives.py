@@ -81,7 +81,9 @@ def test_tree():
     for node, members in enumerate(tree.members):
         low, high = tree.bounds(node, anchors / sizes[:, None], sizes)
         assert (scores[:, members].min(1) >= low).all() and (scores[:, members].max(1) <= high).all()
-        assert all(tree.angles[c] <= tree.angles[node] / 2 + 1e-6 for c in tree.children[node])
+        for c in tree.children[node]:
+            ring = not tree.children[c] and tree.centres[c] == tree.centres[node]
+            assert set(tree.members[c]) <= set(members) and (ring or tree.angles[c][1] <= tree.angles[node][1] / 2 + 1e-6)
     n = len(anchors)
     best = N.Best(np.full(n, N.LOW + 1), np.full(n, N.LAST), 5)
     every = np.arange(len(points))
