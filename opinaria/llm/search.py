@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from opinaria.sources.scratch import cut
+from opinaria.sources.scratch import cut, free
 
 from .common import slices, small
 
@@ -237,13 +237,15 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
         if block.asked:
             names = T.StructType([T.StructField("item", T.IntegerType()), T.StructField("i", items.schema[item].dataType)])
             of = spark.createDataFrame(list(enumerate(block.keys)), names)
-            found = _search(spark, docs, block, key, text, k).join(F.broadcast(of), "item")
+            rows = cut(counted(docs, block.numbers, key, text), "search-terms")
+            found = _search(rows, block, k).join(F.broadcast(of), "item")
             out = out.unionByName(cut(found.select("i", "rank", F.col("doc").alias("d"), "score"), "search-best"))
+            free(rows)
     return out.select(F.col("i").alias(item), "rank", F.col("d").alias(key), "score")
 
 
-def _search(spark: SparkSession, docs: DataFrame, block: Block, key: str, text: str, k: int) -> DataFrame:
-    rows = cut(counted(docs, block.numbers, key, text), "search-terms")
+def _search(rows: DataFrame, block: Block, k: int) -> DataFrame:
+    """(item, rank, doc, score) from what `counted` has written."""
     total = rows.where("head").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     df = np.zeros(len(block.numbers), np.int64)
     for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect():  # a row for each of the block's terms at most
