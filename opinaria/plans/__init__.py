@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import operators as O
 from ..functions import text_digest, weekday_short
-from ..sources.scratch import cut
+from ..sources.scratch import cut, free
 from ..sources.sinks import write_text
 
 USERS_MIN, BOTS_MIN, CITIES = 50, 5, 10
@@ -151,7 +151,9 @@ def write_user_report(users: DataFrame, head: str, out: str) -> None:
     """The same text as part files, which joined by name are the report: for any number of users, as no task or row holds
     more than its range of them."""
     item = F.format_string("%s (%d)", F.col("user_id").cast("string"), F.col("reviews"))
+    users = cut(users.select("user_id", "reviews"), "report-users")  # read for the first row, for the ranges, and sorted
     write_text(users, [(-F.col("reviews")).alias("n"), F.col("user_id")], item, head, NOBODY, " ; ", out)
+    free(users)
 
 
 def report_weekdays(reviews: DataFrame) -> DataFrame:
