@@ -1,12 +1,16 @@
-"""Byte-level BPE encoding and decoding by merge replay.
+"""Byte-level BPE encoding and decoding by merge replay over the corpus.
 
-1. pieces: the distinct matches of the splitting pattern over the whole corpus, counted in one shuffle.
-2. replay: an inverted index maps the rank of a pair of neighbours to the positions where it stands in a table of pieces,
-   each spelled in single bytes. Merges are replayed in rank order over all pieces at once; each touches only the two
-   neighbours of a merged pair and moves them in the index. Pieces of up to 256 bytes that make up at least a 2^-17th of the
-   corpus, of which there can be 2^17 at most, are replayed once for the whole corpus, and the result is broadcast (20 MB).
-3. texts: ids are looked up. Pieces that are rarer than that are replayed over large parts of the corpus at a time (`PART`
-   characters), where each is merged once; joining a table of them back to the texts would move more than all texts.
+1. parts: each text is split once, by the splitting pattern. In a part of the corpus (`PART` characters of a task) each distinct
+   piece gets a number; a text becomes the numbers of its pieces, packed. Both are written to the shared folder.
+2. replay: the distinct pieces of all parts are shuffled and sorted by spelling, so that a piece is merged once for the whole
+   corpus, however many parts have it. An inverted index maps the rank of a pair of neighbours to the positions where it stands
+   in a table of pieces, each spelled in single bytes. Merges are replayed in rank order over the table at once; each touches
+   only the two neighbours of a merged pair and moves them in the index.
+3. texts: pieces go back to their parts with their ids, where they meet the packed texts, in order. A part's pieces come first,
+   then its texts, one after the other.
+
+Nothing comes to the driver, and nothing is broadcast. What moves is the distinct pieces of each part, twice, and the packed
+texts, once.
 
 Ranks are those of the joined bytes, as in tiktoken's files: any neighbours whose joined bytes have a rank may merge,
 so a merge can bring up a lower rank than its own, which the replay then does first in that piece.
@@ -18,23 +22,23 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from opinaria.sources.scratch import cut, free
+from opinaria.sources.scratch import cut
 
 from .common import slices
 
-#: Characters of the texts whose rare pieces are merged together; characters split at a time.
+#: Characters of a part; characters split at a time.
 PART, SPLIT = 1 << 24, 1 << 21
-#: A piece is frequent from this share of all pieces on.
-FREQUENT_BITS = 17
-#: A piece of more bytes is a rare one however often it stands, so that what comes to the driver is bounded.
-FREQUENT_BYTES = 256
+#: Bytes of pieces that are replayed together; pieces of texts that are put together at a time.
+TABLE, TOGETHER = 1 << 23, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -159,88 +163,129 @@ class Numbers(dict):
         return n
 
 
-def frequent_pieces(docs: DataFrame, pattern: str, text: str = "text", bits: int = FREQUENT_BITS) -> list[str]:
-    """The pieces that make up at least a 2^-bits-th of all pieces of the corpus and aren't long, 2^bits at most, in their own
-    order."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, as the high ones are mostly zero."""
+    return zlib.compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
+def parts(texts: DataFrame, pattern: str) -> DataFrame:
+    """texts: (k, t). Rows of two kinds: (part, k, packed) for a text, (part, number, piece) for a distinct piece of a part."""
+    names = ["part", "number", "piece", "k", "packed"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
+        from pyspark import TaskContext
 
-        split, numbers, counts = regex.compile(pattern).findall, Numbers(), np.zeros(0, np.int64)
+        split = regex.compile(pattern).findall
+        part, numbers, held, kind = TaskContext.get().partitionId() << 32, Numbers(), 0, None
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            whole = pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()), pa.array(counts)], names=["piece", "n"])
-            for lo in range(0, len(counts), 1 << 16):
+        def spelled() -> Iterator[pa.RecordBatch]:
+            n = len(numbers)
+            whole = pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(numbers), pa.string()), pa.nulls(n, kind), pa.nulls(n, pa.binary())], names=names)
+            for lo in range(0, n, 1 << 16):
                 yield whole.slice(lo, 1 << 16)
 
-        for _, texts in slices(batches, text, SPLIT):
+        for batch, some in slices(batches, "t", SPLIT):
+            n, kind = len(some), batch.column(0).type
             # a text at a time, so that its pieces don't outlive it
-            found = [np.fromiter(map(numbers.__getitem__, split(t)), np.int64) for t in texts]
-            n = np.bincount(np.concatenate(found), minlength=len(numbers))
-            n[: len(counts)] += counts
-            counts = n
-            if len(numbers) > 1_000_000:
-                yield from rows()
-                numbers, counts = Numbers(), np.zeros(0, np.int64)
-        yield from rows()
-
-    pieces = cut(docs.select(text).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "bpe-pieces")
-    total = pieces.agg(F.sum("n")).first()[0] or 0
-    out = sorted(r.piece for r in pieces.where((F.col("n") * (1 << bits) >= total) & (F.octet_length("piece") <= FREQUENT_BYTES)).select("piece").collect())
-    free(pieces)
-    return out
+            packed = [pack(np.fromiter(map(numbers.__getitem__, split(t)), np.int32)) for t in some]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), batch.column(0), pa.array(packed, pa.binary())], names=names)
+            held += sum(map(len, some))
+            if held >= PART:
+                yield from spelled()
+                part, numbers, held = part + 1, Numbers(), 0
+        if numbers:
+            yield from spelled()
+
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("k", texts.schema["k"].dataType), T.StructField("packed", T.BinaryType())])
+    return texts.select("k", "t").mapInArrow(run, schema)
+
+
+def replayed(pieces: DataFrame, ranks_path: str) -> DataFrame:
+    """(part, number, piece) -> (part, number, ids). Equal pieces stand together, and are merged once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = Replay(read_ranks(ranks_path))
+
+        def encoded(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            distinct = rows.column("piece").combine_chunks().dictionary_encode()
+            ids = replay.encode(p.encode() for p in distinct.dictionary.to_pylist())
+            out = pa.table({"part": rows.column("part"), "number": rows.column("number"), "ids": pa.array(ids, pa.list_(pa.int32())).take(distinct.indices)})
+            yield from out.to_batches(1 << 16)
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= TABLE:
+                yield from encoded(held)
+                held, size = [], 0
+        if size:
+            yield from encoded(held)
+
+    return pieces.select("part", "number", "piece").repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "part long, number int, ids array<int>")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(key, ids, decoded): the ids of each text and what they decode to, as bytes; with digest, the number of ids, the
     sha256 of the ids as text and that of the decoded bytes instead. `ranks_path` is a file on every machine."""
-    light = docs.select(F.col(key), F.col(text).cast("string").alias("t")) if key != "t" else docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t"))
-    pieces = frequent_pieces(light, pattern, "t")
-    merged = light.sparkSession.sparkContext.broadcast((pieces, [np.array(x, np.int32) for x in Replay(read_ranks(ranks_path)).encode(p.encode() for p in pieces)]))
-    kept = T.StructField(key, docs.schema[key].dataType)
-    out = T.StructType([kept, *(T.StructField(n, t) for n, t in (
+    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    rows = cut(parts(texts, pattern), "bpe-parts")
+    out = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, t) for n, t in (
         (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())) if digest
         else (("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType()))))])
     kinds = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        replay, split = Replay(read_ranks(ranks_path)), regex.compile(pattern).findall
-        known, known_ids = merged.value
-        spelled = [replay.spelled.get(i, b"") for i in range(max(replay.spelled) + 1)]
+        spelled = {i: b for b, i in read_ranks(ranks_path).items()}
+        spelled = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
         said = list(map(str, range(len(spelled))))
 
-        def encoded(keys: list[pa.Array], numbers: Numbers, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """What a part's texts are, by the numbers of their pieces."""
-            rare = list(numbers)[len(known):]
-            ids = known_ids + replay.encode(p.encode() for p in rare)
-            if digest:
-                size = np.fromiter(map(len, ids), np.int64, len(ids))
-                as_text = [" ".join([said[i] for i in x]) for x in ids]
-                back = [b"".join([spelled[i] for i in x]) for x in ids]
-            at = 0
-            for k in keys:
-                rows = [x.tolist() for x in found[at : at + len(k)]]
-                at += len(k)
-                if digest:
-                    cols = [[int(size[x].sum()) for x in rows], [hashlib.sha256(" ".join([as_text[i] for i in x]).encode()).hexdigest() for x in rows], [hashlib.sha256(b"".join([back[i] for i in x])).hexdigest() for x in rows]]
-                else:
-                    all_of = [np.concatenate([ids[i] for i in x]).astype(np.int32) if x else np.zeros(0, np.int32) for x in rows]
-                    cols = [all_of, [b"".join([spelled[i] for i in x.tolist()]) for x in all_of]]
-                yield pa.RecordBatch.from_arrays([k, *(pa.array(c, kind) for c, kind in zip(cols, kinds))], names=out.names)
-
-        keys, numbers, found, held = [], Numbers(zip(known, range(len(known)))), [], 0
-        for part, texts in slices(batches, "t", SPLIT):
-            keys.append(part.column(0))
-            found += [np.fromiter(map(numbers.__getitem__, split(t)), np.int32) for t in texts]
-            held += sum(map(len, texts))
-            if held >= PART:
-                yield from encoded(keys, numbers, found)
-                keys, numbers, found, held = [], Numbers(zip(known, range(len(known)))), [], 0
-        if keys:
-            yield from encoded(keys, numbers, found)
+        def table(known: list[pa.Array]) -> tuple:
+            """Of a part's pieces, by number: ids, how many they are, as text, and as bytes."""
+            ids = [x for some in known for x in some.to_pylist()]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            return ids, size, [" ".join([said[i] for i in x]) for x in ids] if digest else None, [b"".join([spelled[i] for i in x]) for x in ids]
 
-    return light.mapInArrow(run, out)
+        def put_together(keys: pa.Array, found: list[np.ndarray], known: tuple) -> pa.RecordBatch:
+            ids, size, as_text, back = known
+            lists = [x.tolist() for x in found]
+            if digest:
+                cols = [[int(size[x].sum()) for x in found], [hashlib.sha256(" ".join([as_text[i] for i in x]).encode()).hexdigest() for x in lists], [hashlib.sha256(b"".join([back[i] for i in x])).hexdigest() for x in lists]]
+            else:
+                cols = [[np.fromiter((y for i in x for y in ids[i]), np.int32) for x in lists], [b"".join([back[i] for i in x]) for x in lists]]
+            return pa.RecordBatch.from_arrays([keys, *(pa.array(c, kind) for c, kind in zip(cols, kinds))], names=out.names)
+
+        part, known = None, []
+        for batch in batches:
+            of, piece = batch.column("part").to_numpy(), pc.is_valid(batch.column("number")).to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero((of[1:] != of[:-1]) | (piece[1:] != piece[:-1])) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(of)]):
+                if hi == lo:
+                    continue
+                if of[lo] != part:
+                    part, known, ready = of[lo], [], None
+                if piece[lo]:
+                    known.append(batch.column("ids").slice(lo, hi - lo))
+                    continue
+                ready = ready or table(known)
+                start, found, held = lo, [], 0
+                for i in range(lo, hi):
+                    found.append(unpack(batch.column("packed")[i].as_py()))
+                    held += len(found[-1])
+                    if held >= TOGETHER or i == hi - 1:
+                        yield put_together(batch.column("k").slice(start, i + 1 - start), found, ready)
+                        start, found, held = i + 1, [], 0
+
+    nothing = lambda kind: F.lit(None).cast(kind)
+    of_texts = rows.where("piece is null").select("part", nothing("int").alias("number"), nothing("array<int>").alias("ids"), "k", "packed")
+    of_pieces = replayed(rows.where("piece is not null"), ranks_path).select("part", "number", "ids", nothing(rows.schema["k"].dataType).alias("k"), nothing("binary").alias("packed"))
+    both = of_pieces.unionByName(of_texts).repartition("part").sortWithinPartitions("part", F.col("number").asc_nulls_last())
+    return both.mapInArrow(run, out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -56,17 +57,26 @@ def test_edges(spark, digest, monkeypatch):
     assert sorted(encode(df).collect(), key=repr) == got
 
 
-def test_frequent_pieces(spark):
-    """Counted over the whole corpus, however it is dealt; what is frequent is a matter of share."""
-    df = spark.createDataFrame([(i, "a a a a b c%d" % i) for i in range(200)], "doc_id long, text string").repartition(7)
-    assert bpe.frequent_pieces(df, P.PATTERN, bits=4) == [" a", " b", " c", "a"]
-    assert len(bpe.frequent_pieces(df, P.PATTERN)) == 4 + 200
-    assert bpe.frequent_pieces(df.limit(0), P.PATTERN) == []
+def test_each_piece_is_merged_once(spark, monkeypatch):
+    """Parts number their own pieces; equal pieces of all parts stand together before they are merged."""
+    monkeypatch.setattr(bpe, "PART", 1)
+    df = spark.createDataFrame([(i, "a a a a b c%d" % (i % 20)) for i in range(200)], "k long, t string").repartition(7)
+    rows = bpe.parts(df, P.PATTERN)
+    pieces = rows.where("piece is not null")
+    assert pieces.select("part").distinct().count() == 7
+    assert pieces.select("part", "number").distinct().count() == pieces.count()
+    got = bpe.replayed(pieces, P.path("byte_bpe_50k.tiktoken")).join(pieces, ["part", "number"]).select("piece", "ids").collect()
+    assert {r.piece for r in got} == {"a", " a", " b", " c", *map(str, range(20))} and len(got) == pieces.count()
+    assert all(r.ids == ENC._encode_single_piece(r.piece.encode()) for r in got)
+
+
+def test_pack():
+    for x in ([], [0], [1, 70_000, 3, 1 << 30], range(100_000)):
+        assert bpe.unpack(bpe.pack(np.array(x, np.int32))).tolist() == list(x)
 
 
-def test_long_frequent_pieces_stay_out_of_the_driver(spark):
-    """One piece that is half of a corpus, but long: it is replayed where it stands."""
+def test_long_pieces(spark):
+    """One piece that is half of a corpus."""
     df = spark.createDataFrame([(1, "x" * 5_000_000), (2, " a"), (3, "é" * 200)], "doc_id long, text string")
-    assert bpe.frequent_pieces(df, P.PATTERN) == [" a"]
     got = {r.doc_id: r.ids for r in bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
     assert got == {1: ENC.encode_ordinary("x" * 5_000_000), 2: ENC.encode_ordinary(" a"), 3: ENC.encode_ordinary("é" * 200)}
