@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding by merge replay over the corpus.
 
 1. parts: each text is split once, by the splitting pattern. In a part of the corpus (`PART` characters of a task) each distinct
-   piece gets a number; a text becomes the numbers of its pieces, packed. Both are written to the shared folder.
-2. replay: the distinct pieces of all parts are shuffled and sorted by spelling, so that a piece is merged once for the whole
-   corpus, however many parts have it. An inverted index maps the rank of a pair of neighbours to the positions where it stands
-   in a table of pieces, each spelled in single bytes. Merges are replayed in rank order over the table at once; each touches
-   only the two neighbours of a merged pair and moves them in the index.
-3. texts: pieces go back to their parts with their ids, where they meet the packed texts, in order. A part's pieces come first,
-   then its texts, one after the other.
-
-Nothing comes to the driver, and nothing is broadcast. What moves is the distinct pieces of each part, twice, and the packed
-texts, once.
+   piece gets a number; a text becomes the numbers of its pieces, packed. A part's pieces are packed by buckets of a hash of the
+   piece. All of it is written to the shared folder.
+2. replay: a bucket's pieces of all parts meet in a task, so that each distinct piece is merged once for the whole corpus. An
+   inverted index maps the rank of a pair of neighbours to the positions where it stands in a table of pieces, each spelled in
+   single bytes. Merges are replayed in rank order over the table at once; each touches only the two neighbours of a merged
+   pair and moves them in the index.
+3. texts: the ids of a part's pieces go back to the part, where they meet the packed texts. The pieces come first, then the
+   texts, one after the other.
+
+Nothing comes to the driver but the number of characters, which gives the number of buckets, and nothing is broadcast. What
+moves is the distinct pieces of each part, their ids, and the packed texts, once each.
 
 Ranks are those of the joined bytes, as in tiktoken's files: any neighbours whose joined bytes have a rank may merge,
 so a merge can bring up a lower rank than its own, which the replay then does first in that piece.
@@ -38,7 +39,9 @@ from .common import slices
 #: Characters of a part; characters split at a time.
 PART, SPLIT = 1 << 24, 1 << 21
 #: Bytes of pieces that are replayed together; pieces of texts that are put together at a time.
-TABLE, TOGETHER = 1 << 23, 1 << 20
+TABLE, TOGETHER = 1 << 22, 1 << 20
+#: Characters of the corpus for each bucket of pieces.
+BUCKET = 1 << 25
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,7 +161,7 @@ class Replay:
 class Numbers(dict):
     """Pieces by the order in which they are first looked up."""
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: str | bytes) -> int:
         self[piece] = n = len(self)
         return n
 
@@ -172,69 +175,95 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
 
-def parts(texts: DataFrame, pattern: str) -> DataFrame:
-    """texts: (k, t). Rows of two kinds: (part, k, packed) for a text, (part, number, piece) for a distinct piece of a part."""
-    names = ["part", "number", "piece", "k", "packed"]
+def pack_lists(lists: list[bytes]) -> tuple[bytes, bytes]:
+    """Sizes and bytes."""
+    return pack(np.fromiter(map(len, lists), np.int32, len(lists))), zlib.compress(b"".join(lists), 1)
+
+
+def unpack_lists(sizes: bytes, joined: bytes) -> list[bytes]:
+    ends, whole = np.cumsum(unpack(sizes), dtype=np.int64).tolist(), zlib.decompress(joined)
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def parts(texts: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """texts: (k, t). Rows of two kinds: (part, k, packed) for a text, and (part, bucket, numbers, sizes, pieces) for a part's
+    pieces of a bucket, in the order of their numbers."""
+    kind = texts.schema["k"].dataType
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("bucket", T.IntegerType()), *(T.StructField(n, T.BinaryType()) for n in ("numbers", "sizes", "pieces")), T.StructField("k", kind), T.StructField("packed", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         from pyspark import TaskContext
 
-        split = regex.compile(pattern).findall
+        split, names = regex.compile(pattern).findall, schema.names
         part, numbers, held, kind = TaskContext.get().partitionId() << 32, Numbers(), 0, None
 
-        def spelled() -> Iterator[pa.RecordBatch]:
-            n = len(numbers)
-            whole = pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(numbers), pa.string()), pa.nulls(n, kind), pa.nulls(n, pa.binary())], names=names)
-            for lo in range(0, n, 1 << 16):
-                yield whole.slice(lo, 1 << 16)
+        def spelled() -> pa.RecordBatch:
+            pieces = [p.encode() for p in numbers]
+            bucket = np.fromiter(map(zlib.crc32, pieces), np.int64, len(pieces)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            groups = np.split(order, first[1:])
+            packed = [pack_lists([pieces[i] for i in g.tolist()]) for g in groups]
+            cols = [pack(np.diff(g, prepend=0)) for g in groups], [p[0] for p in packed], [p[1] for p in packed]
+            n = len(groups)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(bucket[order][first].astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols), pa.nulls(n, kind), pa.nulls(n, pa.binary())], names=names)
 
         for batch, some in slices(batches, "t", SPLIT):
             n, kind = len(some), batch.column(0).type
             # a text at a time, so that its pieces don't outlive it
             packed = [pack(np.fromiter(map(numbers.__getitem__, split(t)), np.int32)) for t in some]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), batch.column(0), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3, batch.column(0), pa.array(packed, pa.binary())], names=names)
             held += sum(map(len, some))
             if held >= PART:
-                yield from spelled()
+                if numbers:
+                    yield spelled()
                 part, numbers, held = part + 1, Numbers(), 0
         if numbers:
-            yield from spelled()
+            yield spelled()
 
-    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("number", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("k", texts.schema["k"].dataType), T.StructField("packed", T.BinaryType())])
     return texts.select("k", "t").mapInArrow(run, schema)
 
 
 def replayed(pieces: DataFrame, ranks_path: str) -> DataFrame:
-    """(part, number, piece) -> (part, number, ids). Equal pieces stand together, and are merged once."""
+    """(part, bucket, numbers, sizes, pieces) -> (part, numbers, sizes, ids). Each distinct piece of a bucket is merged once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = Replay(read_ranks(ranks_path))
 
-        def encoded(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            distinct = rows.column("piece").combine_chunks().dictionary_encode()
-            ids = replay.encode(p.encode() for p in distinct.dictionary.to_pylist())
-            out = pa.table({"part": rows.column("part"), "number": rows.column("number"), "ids": pa.array(ids, pa.list_(pa.int32())).take(distinct.indices)})
-            yield from out.to_batches(1 << 16)
-
-        held, size = [], 0
+        def encoded(distinct: Numbers, rows: list[tuple]) -> pa.RecordBatch:
+            """rows: (part, numbers, places in distinct)"""
+            ids, some, size = [], [], 0
+            for p in distinct:
+                some.append(p)
+                size += len(p)
+                if size >= TABLE:
+                    ids += [np.array(x, "<i4").tobytes() for x in replay.encode(some)]
+                    some, size = [], 0
+            ids += [np.array(x, "<i4").tobytes() for x in replay.encode(some)]
+            packed = [pack_lists([ids[i] for i in at.tolist()]) for _, _, at in rows]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array(c, pa.binary()) for c in ([r[1] for r in rows], [p[0] for p in packed], [p[1] for p in packed]))], names=["part", "numbers", "sizes", "ids"])
+
+        now, distinct, rows = None, Numbers(), []
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= TABLE:
-                yield from encoded(held)
-                held, size = [], 0
-        if size:
-            yield from encoded(held)
+            for part, bucket, numbers, sizes, joined in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now:
+                    if rows:
+                        yield encoded(distinct, rows)
+                    now, distinct, rows = bucket, Numbers(), []
+                rows.append((part, numbers, np.fromiter(map(distinct.__getitem__, unpack_lists(sizes, joined)), np.int32)))
+        if rows:
+            yield encoded(distinct, rows)
 
-    return pieces.select("part", "number", "piece").repartition("piece").sortWithinPartitions("piece").mapInArrow(run, "part long, number int, ids array<int>")
+    rows = pieces.select("part", "bucket", "numbers", "sizes", "pieces").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(run, "part long, numbers binary, sizes binary, ids binary")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(key, ids, decoded): the ids of each text and what they decode to, as bytes; with digest, the number of ids, the
     sha256 of the ids as text and that of the decoded bytes instead. `ranks_path` is a file on every machine."""
     texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    rows = cut(parts(texts, pattern), "bpe-parts")
+    characters = texts.agg(F.sum(F.length("t"))).first()[0] or 0
+    rows = cut(parts(texts, pattern, 16 + characters // BUCKET), "bpe-parts")
     out = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, t) for n, t in (
         (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())) if digest
         else (("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType()))))])
@@ -245,9 +274,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         spelled = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
         said = list(map(str, range(len(spelled))))
 
-        def table(known: list[pa.Array]) -> tuple:
+        def table(known: list[tuple[bytes, bytes, bytes]]) -> tuple:
             """Of a part's pieces, by number: ids, how many they are, as text, and as bytes."""
-            ids = [x for some in known for x in some.to_pylist()]
+            known = [(np.cumsum(unpack(at)).tolist(), unpack_lists(sizes, joined)) for at, sizes, joined in known]
+            ids = [None] * sum(len(x) for _, x in known)
+            for at, some in known:
+                for i, x in zip(at, some):
+                    ids[i] = np.frombuffer(x, "<i4").tolist()
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             return ids, size, [" ".join([said[i] for i in x]) for x in ids] if digest else None, [b"".join([spelled[i] for i in x]) for x in ids]
 
@@ -262,7 +295,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
         part, known = None, []
         for batch in batches:
-            of, piece = batch.column("part").to_numpy(), pc.is_valid(batch.column("number")).to_numpy(zero_copy_only=False)
+            of, piece = batch.column("part").to_numpy(), pc.is_valid(batch.column("numbers")).to_numpy(zero_copy_only=False)
             cuts = (np.flatnonzero((of[1:] != of[:-1]) | (piece[1:] != piece[:-1])) + 1).tolist()
             for lo, hi in zip([0, *cuts], [*cuts, len(of)]):
                 if hi == lo:
@@ -270,7 +303,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
                 if of[lo] != part:
                     part, known, ready = of[lo], [], None
                 if piece[lo]:
-                    known.append(batch.column("ids").slice(lo, hi - lo))
+                    known += zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("numbers", "sizes", "ids")))
                     continue
                 ready = ready or table(known)
                 start, found, held = lo, [], 0
@@ -282,9 +315,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
                         start, found, held = i + 1, [], 0
 
     nothing = lambda kind: F.lit(None).cast(kind)
-    of_texts = rows.where("piece is null").select("part", nothing("int").alias("number"), nothing("array<int>").alias("ids"), "k", "packed")
-    of_pieces = replayed(rows.where("piece is not null"), ranks_path).select("part", "number", "ids", nothing(rows.schema["k"].dataType).alias("k"), nothing("binary").alias("packed"))
-    both = of_pieces.unionByName(of_texts).repartition("part").sortWithinPartitions("part", F.col("number").asc_nulls_last())
+    of_pieces = replayed(rows.where("bucket is not null"), ranks_path).select("part", "numbers", "sizes", "ids", nothing(rows.schema["k"].dataType).alias("k"), nothing("binary").alias("packed"))
+    of_texts = rows.where("bucket is null").select("part", *(nothing("binary").alias(c) for c in ("numbers", "sizes", "ids")), "k", "packed")
+    both = of_pieces.unionByName(of_texts).repartition("part").sortWithinPartitions("part", F.col("numbers").isNull())
     return both.mapInArrow(run, out)
 
 

@@ -58,16 +58,21 @@ def test_edges(spark, digest, monkeypatch):
 
 
 def test_each_piece_is_merged_once(spark, monkeypatch):
-    """Parts number their own pieces; equal pieces of all parts stand together before they are merged."""
+    """Parts number their own pieces; equal pieces of all parts are in one bucket, where they are merged."""
     monkeypatch.setattr(bpe, "PART", 1)
     df = spark.createDataFrame([(i, "a a a a b c%d" % (i % 20)) for i in range(200)], "k long, t string").repartition(7)
-    rows = bpe.parts(df, P.PATTERN)
-    pieces = rows.where("piece is not null")
-    assert pieces.select("part").distinct().count() == 7
-    assert pieces.select("part", "number").distinct().count() == pieces.count()
-    got = bpe.replayed(pieces, P.path("byte_bpe_50k.tiktoken")).join(pieces, ["part", "number"]).select("piece", "ids").collect()
-    assert {r.piece for r in got} == {"a", " a", " b", " c", *map(str, range(20))} and len(got) == pieces.count()
-    assert all(r.ids == ENC._encode_single_piece(r.piece.encode()) for r in got)
+    rows = [r for r in bpe.parts(df, P.PATTERN, 5).collect() if r.bucket is not None]
+    assert len({r.part for r in rows}) == 7
+    at, home = {}, {}
+    for r in rows:
+        for number, piece in zip(bpe.unpack(r.numbers).cumsum().tolist(), bpe.unpack_lists(r.sizes, r.pieces)):
+            assert (r.part, number) not in at
+            at[r.part, number] = piece
+            home.setdefault(piece, set()).add(r.bucket)
+    assert set(home) == {b"a", b" a", b" b", b" c", *(b"%d" % i for i in range(20))} and all(len(b) == 1 for b in home.values())
+    got = bpe.replayed(spark.createDataFrame(rows, bpe.parts(df, P.PATTERN, 5).schema), P.path("byte_bpe_50k.tiktoken")).collect()
+    ids = {(r.part, n): np.frombuffer(x, np.int32).tolist() for r in got for n, x in zip(bpe.unpack(r.numbers).cumsum().tolist(), bpe.unpack_lists(r.sizes, r.ids))}
+    assert ids == {k: ENC._encode_single_piece(p) for k, p in at.items()}
 
 
 def test_pack():
