@@ -8,8 +8,9 @@ to their interval, where a running count plus the counts below it is the slot. W
 64 for each of some hundred intervals, however many rows there are. The last step has a task for each interval, so raise
 `intervals` where a cluster has more cores than that.
 
-Rows that are equal in id and text are counted as one with their number, and told apart when slots are dealt; a border that
-falls among them is put after so many of them.
+An interval that is a single key and has more than `PIECE` rows holds rows that are equal in id and text. Those are counted
+instead, where they stand, so only their number moves, and are told apart when slots are dealt, a piece of them in a task. A
+border that falls among them is put after so many of them.
 
 Defined cases. Null text: no bytes, size 1, crc32 of an empty text. Very long texts: only their size and hashes move. Ties:
 equal rows (same id and text) take adjoining slots; of rows with equal keys, the order is by id as text, size and checksum.
@@ -76,9 +77,8 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
     """(key, size, text_crc32, shard, slot) for all rows."""
     rows = docs.select(
         F.col(key).alias("id"), (F.octet_length(whole(text)) + 1).cast("long").alias("size"), F.crc32(whole(text)).alias("crc"), sort_key(key, text).alias("k"))
-    rows = rows.groupBy("id", "size", "crc", "k").agg(F.count(F.lit(1)).alias("n"))
-    rows = cut(rows.withColumn("bytes", F.col("size") * F.col("n")), "shard-keys")
-    found = histogram(rows, shards, tolerance, intervals)
+    rows = cut(rows, "shard-keys")
+    found = histogram(rows.select("k", F.col("size").alias("bytes"), F.lit(1).alias("n")), shards, tolerance, intervals)
     total = sum(b for _, b, _, _ in found)
     home = lambda x: min(shards - 1, x * shards // max(1, total))
     below, seen, owner, first, pieces = 0, [0] * shards, [], [], []
@@ -96,17 +96,19 @@ def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "te
             seen[owner[-1]] += n
         below += b
     pick = lambda xs: F.element_at(numbers(xs), F.col("i"))
-    upto = F.sum("n").over(W.partitionBy("i").orderBy("k", F.col("id").cast("string"), "size", "crc").rowsBetween(W.unboundedPreceding, 0))
-    out = rows.withColumn("i", interval("k", [lo for lo, *_ in found])).withColumn("before", upto - F.col("n"))
-    each = F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("row")
-    if rows.where(F.col("n") > PIECE).isEmpty():
-        out = out.select("*", each)
-    else:
-        # equal rows that are very many are told apart by many tasks, a piece of them at a time
-        out = cut(out, "shard-placed")
-        piece = out.where(F.col("n") > PIECE).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PIECE}"))).alias("piece"))
-        piece = piece.repartition("i", "before", "piece").withColumn("before", F.col("before") + F.col("piece") * PIECE).withColumn("n", F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE)).drop("piece")
-        out = out.where(F.col("n") <= PIECE).unionByName(piece).select("*", each)
+    order = W.partitionBy("i").orderBy("k", F.col("id").cast("string"), "size", "crc")
+    rows = rows.withColumn("i", interval("k", [lo for lo, *_ in found]))
+    many = [j + 1 for j, (_, _, n, alone) in enumerate(found) if alone and n > PIECE]
+    if many:
+        equal = rows.where(F.col("i").isin(many)).groupBy("i", "id", "size", "crc", "k").agg(F.count(F.lit(1)).alias("n"))
+        equal = equal.withColumn("before", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
+        equal = equal.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {PIECE}"))).alias("piece")).repartition("i", "before", "piece")
+        lo, hi = F.col("piece") * PIECE, F.least(F.col("n"), (F.col("piece") + 1) * PIECE) - 1
+        equal = equal.select("i", "id", "size", "crc", "k", F.explode(F.sequence(F.col("before") + lo, F.col("before") + hi)).alias("row"))
+        rows = rows.where(~F.col("i").isin(many))
+    out = rows.withColumn("row", (F.row_number().over(order) - 1).cast("long"))
+    if many:
+        out = out.unionByName(equal)
     to, shift = pick(owner), pick(first)
     for i, lo, s, by in pieces:  # in order, so the last that applies holds
         here = (F.col("i") == i) & (F.col("row") >= lo)
