@@ -168,16 +168,29 @@ class Numbers(dict):
 
 def pack(numbers: np.ndarray) -> bytes:
     """Numbers by planes of bytes, as the high ones are mostly zero."""
-    return zlib.compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 6)
 
 
 def unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
 
 
+def pack_text(numbers: np.ndarray, known: int) -> bytes:
+    """A text's numbers, of a part that had `known` pieces before it. Its new pieces have the next numbers in turn, so 0 says
+    that there is one; the others are one up."""
+    top = np.maximum.accumulate(np.concatenate(([known - 1], numbers)))[:-1]
+    return pack(np.concatenate(([known], np.where(numbers > top, 0, numbers + 1))))
+
+
+def unpack_text(packed: bytes) -> np.ndarray:
+    known, x = (y := unpack(packed))[0], y[1:]
+    new = x == 0
+    return np.where(new, known - 1 + np.cumsum(new), x - 1)
+
+
 def pack_lists(lists: list[bytes]) -> tuple[bytes, bytes]:
     """Sizes and bytes."""
-    return pack(np.fromiter(map(len, lists), np.int32, len(lists))), zlib.compress(b"".join(lists), 1)
+    return pack(np.fromiter(map(len, lists), np.int32, len(lists))), zlib.compress(b"".join(lists), 6)
 
 
 def unpack_lists(sizes: bytes, joined: bytes) -> list[bytes]:
@@ -212,7 +225,7 @@ def parts(texts: DataFrame, pattern: str, buckets: int) -> DataFrame:
         for batch, some in slices(batches, "t", SPLIT):
             n, kind = len(some), batch.column(0).type
             # a text at a time, so that its pieces don't outlive it
-            packed = [pack(np.fromiter(map(numbers.__getitem__, split(t)), np.int32)) for t in some]
+            packed = [pack_text(known=len(numbers), numbers=np.fromiter(map(numbers.__getitem__, split(t)), np.int64)) for t in some]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 3, batch.column(0), pa.array(packed, pa.binary())], names=names)
             held += sum(map(len, some))
             if held >= PART:
@@ -237,10 +250,11 @@ def replayed(pieces: DataFrame, ranks_path: str) -> DataFrame:
                 some.append(p)
                 size += len(p)
                 if size >= TABLE:
-                    ids += [np.array(x, "<i4").tobytes() for x in replay.encode(some)]
+                    ids += replay.encode(some)
                     some, size = [], 0
-            ids += [np.array(x, "<i4").tobytes() for x in replay.encode(some)]
-            packed = [pack_lists([ids[i] for i in at.tolist()]) for _, _, at in rows]
+            ids += replay.encode(some)
+            size = np.fromiter(map(len, ids), np.int32, len(ids))
+            packed = [(pack(size[at]), pack(np.fromiter((x for i in at.tolist() for x in ids[i]), np.int32))) for _, _, at in rows]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array(c, pa.binary()) for c in ([r[1] for r in rows], [p[0] for p in packed], [p[1] for p in packed]))], names=["part", "numbers", "sizes", "ids"])
 
         now, distinct, rows = None, Numbers(), []
@@ -276,11 +290,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
         def table(known: list[tuple[bytes, bytes, bytes]]) -> tuple:
             """Of a part's pieces, by number: ids, how many they are, as text, and as bytes."""
-            known = [(np.cumsum(unpack(at)).tolist(), unpack_lists(sizes, joined)) for at, sizes, joined in known]
-            ids = [None] * sum(len(x) for _, x in known)
-            for at, some in known:
-                for i, x in zip(at, some):
-                    ids[i] = np.frombuffer(x, "<i4").tolist()
+            known = [(np.cumsum(unpack(at)).tolist(), np.cumsum(unpack(sizes)).tolist(), unpack(some).tolist()) for at, sizes, some in known]
+            ids = [None] * sum(len(at) for at, _, _ in known)
+            for at, ends, some in known:
+                for i, lo, hi in zip(at, [0, *ends], ends):
+                    ids[i] = some[lo:hi]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             return ids, size, [" ".join([said[i] for i in x]) for x in ids] if digest else None, [b"".join([spelled[i] for i in x]) for x in ids]
 
@@ -308,7 +322,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
                 ready = ready or table(known)
                 start, found, held = lo, [], 0
                 for i in range(lo, hi):
-                    found.append(unpack(batch.column("packed")[i].as_py()))
+                    found.append(unpack_text(batch.column("packed")[i].as_py()))
                     held += len(found[-1])
                     if held >= TOGETHER or i == hi - 1:
                         yield put_together(batch.column("k").slice(start, i + 1 - start), found, ready)

@@ -71,7 +71,10 @@ def test_each_piece_is_merged_once(spark, monkeypatch):
             home.setdefault(piece, set()).add(r.bucket)
     assert set(home) == {b"a", b" a", b" b", b" c", *(b"%d" % i for i in range(20))} and all(len(b) == 1 for b in home.values())
     got = bpe.replayed(spark.createDataFrame(rows, bpe.parts(df, P.PATTERN, 5).schema), P.path("byte_bpe_50k.tiktoken")).collect()
-    ids = {(r.part, n): np.frombuffer(x, np.int32).tolist() for r in got for n, x in zip(bpe.unpack(r.numbers).cumsum().tolist(), bpe.unpack_lists(r.sizes, r.ids))}
+    ids = {}
+    for r in got:
+        ends, whole = bpe.unpack(r.sizes).cumsum().tolist(), bpe.unpack(r.ids).tolist()
+        ids |= {(r.part, n): whole[a:b] for n, a, b in zip(bpe.unpack(r.numbers).cumsum().tolist(), [0, *ends], ends)}
     assert ids == {k: ENC._encode_single_piece(p) for k, p in at.items()}
 
 
@@ -80,6 +83,11 @@ def test_pack():
         assert bpe.unpack(bpe.pack(np.array(x, np.int32))).tolist() == list(x)
 
 
+def test_pack_text():
+    for known, x in ((0, []), (0, [0, 1, 0, 2, 2, 3]), (5, [5, 0, 4, 6, 5]), (7, []), (9, [8, 0, 8])):
+        assert bpe.unpack_text(bpe.pack_text(np.array(x, np.int64), known)).tolist() == x
+
+
 def test_long_pieces(spark):
     """One piece that is half of a corpus."""
     df = spark.createDataFrame([(1, "x" * 5_000_000), (2, " a"), (3, "é" * 200)], "doc_id long, text string")
