@@ -3,7 +3,8 @@
 Rows lie in buckets by a hash of their key. A batch rewrites the buckets that its keys fall into, beside those it leaves, and
 then commits: a list of which folder holds which bucket now, and of the last batch of each writer. A batch that a writer has
 committed before is skipped, so a batch may be replayed after a failure at any point. Nobody reads what isn't committed; the
-last `KEPT` states stay for those who still read them.
+last `KEPT` states stay for those who still read them. A bucket is rewritten in pieces of about `PIECE` rows, each by a task and
+into a file of its own, so a table may grow past what a task can hold.
 
 There are two kinds. Without `merge`, a batch holds whole rows, which replace those of their keys, or delete them where
 `deleted` says so. With `merge`, a batch holds shares, which are added to what there is: column by column `sum`, `min` or
@@ -13,13 +14,12 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .scratch import remove
+from .sizes import pieces
 
 KEPT = 2
 
@@ -54,7 +54,7 @@ def combined(shares: DataFrame, keys: Sequence[str], how: Mapping[str, str]) ->
 
 
 class KeyedTable:
-    """`buckets` must stay what it was when the table was begun; a bucket should fit a task."""
+    """`buckets` must stay what it was when the table was begun."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int = 16, merge: Mapping[str, str] | None = None):
         values = [f.name for f in schema if f.name not in keys]
@@ -101,35 +101,45 @@ class KeyedTable:
         paths = [f"{self.path}/rows/version={state.buckets[b]}/bucket={b}" for b in sorted(buckets) if b in state.buckets]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def apply(self, batch: DataFrame, number: int, writer: str, deleted: Column | None = None) -> bool:
-        """Takes in a writer's batch, whose keys are distinct unless the table merges; False if it was committed before."""
+    def apply(self, batch: DataFrame, number: int, writer: str, deleted: Column | None = None, kept_already: bool = False) -> bool:
+        """Takes in a writer's batch, whose keys are distinct unless the table merges; False if it was committed before. The batch
+        is read twice, and kept meanwhile unless the caller has kept it already."""
         state = self._newest()
         if number <= state.writers.get(writer, -1):
             return False
         version, names = state.version + 1, [f.name for f in self.schema]
         rows = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema], (F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))).alias("_gone"))
-        rows = rows.withColumn("_bucket", self._bucket()).persist()
+        rows = rows if kept_already else rows.persist()
         try:
-            changed = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # buckets, at most
-            kept = self._rows(state, changed).withColumn("_bucket", self._bucket())
+            sizes = {r[0]: r[1] for r in rows.groupBy(self._hash(self.n).alias("b")).agg(F.count(F.lit(1))).collect()}  # buckets, at most
+            changed = sorted(sizes)
             if changed:
-                self._merged(rows, kept).repartition("_bucket").withColumnRenamed("_bucket", "bucket").select(*names, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/version={version}")
+                kept = self._rows(state, changed)
+                each = pieces(-(-(sum(sizes.values()) + kept.count()) // len(changed)))
+                merged = self._merged(rows, kept, each, len(changed) * each).select(*names, (F.col("_piece") % self.n).alias("bucket"))
+                merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/version={version}")
         finally:
-            rows.unpersist()
+            if not kept_already:
+                rows.unpersist()
         filled = set(numbered(self.spark, f"{self.path}/rows/version={version}/bucket=*")) if changed else set()
         buckets = {b: v for b, v in state.buckets.items() if b not in changed} | {b: version for b in filled}
         self._commit(_State(version, buckets, state.writers | {writer: number}))
         return True
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.n)).cast("int")
-
-    def _merged(self, rows: DataFrame, kept: DataFrame) -> DataFrame:
-        if self.how is None:
-            same = reduce(and_, (F.col(f"old.{k}").eqNullSafe(F.col(f"new.{k}")) for k in self.keys))  # a null key is a key
-            stay = kept.alias("old").join(rows.select(*self.keys).alias("new"), same, "left_anti")
-            return stay.unionByName(rows.where(~F.col("_gone")).drop("_gone"))
-        return combined(kept.unionByName(rows.drop("_gone")), [*self.keys, "_bucket"], self.how)
+    def _hash(self, n: int) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
+
+    def _merged(self, rows: DataFrame, kept: DataFrame, each: int, tasks: int) -> DataFrame:
+        """Rows of the changed buckets, each cut into `each` pieces: piece p is a part of bucket p % n. One shuffle deals the
+        pieces out, and a key's rows meet there."""
+        by = [*self.keys, "_piece"]
+        both = kept.withColumns({"_gone": F.lit(False), "_new": F.lit(False)}).unionByName(rows.withColumn("_new", F.lit(True)))
+        both = both.withColumn("_piece", self._hash(self.n * each)).repartition(tasks, "_piece")
+        if self.how is not None:
+            return combined(both, by, self.how)
+        values = [f.name for f in self.schema if f.name not in self.keys]
+        last = both.groupBy(*by).agg(F.max_by(F.struct("_gone", *values), "_new").alias("_last"))  # a batch's row goes before a kept one
+        return last.where("not _last._gone").select(*by, *[F.col("_last").getField(v).alias(v) for v in values])
 
     def _commit(self, state: _State) -> None:
         """The state's file is written beside its place and moved there, which is one step; it fails if another writer was

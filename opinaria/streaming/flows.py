@@ -77,7 +77,7 @@ class Flows:
         self._cities(number)
 
     def _route(self, name: str, rows: DataFrame, number: int, deleted=None) -> bool:
-        return self.tables[name].apply(rows, number, self.writer, deleted)
+        return self.tables[name].apply(rows, number, self.writer, deleted, kept_already=True)
 
     def _cities(self, number: int) -> None:
         if number in committed(self.spark, f"{self.out}/cities", "batch"):
