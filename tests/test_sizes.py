@@ -34,3 +34,14 @@ def test_a_bucket_is_rewritten_in_pieces(spark, tmp_path, monkeypatch, merge):
     assert {x.user_id: x.reviews for x in t.read().collect()} == want and t.read().count() == 1001
     files = glob.glob(str(tmp_path / "t/rows/version=1/bucket=*/*.parquet"))
     assert len(files) > 10 and max(spark.read.parquet(f).count() for f in files) < 300
+
+
+def test_state_is_dealt_out_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(PIECE, 10)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/0.json").write_text("\n".join(json.dumps(review(f"u{i % 40}", i, "t")) for i in range(90)))
+    plan, before = P.best_users(stream_reviews(spark, str(tmp_path / "in")), 2), spark.conf.get("spark.sql.shuffle.partitions")
+    L.start(plan, str(tmp_path / "out"), str(tmp_path / "state"), rows=90, availableNow=True).awaitTermination()
+    assert len(glob.glob(str(tmp_path / "state/state/0/*/1.zip"))) == 9  # on disk, a file for each partition
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+    assert rows(L.newest(plan, str(tmp_path / "out"))) == rows(P.best_users(read_reviews(spark, str(tmp_path / "in")), 2))
