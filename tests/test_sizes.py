@@ -45,3 +45,12 @@ def test_state_is_dealt_out_by_rows(spark, tmp_path, monkeypatch):
     assert len(glob.glob(str(tmp_path / "state/state/0/*/1.zip"))) == 9  # on disk, a file for each partition
     assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
     assert rows(L.newest(plan, str(tmp_path / "out"))) == rows(P.best_users(read_reviews(spark, str(tmp_path / "in")), 2))
+
+
+def test_a_ledger_keeps_shares_not_reviews(spark, tmp_path, monkeypatch):
+    kept, persist = [], type(spark.range(1)).persist
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *a: (kept.append(df.count()), persist(df, *a))[1])
+    path = tmp_path / "r.json"
+    path.write_text("\n".join(json.dumps(review(f"u{i % 5}", i, "t")) for i in range(500)))
+    catalog.Ledger(spark, str(tmp_path / "ledger"), 2).absorb(read_reviews(spark, str(path)), 1)
+    assert 0 < max(kept) < 100
