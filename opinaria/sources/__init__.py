@@ -11,11 +11,13 @@ from .readers import (
     read_businesses_with_rejects,
     read_reviews,
     read_reviews_with_rejects,
+    read_tagged,
     read_with_rejects,
     records,
     rejects,
     stream_parsed,
     stream_reviews,
+    tagged,
     union_streams,
 )
 from .keyed import KeyedTable
@@ -26,6 +28,6 @@ from .sinks import write_results, write_text
 __all__ = [
     "BUSINESSES", "REVIEWS", "Feed", "KeyedTable", "cut", "first_lines", "free", "messages", "normalize_businesses",
     "normalize_reviews", "parse", "read_businesses", "read_businesses_with_rejects", "read_reviews", "read_reviews_with_rejects",
-    "read_with_rejects", "records", "rejects", "scoped", "scratch_dir", "stream_parsed", "stream_reviews", "union_streams",
-    "write_results", "write_text",
+    "read_tagged", "read_with_rejects", "records", "rejects", "scoped", "scratch_dir", "stream_parsed", "stream_reviews", "tagged",
+    "union_streams", "write_results", "write_text",
 ]

@@ -23,23 +23,24 @@ class Feed(NamedTuple):
     """What a line holds: its fields as text, how they become typed columns, and the fields without which it is rejected."""
 
     raw: T.StructType
-    normalize: Callable[[DataFrame], DataFrame]
+    normalize: Callable[..., DataFrame]
     needs: tuple[str, ...] = ()
 
 
-def normalize_reviews(df: DataFrame) -> DataFrame:
+def normalize_reviews(df: DataFrame, *more: str) -> DataFrame:
     """Casts to the REVIEW schema. Absent columns and values that don't parse become null; `date` keeps its text
-    and its first ten characters become `review_date`."""
+    and its first ten characters become `review_date`. Columns named in `more` stay as they are."""
     def col(name: str, kind: T.DataType):
         return F.col(name).try_cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
     cols = [col(f.name, f.dataType).alias(f.name) for f in REVIEW if f.name != "review_date"]
     day = F.expr("try_to_date(substring(cast(`date` as string), 1, 10), 'yyyy-MM-dd')") if "date" in df.columns else F.lit(None).cast("date")
-    return df.select(*cols, day.alias("review_date"))
+    return df.select(*cols, day.alias("review_date"), *more)
 
 
-def normalize_businesses(df: DataFrame) -> DataFrame:
-    """Casts to the BUSINESS schema; absent columns become null. Maps may be given as JSON text."""
+def normalize_businesses(df: DataFrame, *more: str) -> DataFrame:
+    """Casts to the BUSINESS schema; absent columns become null. Maps may be given as JSON text. Columns named in `more` stay as
+    they are."""
     given = {f.name: f.dataType for f in df.schema}
 
     def col(name: str, kind: T.DataType) -> Column:
@@ -49,7 +50,7 @@ def normalize_businesses(df: DataFrame) -> DataFrame:
             return F.from_json(F.col(name), kind, STRICT)
         return F.col(name).try_cast(kind)
 
-    return df.select(*(col(f.name, f.dataType).alias(f.name) for f in BUSINESS))
+    return df.select(*(col(f.name, f.dataType).alias(f.name) for f in BUSINESS), *more)
 
 
 REVIEWS = Feed(REVIEW_RAW, normalize_reviews)
@@ -60,12 +61,13 @@ def parse(lines: DataFrame, feed: Feed, value: str = "value") -> DataFrame:
     """(line, reason, record): every line of any batch or streaming source that isn't blank, text or bytes. `reason` is null for
     a record. One parse serves both outputs, `records` and `rejects`."""
     text = F.col(value).cast("string")
-    rows = lines.where(F.trim(F.regexp_replace(text, r"[\t\r\n]", " ")) != "").select(text.alias("line"))
+    rows = lines.where(text.rlike(r"[^ \t\r\n]")).select(text.alias("line"))
     # in brackets, what follows an object makes the whole malformed, but for a bracket; such lines are tried in braces too
     several = F.from_json(F.concat(F.lit("["), "line", F.lit("]")), T.ArrayType(feed.raw), STRICT)
     inside = F.from_json(F.concat(F.lit('{"r":'), "line", F.lit("}")), T.StructType([T.StructField("r", T.StringType())]), STRICT)
     one = (F.size("several") == 1) & ((F.instr("line", "]") == 0) | inside["r"].isNotNull())
-    rows = rows.withColumn("several", several)
+    # a filter isn't pushed through the explode of this one row, so no line is parsed again for `reason` or a field
+    rows = rows.select("line", F.explode_outer(F.array(several)).alias("several"))
     rows = rows.select("line", F.when(F.coalesce(one, F.lit(False)), F.get("several", F.lit(0))).alias("record"))
     reason = F.when(F.col("record").isNull(), MALFORMED)
     for name in feed.needs:
@@ -77,6 +79,13 @@ def records(parsed: DataFrame, feed: Feed) -> DataFrame:
     return feed.normalize(parsed.where("reason is null").select("record.*"))
 
 
+def tagged(parsed: DataFrame, feed: Feed) -> DataFrame:
+    """Records and rejects in one table, for what asks for both in one pass: the record's columns (null for a reject), `line` (null
+    for a record) and `reason` (null for a record)."""
+    tags = [F.when(F.col("reason").isNotNull(), F.col("line")).alias("line"), F.col("reason")]
+    return feed.normalize(parsed.select("record.*", *tags), "line", "reason")
+
+
 def rejects(parsed: DataFrame) -> DataFrame:
     return parsed.where("reason is not null").select("line", "reason")
 
@@ -87,6 +96,11 @@ def read_with_rejects(spark: SparkSession, path: str, feed: Feed) -> tuple[DataF
     return records(parsed, feed), rejects(parsed)
 
 
+def read_tagged(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
+    """`tagged` of NDJSON files: records and rejects from one pass."""
+    return tagged(parse(spark.read.text(path), feed), feed)
+
+
 def stream_parsed(spark: SparkSession, path: str, feed: Feed, **options: str) -> DataFrame:
     """`parse` over the lines of files as they arrive under `path`."""
     return parse(spark.readStream.format("text").options(**options).load(path), feed)

@@ -54,3 +54,10 @@ def test_a_ledger_keeps_shares_not_reviews(spark, tmp_path, monkeypatch):
     path.write_text("\n".join(json.dumps(review(f"u{i % 5}", i, "t")) for i in range(500)))
     catalog.Ledger(spark, str(tmp_path / "ledger"), 2).absorb(read_reviews(spark, str(path)), 1)
     assert 0 < max(kept) < 100
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "l.json").write_text("\n".join(LINES))
+    lines = spark.read.text(str(tmp_path / "l.json"))
+    for df in (P.best_users(read_reviews(spark, str(tmp_path / "l.json")), 1), parse(lines, REVIEWS).where("reason is null").select("record.user_id")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(ArrayType") == 1
