@@ -32,6 +32,10 @@ def _rejects(s, d):
     return O.count_by(good, "user_id").unionByName(bad.selectExpr("'(rejected)' user_id", "line").groupBy("user_id").agg(V.F.count("line").alias("reviews")))
 
 
+def _drain(s, d, df, *how, **more):
+    return drain(df, *how, rows=V.rows_of(s, d), **more)
+
+
 def _folder(s, name):
     return f"{scratch_dir(s)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -57,26 +61,25 @@ def _stream_flows(s, d):
     """All five flows of one streaming query over several batches."""
     out = _folder(s, "flows")
     flows = L.Flows(s, out, lambda: read_businesses(s, path), "flows", BOTS, BOTS, CITIES, buckets=4)
-    path, live = V.business_lines(s, d), stream_reviews(s, V.ordered_lines(s, d, 4), maxFilesPerTrigger="2")
-    L.run(L.flow_counts(live), flows, f"{out}-state", "update", availableNow=True).awaitTermination()
+    path, live = V.business_lines(s, d), stream_reviews(s, V.ordered_lines(s, d, 4), maxFilesPerTrigger=str(2 * V.part_files(s, d, 4)))
+    L.run(L.flow_counts(live), flows, f"{out}-state", "update", V.rows_of(s, d), availableNow=True).awaitTermination()
     return P.together(flows.results())
 
 
 def _ledger_flows(s, d):
     """Half of the reviews as a delivery of files, the others as a live feed that is merged into the stored profile."""
     out = _folder(s, "ledger")
-    ledger, path = Ledger(s, out, 4), V.ordered_lines(s, d, 4)
-    files = [f"{path}/part-0000{i}*" for i in range(4)]
-    ledger.absorb(read_reviews(s, f"{path}/part-0000[01]*"), 1)
+    ledger, half, rows = Ledger(s, out, 4), V.ordered_part(s, d, 4, 0, 1), V.rows_of(s, d)
+    ledger.absorb(read_reviews(s, half), 1, rows=rows)
     for i in (2, 3):
-        L.run(stream_reviews(s, files[i]), ledger.sink(f"feed-{i}"), f"{out}-state-{i}", availableNow=True).awaitTermination()
-    ledger.absorb(read_reviews(s, f"{path}/part-0000[01]*"), 1)  # again: nothing changes
+        L.run(stream_reviews(s, V.ordered_part(s, d, 4, i)), ledger.sink(f"feed-{i}"), f"{out}-state-{i}", rows=rows, availableNow=True).awaitTermination()
+    ledger.absorb(read_reviews(s, half), 1, rows=rows)  # again: nothing changes
     return P.together(ledger.flows(read_businesses(s, V.business_lines(s, d)), BOTS, BOTS, CITIES))
 
 
-def _distinct(s, reviews):
+def _distinct(s, d, reviews):
     out = _folder(s, "distinct")
-    L.distinct_counts(reviews, out, f"{out}-state", buckets=4, availableNow=True).awaitTermination()
+    L.distinct_counts(reviews, out, f"{out}-state", buckets=4, rows=V.rows_of(s, d), availableNow=True).awaitTermination()
     return L.counted(reviews, out, buckets=4)
 
 
@@ -127,24 +130,24 @@ def queries() -> dict:
         "sink_top_users": _written,
         "scan_rejects": _rejects,
         "sample_size": lambda s, d: O.sample_reviews(r(s, d), SAMPLE, r(s, d).where(URGENT)).agg(V.F.count(V.F.lit(1)).alias("reviews")),
-        "stream_union_top_users": lambda s, d: drain(P.top_users(union_streams(live(s, d), queue(s, d)), BOTS)),
+        "stream_union_top_users": lambda s, d: _drain(s, d, P.top_users(union_streams(live(s, d), queue(s, d)), BOTS)),
         "scan_top_users": lambda s, d: P.top_users(scan(s, d), BOTS),
         "scan_best_users": lambda s, d: P.best_users(scan(s, d), BEST),
         "scan_weekday_counts": lambda s, d: O.weekday_counts(scan(s, d)),
         "scan_funniest_cities": lambda s, d: P.funniest_cities(scan(s, d), read_businesses(s, V.business_lines(s, d)), CITIES),
-        "stream_scan_best_users": lambda s, d: drain(P.best_users(live(s, d), BEST)),
-        "stream_scan_funniest_cities": lambda s, d: drain(P.funniest_cities(live(s, d), read_businesses(s, V.business_lines(s, d)), CITIES)),
-        "stream_messages_top_users": lambda s, d: drain(P.top_users(queue(s, d), BOTS)),
-        "stream_top_users": lambda s, d: drain(P.top_users(r(s, d, True), USERS)),
-        "stream_best_users": lambda s, d: drain(P.best_users(o(s, d, True), BEST)),
-        "stream_bot_users": lambda s, d: drain(P.bot_users(a(s, d, True), BOTS)),
-        "stream_weekday_counts": lambda s, d: drain(O.weekday_counts(r(s, d, True))),
-        "stream_funniest_cities": lambda s, d: drain(P.funniest_cities(r(s, d, True), b(s, d), CITIES)),
+        "stream_scan_best_users": lambda s, d: _drain(s, d, P.best_users(live(s, d), BEST)),
+        "stream_scan_funniest_cities": lambda s, d: _drain(s, d, P.funniest_cities(live(s, d), read_businesses(s, V.business_lines(s, d)), CITIES)),
+        "stream_messages_top_users": lambda s, d: _drain(s, d, P.top_users(queue(s, d), BOTS)),
+        "stream_top_users": lambda s, d: _drain(s, d, P.top_users(r(s, d, True), USERS)),
+        "stream_best_users": lambda s, d: _drain(s, d, P.best_users(o(s, d, True), BEST)),
+        "stream_bot_users": lambda s, d: _drain(s, d, P.bot_users(a(s, d, True), BOTS)),
+        "stream_weekday_counts": lambda s, d: _drain(s, d, O.weekday_counts(r(s, d, True))),
+        "stream_funniest_cities": lambda s, d: _drain(s, d, P.funniest_cities(r(s, d, True), b(s, d), CITIES)),
         "stream_all_flows": _stream_flows,
-        "stream_update_user_counts": lambda s, d: drain(O.count_by(O.guard(stream_reviews(s, V.ordered_lines(s, d, 4), maxFilesPerTrigger="1")), "user_id"), "update", keys=["user_id"], buckets=4),
-        "stream_update_user_profile": lambda s, d: drain(P.user_profile(r(s, d, True)), "update", keys=["user_id"], buckets=4),
-        "stream_distinct_text_pairs": lambda s, d: drain(O.distinct_pairs(r(s, d, True)), "append", keys=["user_id", "hashed_text"], buckets=4, merge={}),
-        "stream_distinct_text_counts": lambda s, d: _distinct(s, r(s, d, True)),
+        "stream_update_user_counts": lambda s, d: _drain(s, d, O.count_by(O.guard(stream_reviews(s, V.ordered_lines(s, d, 4), maxFilesPerTrigger=str(V.part_files(s, d, 4)))), "user_id"), "update", keys=["user_id"], buckets=4),
+        "stream_update_user_profile": lambda s, d: _drain(s, d, P.user_profile(r(s, d, True)), "update", keys=["user_id"], buckets=4),
+        "stream_distinct_text_pairs": lambda s, d: _drain(s, d, O.distinct_pairs(r(s, d, True)), "append", keys=["user_id", "hashed_text"], buckets=4, merge={}),
+        "stream_distinct_text_counts": lambda s, d: _distinct(s, d, r(s, d, True)),
         "stream_scan_rejects": _stream_rejects,
         "scan_business_rejects": _business_rejects,
         "ledger_flows": _ledger_flows,
@@ -152,8 +155,8 @@ def queries() -> dict:
         "report_best_users_parts": lambda s, d: _written_report(s, P.best_users(o(s, d), BEST), P.best_head(BEST)),
         "report_bot_users_parts": lambda s, d: _written_report(s, P.bot_users(a(s, d), BOTS), P.bots_head(BOTS)),
         "funny_city_by_shuffle": lambda s, d: O.funny_by_city(r(s, d), b(s, d), 0, 0),
-        "stream_funny_city_by_broadcast": lambda s, d: drain(O.funny_by_city(r(s, d, True), b(s, d))),
-        "stream_funny_city_by_shuffle": lambda s, d: drain(O.funny_by_city(r(s, d, True), b(s, d), 0, 0)),
+        "stream_funny_city_by_broadcast": lambda s, d: _drain(s, d, O.funny_by_city(r(s, d, True), b(s, d))),
+        "stream_funny_city_by_shuffle": lambda s, d: _drain(s, d, O.funny_by_city(r(s, d, True), b(s, d), 0, 0)),
     }
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.scratch import scratch_dir
+from ..sources.sizes import settings, shuffles
 
 _REVIEW = [
     "concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) review_id",
@@ -50,16 +51,26 @@ def activity(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFram
     )
 
 
+#: Lines that a file holds: compressed, a file is read by one task.
+LINES = 250_000
+
 #: Folders of lines that this application has written.
 _folders: dict[tuple[str, str, str], str] = {}
 
 
-def _written(spark: SparkSession, sf_dir: str, name: str, lines: Callable[[], DataFrame]) -> str:
-    """A folder of text files with what `lines` gives in column `value`; written once for each session and input."""
+def rows_of(spark: SparkSession, sf_dir: str) -> int:
+    """Reviews at most; from the metadata of the files."""
+    return table(spark, sf_dir, "lineitem").count()
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, lines: Callable[[], DataFrame], bounded: bool = True) -> str:
+    """A folder of compressed text files, of LINES lines each at most if `bounded`, with what `lines` gives in column `value`;
+    written once for each session and input."""
     key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _folders:
         path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        lines().select("value").write.text(path)
+        with settings(spark, shuffles(spark, rows_of(spark, sf_dir))):
+            lines().select("value").write.option("maxRecordsPerFile", LINES if bounded else 0).text(path, compression="lz4")
         _folders[key] = path
     return _folders[key]
 
@@ -88,13 +99,32 @@ def dirty_lines(spark: SparkSession, sf_dir: str) -> str:
     return _written(spark, sf_dir, "dirty-lines", lines)
 
 
+def trigger_files(spark: SparkSession, sf_dir: str, least: int, most: int) -> str:
+    """Files of a batch of a stream that takes the lines in some four batches; in more, if those were above `most` files."""
+    return str(max(least, min(most, rows_of(spark, sf_dir) // (4 * LINES))))
+
+
 def ordered_lines(spark: SparkSession, sf_dir: str, files: int = 7) -> str:
-    """The same lines in several files, which put together by name go by order, line number and funny votes."""
+    """The same lines in `files` parts, which put together by name go by order, line number and funny votes. A part is one file or,
+    of many lines, `part_files` files of about LINES lines, which a task can sort."""
     def lines() -> DataFrame:
-        rows = _as_given(spark, sf_dir).select(F.split("review_id", "-").cast("array<long>").alias("at"), F.col("funny").cast("long").alias("votes"), F.to_json(F.struct("*")).alias("value"))
-        return rows.repartitionByRange(files, "at", "votes").sortWithinPartitions("at", "votes")
+        given = _as_given(spark, sf_dir)
+        rows = given.select("*", F.split("review_id", "-").cast("array<long>").alias("at"), F.col("funny").cast("long").alias("votes"))
+        rows = rows.repartitionByRange(files * part_files(spark, sf_dir, files), "at", "votes").sortWithinPartitions("at", "votes")
+        return rows.select(F.to_json(F.struct(*given.columns)).alias("value"))
+
+    return _written(spark, sf_dir, f"ordered-lines-{files}", lines, False)
+
+
+def part_files(spark: SparkSession, sf_dir: str, files: int) -> int:
+    """Files of each part of `ordered_lines`."""
+    return max(1, -(-rows_of(spark, sf_dir) // (files * LINES)))
+
 
-    return _written(spark, sf_dir, f"ordered-lines-{files}", lines)
+def ordered_part(spark: SparkSession, sf_dir: str, files: int, *parts: int) -> str:
+    """Some of the parts of `ordered_lines`, as a pattern of their files."""
+    each = part_files(spark, sf_dir, files)
+    return f"{ordered_lines(spark, sf_dir, files)}/part-{{{','.join(f'{i:05d}' for p in parts for i in range(p * each, (p + 1) * each))}}}*"
 
 
 def dirty_business_lines(spark: SparkSession, sf_dir: str) -> str:

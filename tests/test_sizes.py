@@ -47,6 +47,20 @@ def test_state_is_dealt_out_by_rows(spark, tmp_path, monkeypatch):
     assert rows(L.newest(plan, str(tmp_path / "out"))) == rows(P.best_users(read_reviews(spark, str(tmp_path / "in")), 2))
 
 
+def test_lines_are_written_in_files_of_a_size(spark, small):
+    n = V.rows_of(spark, SF)
+    for path in (V.ordered_lines(spark, SF), V.ordered_lines(spark, SF, 4), V.dirty_lines(spark, SF), V.review_lines(spark, SF)):
+        sizes = [r[1] for r in spark.read.text(path).groupBy("_metadata.file_name").count().collect()]
+        assert sum(sizes) == n and max(sizes) <= 1000
+    parts = [spark.read.text(V.ordered_part(spark, SF, 4, i)) for i in range(4)]
+    assert sum(p.count() for p in parts) == n and all(p.count() > n / 8 for p in parts)
+
+
+@pytest.mark.parametrize("name", ["stream_update_user_counts", "ledger_flows", "stream_all_flows", "first_reviews", "stream_scan_rejects", "stream_scan_best_users", "stream_distinct_text_counts"])
+def test_in_pieces_against_sql(spark, small, name):
+    assert same(catalog.queries()[name](spark, SF), catalog.oracle_sql()[name], SF) > 0
+
+
 def test_a_ledger_keeps_shares_not_reviews(spark, tmp_path, monkeypatch):
     kept, persist = [], type(spark.range(1)).persist
     monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *a: (kept.append(df.count()), persist(df, *a))[1])
