@@ -5,7 +5,7 @@ import uuid
 
 from .. import operators as O, plans as P
 from ..sources import (
-    BUSINESSES, REVIEWS, first_lines, messages, read_businesses, read_reviews, read_reviews_with_rejects, read_with_rejects, scratch_dir,
+    BUSINESSES, REVIEWS, first_lines, messages, read_businesses, read_reviews, read_tagged, read_with_rejects, scratch_dir,
     stream_parsed, stream_reviews, union_streams, write_results,
 )
 from .. import streaming as L
@@ -27,9 +27,9 @@ def _written(s, d):
 
 
 def _rejects(s, d):
-    """Lines that are reviews and lines that aren't, of files that hold both."""
-    good, bad = read_reviews_with_rejects(s, V.dirty_lines(s, d))
-    return O.count_by(good, "user_id").unionByName(bad.selectExpr("'(rejected)' user_id", "line").groupBy("user_id").agg(V.F.count("line").alias("reviews")))
+    """Lines that are reviews and lines that aren't, of files that hold both: each line is read and parsed once."""
+    rows = read_tagged(s, V.dirty_lines(s, d), REVIEWS).selectExpr("reason is not null rejected", "if(reason is null, user_id, '(rejected)') user_id")
+    return O.count_by(rows, "rejected", "user_id").drop("rejected")
 
 
 def _drain(s, d, df, *how, **more):

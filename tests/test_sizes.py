@@ -75,3 +75,12 @@ def test_a_line_is_parsed_once(spark, tmp_path):
     lines = spark.read.text(str(tmp_path / "l.json"))
     for df in (P.best_users(read_reviews(spark, str(tmp_path / "l.json")), 1), parse(lines, REVIEWS).where("reason is null").select("record.user_id")):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(ArrayType") == 1
+
+
+def test_rejects_and_records_from_one_scan(spark, tmp_path):
+    (tmp_path / "l.json").write_text("\n".join(LINES))
+    both = read_tagged(spark, str(tmp_path / "l.json"), REVIEWS)
+    assert both.where("reason is null and line is null").count() == len(read_reviews(spark, str(tmp_path / "l.json")).collect())
+    assert both.where("reason is not null and line is not null and user_id is null").count() == 11
+    plan = catalog.queries()["scan_rejects"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [value") == 1 and plan.count("from_json(ArrayType") == 1
