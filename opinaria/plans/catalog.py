@@ -46,7 +46,7 @@ def _named_rejects(good, bad):
 
 def _stream_rejects(s, d):
     """The same of a stream: its records and its rejects, each written batch by batch."""
-    parsed, out = stream_parsed(s, V.dirty_lines(s, d), REVIEWS, maxFilesPerTrigger="2"), _folder(s, "split")
+    parsed, out = stream_parsed(s, V.dirty_lines(s, d), REVIEWS, maxFilesPerTrigger=V.trigger_files(s, d, 2, 64)), _folder(s, "split")
     L.split_feed(parsed, REVIEWS, out, f"{out}-state", availableNow=True).awaitTermination()
     return _named_rejects(*L.split_results(parsed, REVIEWS, out))
 

@@ -84,3 +84,12 @@ def test_rejects_and_records_from_one_scan(spark, tmp_path):
     assert both.where("reason is not null and line is not null and user_id is null").count() == 11
     plan = catalog.queries()["scan_rejects"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [value") == 1 and plan.count("from_json(ArrayType") == 1
+
+
+def test_a_split_feed_keeps_the_lines_of_rejects_only(spark, tmp_path, monkeypatch):
+    kept, persist = [], type(spark.range(1)).persist
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/l.json").write_text("\n".join(LINES))
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *a: (kept.append(df.where("line is not null").count()), persist(df, *a))[1])
+    L.split_feed(stream_parsed(spark, str(tmp_path / "in"), REVIEWS), REVIEWS, str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True).awaitTermination()
+    assert kept == [11]
