@@ -116,7 +116,8 @@ class KeyedTable:
             if changed:
                 kept = self._rows(state, changed)
                 each = pieces(-(-(sum(sizes.values()) + kept.count()) // len(changed)))
-                merged = self._merged(rows, kept, each, len(changed) * each).select(*names, (F.col("_piece") % self.n).alias("bucket"))
+                merged = self._merged(rows, kept, each, 4 * len(changed) * each)  # pieces go by a hash: more tasks, so that few get several
+                merged = merged.select(*names, (F.col("_piece") % self.n).alias("bucket"))
                 merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/version={version}")
         finally:
             if not kept_already:
