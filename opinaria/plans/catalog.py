@@ -8,6 +8,7 @@ from ..sources import (
     BUSINESSES, REVIEWS, first_lines, messages, read_businesses, read_reviews, read_tagged, read_with_rejects, scratch_dir,
     stream_parsed, stream_reviews, union_streams, write_results,
 )
+from ..sources.sizes import READS, settings
 from .. import streaming as L
 from ..streaming import drain
 from . import testviews as V
@@ -62,7 +63,8 @@ def _stream_flows(s, d):
     out = _folder(s, "flows")
     flows = L.Flows(s, out, lambda: read_businesses(s, path), "flows", BOTS, BOTS, CITIES, buckets=4)
     path, live = V.business_lines(s, d), stream_reviews(s, V.ordered_lines(s, d, 4), maxFilesPerTrigger=str(2 * V.part_files(s, d, 4)))
-    L.run(L.flow_counts(live), flows, f"{out}-state", "update", V.rows_of(s, d), availableNow=True).awaitTermination()
+    with settings(s, READS):
+        L.run(L.flow_counts(live), flows, f"{out}-state", "update", V.rows_of(s, d), availableNow=True).awaitTermination()
     return P.together(flows.results())
 
 
@@ -72,14 +74,16 @@ def _ledger_flows(s, d):
     ledger, half, rows = Ledger(s, out, 4), V.ordered_part(s, d, 4, 0, 1), V.rows_of(s, d)
     ledger.absorb(read_reviews(s, half), 1, rows=rows)
     for i in (2, 3):
-        L.run(stream_reviews(s, V.ordered_part(s, d, 4, i)), ledger.sink(f"feed-{i}"), f"{out}-state-{i}", rows=rows, availableNow=True).awaitTermination()
+        with settings(s, READS):
+            L.run(stream_reviews(s, V.ordered_part(s, d, 4, i)), ledger.sink(f"feed-{i}"), f"{out}-state-{i}", rows=rows, availableNow=True).awaitTermination()
     ledger.absorb(read_reviews(s, half), 1, rows=rows)  # again: nothing changes
     return P.together(ledger.flows(read_businesses(s, V.business_lines(s, d)), BOTS, BOTS, CITIES))
 
 
 def _distinct(s, d, reviews):
     out = _folder(s, "distinct")
-    L.distinct_counts(reviews, out, f"{out}-state", buckets=4, rows=V.rows_of(s, d), availableNow=True).awaitTermination()
+    with settings(s, READS):
+        L.distinct_counts(reviews, out, f"{out}-state", buckets=4, rows=V.rows_of(s, d), availableNow=True).awaitTermination()
     return L.counted(reviews, out, buckets=4)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import operators as O
 from ..sources.keyed import KeyedTable
-from ..sources.sizes import settings, shuffles
+from ..sources.sizes import READS, settings, shuffles
 from ..streaming.flows import flow_counts
 from . import BOTS_MIN, CITIES, USERS_MIN
 
@@ -34,7 +34,7 @@ class Ledger:
         many there are, if that is more than the session's shuffle partitions are meant for."""
         if number <= self.last(writer):
             return
-        with settings(reviews.sparkSession, shuffles(reviews.sparkSession, rows)):
+        with settings(reviews.sparkSession, READS | shuffles(reviews.sparkSession, rows)):
             shares = flow_counts(reviews).persist()
             of = lambda kind, key, *more: shares.where(F.col("kind") == kind).select(F.col("key").alias(key), *more)
             try:

@@ -116,7 +116,7 @@ class KeyedTable:
             if changed:
                 kept = self._rows(state, changed)
                 each = pieces(-(-(sum(sizes.values()) + kept.count()) // len(changed)))
-                merged = self._merged(rows, kept, each, 4 * len(changed) * each)  # pieces go by a hash: more tasks, so that few get several
+                merged = self._merged(rows, kept, each)
                 merged = merged.select(*names, (F.col("_piece") % self.n).alias("bucket"))
                 merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/version={version}")
         finally:
@@ -130,12 +130,12 @@ class KeyedTable:
     def _hash(self, n: int) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
 
-    def _merged(self, rows: DataFrame, kept: DataFrame, each: int, tasks: int) -> DataFrame:
+    def _merged(self, rows: DataFrame, kept: DataFrame, each: int) -> DataFrame:
         """Rows of the changed buckets, each cut into `each` pieces: piece p is a part of bucket p % n. One shuffle deals the
-        pieces out, and a key's rows meet there."""
+        pieces out, piece p to task p, so no task gets two, and a key's rows meet there."""
         by = [*self.keys, "_piece"]
         both = kept.withColumns({"_gone": F.lit(False), "_new": F.lit(False)}).unionByName(rows.withColumn("_new", F.lit(True)))
-        both = both.withColumn("_piece", self._hash(self.n * each)).repartition(tasks, "_piece")
+        both = both.withColumn("_piece", self._hash(self.n * each)).repartitionById(self.n * each, "_piece")
         if self.how is not None:
             return combined(both, by, self.how)
         values = [f.name for f in self.schema if f.name not in self.keys]

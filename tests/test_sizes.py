@@ -3,10 +3,12 @@ import glob
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from opinaria import plans as P, streaming as L
 from opinaria.plans import catalog, testviews as V
 from opinaria.sources import REVIEWS, KeyedTable, parse, read_reviews, read_tagged, stream_parsed, stream_reviews
+from opinaria.sources.sizes import READS
 from tests.oracle import same
 from tests.test_feedback import review, rows
 from tests.test_stored import LINES, USERS, named
@@ -93,3 +95,25 @@ def test_a_split_feed_keeps_the_lines_of_rejects_only(spark, tmp_path, monkeypat
     monkeypatch.setattr(type(spark.range(1)), "persist", lambda df, *a: (kept.append(df.where("line is not null").count()), persist(df, *a))[1])
     L.split_feed(stream_parsed(spark, str(tmp_path / "in"), REVIEWS), REVIEWS, str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True).awaitTermination()
     assert kept == [11]
+
+
+@pytest.mark.parametrize("merge", [None, {"reviews": "sum"}])
+def test_no_task_gets_two_pieces(spark, tmp_path, merge):
+    t = KeyedTable(spark, str(tmp_path / "t"), USERS, ["user_id"], 4, merge)
+    users = named(spark, *((f"u{i}", i) for i in range(2000))).withColumn("_gone", F.lit(False))
+    merged = t._merged(users, users.drop("_gone").limit(0), 10)
+    tasks = merged.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("_piece").alias("n")).collect()
+    assert [x.n for x in tasks] == [1] * 40
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_a_task_reads_files_of_a_size(spark, tmp_path, monkeypatch):
+    """Of a batch with many files, however many that are."""
+    monkeypatch.setitem(READS, "spark.sql.files.maxPartitionBytes", "20000")
+    (tmp_path / "in").mkdir()
+    for i in range(40):
+        (tmp_path / f"in/{i}.json").write_text("\n".join(json.dumps(review(f"u{j}", j, "t")) for j in range(100)))
+    tasks, before = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    parts = stream_reviews(spark, str(tmp_path / "in")).select(F.spark_partition_id().alias("part"))
+    assert L.drain(parts, "append", keys=["part"], merge={}, buckets=2).count() == 40
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
