@@ -2,16 +2,15 @@
 
 1. parts: each text is split once, by the splitting pattern. In a part of the corpus (`PART` characters of a task) each distinct
    piece gets a number; a text becomes the numbers of its pieces, packed. A part's pieces are packed by buckets of a hash of the
-   piece. All of it is written to the shared folder.
+   piece. All of it is written to the shared folder, in buckets of the part.
 2. replay: a bucket's pieces of all parts meet in a task, so that each distinct piece is merged once for the whole corpus. An
    inverted index maps the rank of a pair of neighbours to the positions where it stands in a table of pieces, each spelled in
    single bytes. Merges are replayed in rank order over the table at once; each touches only the two neighbours of a merged
    pair and moves them in the index.
-3. texts: the ids of a part's pieces go back to the part, where they meet the packed texts. The pieces come first, then the
-   texts, one after the other.
+3. texts: the ids of a part's pieces go back to the part, where the packed texts lie, and each text is put together from them.
 
-Nothing comes to the driver but the number of characters, which gives the number of buckets, and nothing is broadcast. What
-moves is the distinct pieces of each part, their ids, and the packed texts, once each.
+Nothing comes to the driver but the number of characters, which gives the numbers of buckets, and nothing is broadcast. What
+moves is the distinct pieces of each part and their ids, once each; the packed texts are written once and stay there.
 
 Ranks are those of the joined bytes, as in tiktoken's files: any neighbours whose joined bytes have a rank may merge,
 so a merge can bring up a lower rank than its own, which the replay then does first in that piece.
@@ -25,11 +24,11 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from opinaria.sources.scratch import cut
@@ -272,21 +271,28 @@ def replayed(pieces: DataFrame, ranks_path: str) -> DataFrame:
     return rows.mapInArrow(run, "part long, numbers binary, sizes binary, ids binary")
 
 
+@lru_cache(maxsize=1)
+def _tokens(ranks_path: str) -> tuple[list[bytes], list[str]]:
+    """Bytes and number, as text, of each id."""
+    spelled = {i: b for b, i in read_ranks(ranks_path).items()}
+    spelled = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+    return spelled, list(map(str, range(len(spelled))))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """(key, ids, decoded): the ids of each text and what they decode to, as bytes; with digest, the number of ids, the
     sha256 of the ids as text and that of the decoded bytes instead. `ranks_path` is a file on every machine."""
     texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     characters = texts.agg(F.sum(F.length("t"))).first()[0] or 0
-    rows = cut(parts(texts, pattern, 16 + characters // BUCKET), "bpe-parts")
+    rows = cut(parts(texts, pattern, 16 + characters // BUCKET), "bpe-parts", buckets=(min(16 + characters // PART, 100_000), "part"))
     out = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, t) for n, t in (
         (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())) if digest
         else (("ids", T.ArrayType(T.IntegerType())), ("decoded", T.BinaryType()))))])
     kinds = [pa.int64(), pa.string(), pa.string()] if digest else [pa.list_(pa.int32()), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = {i: b for b, i in read_ranks(ranks_path).items()}
-        spelled = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
-        said = list(map(str, range(len(spelled))))
+    def run(pieces: pa.Table, packed: pa.Table) -> pa.Table:
+        """A part's pieces with their ids, and its texts."""
+        spelled, said = _tokens(ranks_path)
 
         def table(known: list[tuple[bytes, bytes, bytes]]) -> tuple:
             """Of a part's pieces, by number: ids, how many they are, as text, and as bytes."""
@@ -307,32 +313,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
                 cols = [[np.fromiter((y for i in x for y in ids[i]), np.int32) for x in lists], [b"".join([back[i] for i in x]) for x in lists]]
             return pa.RecordBatch.from_arrays([keys, *(pa.array(c, kind) for c, kind in zip(cols, kinds))], names=out.names)
 
-        part, known = None, []
-        for batch in batches:
-            of, piece = batch.column("part").to_numpy(), pc.is_valid(batch.column("numbers")).to_numpy(zero_copy_only=False)
-            cuts = (np.flatnonzero((of[1:] != of[:-1]) | (piece[1:] != piece[:-1])) + 1).tolist()
-            for lo, hi in zip([0, *cuts], [*cuts, len(of)]):
-                if hi == lo:
-                    continue
-                if of[lo] != part:
-                    part, known, ready = of[lo], [], None
-                if piece[lo]:
-                    known += zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("numbers", "sizes", "ids")))
-                    continue
-                ready = ready or table(known)
-                start, found, held = lo, [], 0
-                for i in range(lo, hi):
-                    found.append(unpack_text(batch.column("packed")[i].as_py()))
-                    held += len(found[-1])
-                    if held >= TOGETHER or i == hi - 1:
-                        yield put_together(batch.column("k").slice(start, i + 1 - start), found, ready)
-                        start, found, held = i + 1, [], 0
-
-    nothing = lambda kind: F.lit(None).cast(kind)
-    of_pieces = replayed(rows.where("bucket is not null"), ranks_path).select("part", "numbers", "sizes", "ids", nothing(rows.schema["k"].dataType).alias("k"), nothing("binary").alias("packed"))
-    of_texts = rows.where("bucket is null").select("part", *(nothing("binary").alias(c) for c in ("numbers", "sizes", "ids")), "k", "packed")
-    both = of_pieces.unionByName(of_texts).repartition("part").sortWithinPartitions("part", F.col("numbers").isNull())
-    return both.mapInArrow(run, out)
+        ready = table(list(zip(*(pieces.column(c).to_pylist() for c in ("numbers", "sizes", "ids")))))
+        keys, texts = packed.column("k").combine_chunks(), packed.column("packed")
+        done, start, found, held = [], 0, [], 0
+        for i in range(len(keys)):
+            found.append(unpack_text(texts[i].as_py()))
+            held += len(found[-1])
+            if held >= TOGETHER or i == len(keys) - 1:
+                done.append(put_together(keys.slice(start, i + 1 - start), found, ready))
+                start, found, held = i + 1, [], 0
+        return pa.Table.from_batches(done)
+
+    of_pieces = replayed(rows.where("bucket is not null"), ranks_path)
+    of_texts = rows.where("bucket is null").select("part", "k", "packed")
+    return of_pieces.groupBy("part").cogroup(of_texts.groupBy("part")).applyInArrow(run, out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

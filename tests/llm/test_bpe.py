@@ -93,3 +93,12 @@ def test_long_pieces(spark):
     df = spark.createDataFrame([(1, "x" * 5_000_000), (2, " a"), (3, "é" * 200)], "doc_id long, text string")
     got = {r.doc_id: r.ids for r in bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
     assert got == {1: ENC.encode_ordinary("x" * 5_000_000), 2: ENC.encode_ordinary(" a"), 3: ENC.encode_ordinary("é" * 200)}
+
+
+def test_texts_stay_where_they_are_written(spark):
+    """Only pieces and their ids are shuffled, and no table is left behind."""
+    df = spark.createDataFrame([(i, "a b c%d" % i) for i in range(50)], "doc_id long, text string")
+    plan = bpe.encode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(moved) == 2 and "bucket" in moved[1] and "Bucketed: true" in plan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("scratch_")]
